@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import oracles, percentiles, runs
+from strandweave.llm import linkage, oracles, percentiles, runs, similar
+from strandweave.llm.vectors import usable_vectors
 from strandweave.operators.gridding import DAY_S, instant_us
 from strandweave.runtime import table
 
@@ -50,10 +51,38 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_runs(spark, d).where("n_events >= 2").select("subject_id", "clustering_desc", "start_idx", "end_idx")
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return similar.nearest_vectors(usable_vectors(table(spark, d, "result_labels")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.near_pairs(p4_neighbours(spark, d))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    people, clusters = linkage.similarity_clusters(usable_vectors(table(spark, d, "result_labels")))
+    return people.join(clusters.where("size >= 5").select("first_vec_id"), "first_vec_id").where("vec_id != first_vec_id").select("first_vec_id", "vec_id")
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each cluster with its size, spread, most typical segments and the cluster_id most often reported for it."""
+    labels = table(spark, d, "result_labels")
+    people, clusters = linkage.similarity_clusters(usable_vectors(labels))
+    told = labels.where("vec_id is not null").groupBy("vec_id").agg(F.min("cluster_id").alias("cluster_id"))
+    votes = people.join(told, "vec_id", "left").groupBy("first_vec_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    most = votes.where("cluster_id is not null").groupBy("first_vec_id").agg(F.max(F.struct("n", (-F.col("cluster_id")).alias("c"))).alias("m"))
+    return clusters.join(most, "first_vec_id", "left").select(
+        "first_vec_id", "size", "spread", "typical", (-F.col("m.c")).alias("reported_cluster_id"), F.round(F.col("m.n") / F.col("size"), 6).alias("reported_share"))
+
+
 QUERIES = {
     "p1_ig_by_day": p1_ig_by_day,
     "p1_ig_joined_days": p1_ig_joined_days,
     "p1_labels": p1_labels,
     "p3_found": p3_found,
     "p3_runs": p3_runs,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
 }

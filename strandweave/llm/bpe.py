@@ -3,10 +3,10 @@
 Pair occurrence index: the words that a batch meets for the first time lie in one linked list of
 tokens; each adjacent pair maps to all its positions, and the pairs that the vocabulary can merge
 are taken in ascending order of rank. Merging a pair touches its positions only, and enters the
-pairs that arise around them. Words and lines once encoded are remembered, within a bound.
+pairs that arise around them. Words and pieces once encoded are remembered, within a bound.
 
-Texts are cut before each run of white space that follows other characters. No word reaches over
-such a place, so lines encode alone, and the lines that revisions share are encoded once per task.
+Texts are cut before white space that follows other characters. No word reaches over such a place,
+so lines, and the pieces between single blanks, encode alone and once.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How the public tokenizer cuts text into words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ASCII_WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+# The same over characters of which all letters and digits can be listed as a few ranges.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f\u0400-\u0481\u048a-\u04ff"
+PLAIN = rf"[\t\n\r\x20-\x7e\xa1\xa7\xab\xb0\xb7\xbb\xbf{LETTERS}\xd7\xf7\u2010-\u2027]*"
+PLAIN_WORDS = rf"""'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"""
+FIRST = "\x00"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,111 +38,191 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Index(dict):
+    """Numbers strings in order of first sight and notes the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, k: str) -> int:
+        self.new.append(k)
+        self[k] = n = len(self)
+        return n
+
+    def taken(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
+class Rows:
+    """Lists of ids of varying length in one array."""
+
+    def __init__(self) -> None:
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def shortened(self, n: int) -> None:
+        self.flat = self.flat[: self.start[n] if n < len(self.start) else len(self.flat)]
+        self.start, self.size = self.start[:n], self.size[:n]
+
+    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the rows `at`, one after the other; where each begins, and the end)."""
+        size = self.size[at]
+        done = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(size, out=done[1:])
+        return self.flat[np.repeat(self.start[at] - done[:-1], size) + np.arange(done[-1])], done
+
+
 class Encoder:
-    """Encodes texts by a vocabulary of token bytes and ranks, where the rank is the id."""
+    """Encodes texts by a vocabulary of token bytes and ranks, where the rank is the id.
+
+    A text is looked up by the pieces between its blanks and line ends; each keeps the one before
+    it. A text in which white space runs on in a way that words reach over pieces is cut whole.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], most_words: int = 400_000, most_chars: int = 24_000_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], most_pieces: int = 500_000) -> None:
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
-        self.single = [ranks[bytes([i])] for i in range(256)]
-        self.merge: dict[tuple[int, int], int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.lines: dict[str, np.ndarray] = {}
-        self.chars, self.most_words, self.most_chars = 0, most_words, most_chars
-        self.find, self.find_ascii = regex.compile(WORDS).findall, re.compile(ASCII_WORDS, re.ASCII).findall
-        self.cut = re.compile(r"(?<=\S)(?=[\n\r])").split
-
-    def merged(self, a: int, b: int) -> int:
-        """The id of the pair's merge, -1 if there is none."""
-        k = self.merge.get((a, b))
-        if k is None:
-            k = self.merge[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        return k
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words that are not known yet, all at once."""
-        tok: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            raw = w.encode("utf-8", "replace")
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                tok.append(whole)
-            else:
-                tok.extend(map(self.single.__getitem__, raw))
-            ends.append(len(tok))
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.merge: dict[int, int] = {}
+        self.most_pieces = most_pieces
+        self.find, self.find_plain, self.plain = regex.compile(WORDS).findall, re.compile(PLAIN_WORDS).findall, re.compile(PLAIN).fullmatch
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.word_ids = Index(), Rows()
+        self.pieces, self.piece_ids = Index(), Rows()
+        self.lead, self.trail, self.white = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def rank_of(self, key: int) -> int:
+        """The rank of the merge of a pair of ids, -1 if there is none."""
+        r = self.merge.get(key)
+        if r is None:
+            r = self.merge[key] = self.ranks.get(self.bytes_of[key >> 20] + self.bytes_of[key & 0xFFFFF], -1)
+        return r
+
+    def learn_words(self, words: list[str]) -> None:
+        """Encode new words, all at once, by an index of the positions of each pair."""
+        raw = [w.encode("utf-8", "replace") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        tok = self.single[np.frombuffer(b"".join(raw), np.uint8)]
         n = len(tok)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        start = 0
-        for e in ends:
-            if e > start:
-                prv[start], nxt[e - 1] = -1, -1
-            start = e
-        index: dict[tuple[int, int], list[int]] = {}
-        heap: list[tuple[int, int, int]] = []
-
-        def enter(a: int, b: int, at: int) -> None:
-            held = index.get((a, b))
-            if held is not None:
-                held.append(at)
-            else:
-                rank = self.merged(a, b)
-                if rank >= 0:
-                    index[a, b] = [at]
-                    heapq.heappush(heap, (rank, a, b))
-
-        for i in range(n):
-            if nxt[i] >= 0:
-                enter(tok[i], tok[nxt[i]], i)
+        ends = np.cumsum(size)
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[ends - 1], prv[ends - size] = -1, -1
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[tuple[int, int]] = []
+
+        def enter(keys: np.ndarray, places: np.ndarray) -> None:
+            order = np.argsort(keys, kind="stable")
+            keys, places = keys[order], places[order]
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            at = [0, *cuts.tolist(), len(keys)]
+            for k, i, j in zip(keys[at[:-1]].tolist(), at, at[1:]):
+                held = index.get(k)
+                if held is not None:
+                    held.append(places[i:j])
+                elif (r := self.rank_of(k)) >= 0:
+                    index[k] = [places[i:j]]
+                    heapq.heappush(heap, (r, k))
+
+        i = np.flatnonzero(nxt >= 0)
+        if len(i):
+            enter(tok[i] << 20 | tok[i + 1], i)
         while heap:
-            rank, a, b = heapq.heappop(heap)
-            places = index.pop((a, b))
-            places.sort()
-            for i in places:
-                j = nxt[i]
-                if tok[i] != a or j < 0 or tok[j] != b:
-                    continue  # an earlier merge took one of the two
-                k, h = nxt[j], prv[i]
-                tok[i], tok[j], nxt[i] = rank, -1, k
-                if k >= 0:
-                    prv[k] = i
-                    enter(rank, tok[k], i)
-                if h >= 0:
-                    enter(tok[h], rank, h)
-        start = 0
-        for w, e in zip(words, ends):
-            self.words[w] = [t for t in tok[start:e] if t >= 0]
-            start = e
-
-    def learn_lines(self, lines: list[str]) -> None:
-        cut = [self.find_ascii(x) if x.isascii() else self.find(x) for x in lines]
-        if len(self.words) > self.most_words:
-            self.words.clear()
-        new = {w for ws in cut for w in ws}.difference(self.words)
-        if new:
-            self.learn(list(new))
-        known = self.words
-        for line, ws in zip(lines, cut):
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            self.lines[line] = np.array(ids, np.int32)
-            self.chars += len(line)
+            rank, key = heapq.heappop(heap)
+            held = index.pop(key)
+            a, b = key >> 20, key & 0xFFFFF
+            i = held[0] if len(held) == 1 else np.concatenate(held)
+            i = i[tok[i] == a]
+            i = i[nxt[i] >= 0]
+            i = i[tok[nxt[i]] == b]  # the others lost a side to an earlier merge
+            if a == b and len(i):  # overlapping places merge from the left
+                i, last, keep = np.unique(i), -1, []
+                for p, q in zip(i.tolist(), nxt[i].tolist()):
+                    if p != last:
+                        keep.append(p)
+                        last = q
+                i = np.array(keep)
+            if not len(i):
+                continue
+            j = nxt[i]
+            after = nxt[j]
+            tok[i], tok[j], nxt[i] = rank, -1, after
+            has = after >= 0
+            prv[after[has]] = i[has]
+            before = prv[i]
+            left = before[before >= 0]
+            right = i[has]
+            if len(left) or len(right):
+                enter(np.concatenate([rank << 20 | tok[nxt[right]], tok[left] << 20 | rank]), np.concatenate([right, left]))
+        live = tok >= 0
+        self.word_ids.add(tok[live].astype(np.int32), np.add.reduceat(live, ends - size).astype(np.int64) if n else size)
+
+    def encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's begin, and the end), each text by its words."""
+        cut = [self.find_plain(t) if self.plain(t) else self.find(t) for t in texts]
+        flat = [w for ws in cut for w in ws]
+        at = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        if new := self.words.taken():
+            self.learn_words(new)
+        ids, done = self.word_ids.joined(at)
+        first = np.zeros(len(cut) + 1, np.int64)
+        np.cumsum([len(ws) for ws in cut], out=first[1:])
+        return ids, done[first]
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        own, lead, trail, white = [], [], [], []
+        for p in pieces:
+            w = p[1:] if p[0:1] == FIRST else p if p[0:1] == "\n" else " " + p
+            own.append(w)
+            bare = w.strip()
+            white.append(not bare and w != "")
+            lead.append(len(w) - len(w.lstrip()))
+            trail.append(len(w) - len(w.rstrip()))
+        self.lead, self.trail, self.white = (np.concatenate([x, np.array(y, x.dtype)]) for x, y in ((self.lead, lead), (self.trail, trail), (self.white, white)))
+        ids, done = self.encode_words(own)
+        self.piece_ids.add(ids, np.diff(done))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of each text); a null or empty text has none."""
-        parts = [self.cut(t) if t else [] for t in texts]
-        if self.chars > self.most_chars:
-            self.lines.clear()
-            self.chars = 0
-        new = {x for p in parts for x in p}.difference(self.lines)
-        if new:
-            self.learn_lines(list(new))
-        known = self.lines
-        rows = [known[x] for p in parts for x in p]
-        sizes = np.fromiter((sum(map(len, map(known.__getitem__, p))) for p in parts), np.int64, len(parts))
-        offsets = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum(sizes, out=offsets[1:])
-        return (np.concatenate(rows) if rows else np.zeros(0, np.int32)), offsets
+        if len(self.pieces) > self.most_pieces:
+            self.forget()
+        pieces: list[str] = []
+        first = np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                pieces += (FIRST + t.replace("\n", " \n")).split(" ")
+            first[i + 1] = len(pieces)
+        at = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        if new := self.pieces.taken():
+            self.learn_pieces(new)
+        # words reach over pieces where white space runs on: three in a row, or two at the end
+        lead, trail, white = self.lead[at], self.trail[at], self.white[at]
+        before = np.concatenate([[0], trail[:-1]]) if len(at) else trail
+        before[first[:-1][first[:-1] < len(at)]] = 0
+        follows = np.concatenate([lead[1:], [0]]) if len(at) else lead
+        end = np.zeros(len(at), bool)
+        end[first[1:][first[1:] > 0] - 1] = True
+        follows[end] = 0
+        odd = np.where(white, (before > 0) | (lead > 1) | (follows > 1), (before + lead > 2) & (before > 0))
+        bad = np.unique(np.searchsorted(first, np.flatnonzero(odd), side="right") - 1)
+        marked = [i for i, t in enumerate(texts) if t and FIRST in t]
+        bad = sorted({*bad.tolist(), *marked})
+        known = len(self.piece_ids.size)
+        if bad:
+            ids, done = self.encode_words([texts[i] for i in bad])
+            self.piece_ids.add(np.concatenate([ids, ids[:0]]), np.concatenate([np.diff(done), [0]]))
+            for k, i in enumerate(bad):
+                at[first[i] : first[i + 1]] = known + len(bad)
+                at[first[i]] = known + k
+        ids, done = self.piece_ids.joined(at)
+        self.piece_ids.shortened(known)
+        return ids, done[first]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -153,7 +238,7 @@ def encoder(ranks, key: str) -> Encoder:  # noqa: ANN001
 
 def portions(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes of text, so that very long texts don't add up."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
     start = done = 0
     for i, n in enumerate(np.cumsum(lengths)):
         if n - done > most and i > start:

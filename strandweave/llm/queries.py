@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import linkage, oracles, percentiles, runs, similar
+from strandweave.llm import bpe, language, linkage, mixing, oracles, percentiles, runs, similar
 from strandweave.llm.vectors import usable_vectors
 from strandweave.operators.gridding import DAY_S, instant_us
 from strandweave.runtime import table
@@ -75,6 +75,31 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
         "first_vec_id", "size", "spread", "typical", (-F.col("m.c")).alias("reported_cluster_id"), F.round(F.col("m.n") / F.col("size"), 6).alias("reported_share"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encoded(table(spark, d, "documents"))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), table(spark, d, "lang_aliases"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_mix(spark, d)[1])
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return language.languages(docs, language.trained(docs, table(spark, d, "lang_aliases")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_faults(p8_languages(spark, d), table(spark, d, "lang_aliases"))
+
+
 QUERIES = {
     "p1_ig_by_day": p1_ig_by_day,
     "p1_ig_joined_days": p1_ig_joined_days,
@@ -85,4 +110,9 @@ QUERIES = {
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
+    "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_languages": p8_languages,
 }

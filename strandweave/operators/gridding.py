@@ -6,8 +6,8 @@ is short enough; otherwise it is marked.
 
 How it scales: readings shuffle once on (source, slot), so a source that holds a third of all rows
 still spreads over all tasks; only one row per slot goes on. The as-of lookup runs in chunks of one
-day of one source (1440 slots at one minute); what crosses a day's edge comes from one summary row
-per day, so that no task ever holds a whole source.
+day of one source (1440 slots at one minute); slots near a day's edge go to the day beyond it as
+well, so that neighbours are found over midnight and no task ever holds a whole source.
 """
 
 from __future__ import annotations
@@ -68,32 +68,25 @@ def regular_grid(
     at = [F.when(F.col(f"v{i}").isNotNull(), F.struct("us", F.col(f"v{i}").alias("v"))) for i in n]
     slots = once.groupBy("src", "slot").agg(
         *[a for i in n for a in (F.count(f"v{i}").alias(f"n{i}"), F.avg(f"v{i}").alias(f"m{i}"), F.min(at[i]).alias(f"f{i}"), F.max(at[i]).alias(f"l{i}"))]
-    ).withColumn("day", F.floor(F.col("slot") / DAY_S))
-
-    days = slots.groupBy("src", "day").agg(*[a for i in n for a in (F.min(f"f{i}").alias(f"f{i}"), F.max(f"l{i}").alias(f"l{i}"))])
-    before = Window.partitionBy("src").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("src").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = days.select(
-        "src", "day",
-        *[F.last(f"l{i}", ignorenulls=True).over(before).alias(f"cl{i}") for i in n],
-        *[F.last(f"f{i}", ignorenulls=True).over(after).alias(f"cf{i}") for i in n],
     )
 
+    # a slot near a day's edge is context of the day beyond it, as far as a gap may reach
+    reach = max_gap_s + step_s
+    chunks = F.sequence(F.floor((F.col("slot") - reach) / DAY_S), F.floor((F.col("slot") + reach) / DAY_S))
+    slots = slots.withColumn("day", F.explode(chunks)).withColumn("own", F.floor(F.col("slot") / DAY_S) == F.col("day"))
     chunk = Window.partitionBy("src", "day").orderBy("slot")
     up_to = chunk.rowsBetween(Window.unboundedPreceding, 0)
     past = Window.partitionBy("src", "day").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
     merged = slots.select(
-        "src", "day", "slot", *[c for i in n for c in (f"n{i}", f"m{i}")],
-        F.lead("slot").over(chunk).alias("next_slot"),
+        "src", "day", "slot", "own", *[c for i in n for c in (f"n{i}", f"m{i}")],
+        F.lead(F.when(F.col("own"), F.col("slot"))).over(chunk).alias("next_slot"),
         *[F.last(f"l{i}", ignorenulls=True).over(up_to).alias(f"p{i}") for i in n],
         *[F.last(f"f{i}", ignorenulls=True).over(past).alias(f"q{i}") for i in n],
-    ).join(carry, ["src", "day"])
+    ).where("own")
     grid = merged.select(
         "src", F.col("slot").alias("own"),
         F.explode(F.sequence(F.col("slot"), F.coalesce(F.col("next_slot") - step_s, F.col("slot")), F.lit(step_s))).alias("slot"),
-        *[c for i in n for c in (f"n{i}", f"m{i}")],
-        *[F.coalesce(f"p{i}", f"cl{i}").alias(f"p{i}") for i in n],
-        *[F.coalesce(f"q{i}", f"cf{i}").alias(f"q{i}") for i in n],
+        *[c for i in n for c in (f"n{i}", f"m{i}", f"p{i}", f"q{i}")],
     )
     here = F.col("own") == F.col("slot")
     cells = grid.select(

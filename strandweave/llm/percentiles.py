@@ -13,6 +13,8 @@ sorts values or holds a group's rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +43,8 @@ def digit_state(df: DataFrame, groups: list[str], value: str, mantissa_bits: int
     if not 0 <= mantissa_bits <= 52:
         raise ValueError("mantissa_bits must be in 0..52")
     v = F.col(value).cast("double")
-    counted = (
-        df.select(*groups, v.alias("_v")).where("_v is not null and not isnan(_v) and abs(_v) < double('infinity')")
-        .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    return (
-        counted.withColumn("code", F.shiftright(order_code(F.col("_v")), 52 - mantissa_bits))
-        .groupBy(*groups, "code").agg(F.sum("n").alias("n"))
-    )
+    finite = df.select(*groups, v.alias("_v")).where("_v is not null and not isnan(_v) and abs(_v) < double('infinity')")
+    return finite.select(*groups, F.shiftright(order_code(F.col("_v")), 52 - mantissa_bits).alias("code")).groupBy(*groups, "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merged_states(states: DataFrame, groups: list[str]) -> DataFrame:
@@ -58,45 +54,46 @@ def merged_states(states: DataFrame, groups: list[str]) -> DataFrame:
 
 def select_percentiles(
     states: DataFrame, groups: list[str], probs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99),
-    mantissa_bits: int = 10, digit_bits: int = 8,
+    mantissa_bits: int = 10, digit_bits: int = 11,
 ) -> DataFrame:
     """One row per group: `<groups>, n, p05, p25, ...` from states of that many mantissa bits.
 
     A percentile p is the value of rank ceil(p n) (at least 1), as the middle of its code's range,
     or exactly if mantissa_bits is 52. Each pass histograms the next `digit_bits` bits of the codes
-    that agree with a target's digits so far and keeps the digit in which the target's rank falls.
-    An empty state gives no rows.
+    and goes on with those codes alone whose digit contains a target's rank. An empty state gives
+    no rows. `states` is read once per pass; write it first where it is dear to compute.
     """
     bits = 12 + mantissa_bits
-    key = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit("")
-    u = states.select(
-        key.alias("_g"), *groups, "n",
-        (F.col("code") + F.lit(1 << (bits - 1)) if bits < 64 else F.col("code").bitwiseXOR(F.lit(-(1 << 63)))).alias("u"),
-    ).repartition("_g")
-    width = lambda shift: F.shiftrightunsigned("u", shift) if shift < 64 else F.lit(0).cast("long")
-    totals = u.groupBy("_g", *groups).agg(F.sum("n").alias("total"))
-    t = totals.select("_g", *groups, "total", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])).alias("x"))
-    t = t.select("_g", *groups, "total", F.col("x.i").alias("i"),
-                 F.greatest(F.lit(1), F.col("total") - F.floor(F.col("total") - F.col("total") * F.col("x.p"))).cast("long").alias("rank"),
-                 F.lit(0).cast("long").alias("prefix"))
-    shift = bits
+    unsigned = F.col("code") + F.lit(1 << (bits - 1)) if bits < 64 else F.col("code").bitwiseXOR(F.lit(-(1 << 63)))
+    rest = states.select(*groups, F.lit(0).cast("long").alias("prefix"), unsigned.alias("u"), "n")
+    keys = [*groups, "prefix"]
+    goals, shift = None, bits
     while shift > 0:
-        step = min(digit_bits, shift)
-        shift -= step
-        hist = u.groupBy("_g", width(shift + step).alias("prefix"), width(shift).alias("digits")).agg(F.sum("n").alias("n"))
-        w = Window.partitionBy("_g", "i").orderBy("digits").rowsBetween(Window.unboundedPreceding, 0)
-        t = (
-            t.join(hist, ["_g", "prefix"])
-            .withColumn("upto", F.sum("n").over(w))
-            .where("upto - n < rank and rank <= upto")
-            .select("_g", *groups, "total", "i", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), F.col("digits").alias("prefix"))
-        )
+        shift -= min(digit_bits, shift)
+        hist = rest.groupBy(*keys, F.shiftrightunsigned("u", shift).alias("digits")).agg(F.sum("n").alias("n"))
+        w = Window.partitionBy(*keys)
+        hist = hist.withColumn("upto", F.sum("n").over(w.orderBy("digits").rowsBetween(Window.unboundedPreceding, 0)))
+        if goals is None:
+            hist = hist.withColumn("total", F.sum("n").over(w))
+            rank = lambda p: F.greatest(F.lit(1), F.col("total") - F.floor(F.col("total") - F.col("total") * F.lit(float(p)))).cast("long")
+            hist = hist.withColumn("goals", F.array(*[F.struct(F.lit(i).alias("i"), rank(p).alias("rank")) for i, p in enumerate(probs)]))
+        else:
+            hist = matched(hist, goals, keys)
+        inside = F.filter("goals", lambda g: (F.col("upto") - F.col("n") < g["rank"]) & (g["rank"] <= F.col("upto")))
+        goals = hist.select(*groups, F.col("digits").alias("prefix"), "total", F.transform(inside, lambda g: F.struct(g["i"].alias("i"), (g["rank"] - F.col("upto") + F.col("n")).alias("rank"))).alias("goals")).where(F.size("goals") > 0)
+        if shift > 0:
+            narrowed = rest.select(*groups, F.shiftrightunsigned("u", shift).alias("prefix"), "u", "n")
+            rest = matched(narrowed, goals.select(*keys), keys, "left_semi")
     code = F.col("prefix") - F.lit(1 << (bits - 1)) if bits < 64 else F.col("prefix").bitwiseXOR(F.lit(-(1 << 63)))
     drop = 52 - mantissa_bits
-    full = F.shiftleft(code.cast("long"), drop) + F.lit((1 << (drop - 1)) if drop else 0)
-    t = t.withColumn("value", order_value(full))
+    t = goals.withColumn("value", order_value(F.shiftleft(code.cast("long"), drop) + F.lit((1 << (drop - 1)) if drop else 0)))
     names = [f"p{round(p * 100):02d}" if round(p * 1000) % 10 == 0 else f"p{round(p * 1000):03d}" for p in probs]
-    return (
-        t.groupBy("_g", *groups).agg(F.max("total").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(names)])
-        .drop("_g")
-    )
+    return t.groupBy(*groups).agg(
+        F.max("total").alias("n"), *[F.max(F.when(F.array_contains(F.transform("goals", lambda g: g["i"]), F.lit(i)), F.col("value"))).alias(name) for i, name in enumerate(names)])
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join where all keys agree, nulls with nulls; the right side's keys are dropped."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandweave.llm import bpe, language, linkage, mixing, oracles, percentiles, runs, similar
 from strandweave.llm.vectors import usable_vectors
 from strandweave.operators.gridding import DAY_S, instant_us
-from strandweave.runtime import table
+from strandweave.runtime import table, written
 
 DIGITS = 10
 ORACLES = oracles.ORACLES
@@ -21,7 +21,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def _ig_states(spark: SparkSession, d: str) -> DataFrame:
     """States of ig per subject and UTC day; a reading that came more than once counts once."""
     o = table(spark, d, "observations").select("subject_id", "obs_idx", F.floor(instant_us("datetime") / (DAY_S * 1_000_000)).alias("day"), "ig")
-    return percentiles.digit_state(o.where("day is not null").distinct(), ["subject_id", "day"], "ig", DIGITS)
+    return written(percentiles.digit_state(o.where("day is not null").distinct(), ["subject_id", "day"], "ig", DIGITS))
 
 
 def p1_ig_by_day(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,7 @@ def p1_labels(spark: SparkSession, d: str) -> DataFrame:
     long = b.select("subject_id", "clustering_desc", "segment_id", F.explode(F.array(*[one(g, m) for g in ("cluster_id", "clustering_desc") for m in ("mae", "length")])).alias("x"))
     long = long.select("subject_id", "clustering_desc", "segment_id", "x.*").distinct()
     g = ["grouping", "key", "measure"]
-    return _rounded(percentiles.select_percentiles(percentiles.digit_state(long, g, "value", 52), g, mantissa_bits=52, digit_bits=16))
+    return _rounded(percentiles.select_percentiles(written(percentiles.digit_state(long, g, "value", 52)), g, mantissa_bits=52, digit_bits=16))
 
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandweave.plans import grid_queries
+from strandweave.plans import grid_queries, model_queries
 
-FLAGSHIP = "p2_found"
-QUERIES = {**grid_queries.QUERIES}
-ORACLES = {**grid_queries.ORACLES}
+FLAGSHIP = "silhouette_l5"
+QUERIES = {**model_queries.QUERIES, **grid_queries.QUERIES}
+ORACLES = {**model_queries.ORACLES, **grid_queries.ORACLES}

@@ -27,8 +27,8 @@ def runs_to_segments(df: DataFrame, by: list[str], order: list[str], value: str,
     """Runs of equal values in order: `<by>, segment_id, value, start_idx, end_idx, length`."""
     w = Window.partitionBy(*by).orderBy(*order)
     x = df.withColumn("_new", (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("int"))
-    x = x.withColumn("segment_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return x.groupBy(*by, "segment_id").agg(F.min(value).alias("value"), F.min(position).alias("start_idx"), F.max(position).alias("end_idx"), F.count(F.lit(1)).alias("length"))
+    x = x.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return x.groupBy(*by, F.col("_run").alias("segment_id")).agg(F.min(value).alias("value"), F.min(position).alias("start_idx"), F.max(position).alias("end_idx"), F.count(F.lit(1)).alias("length"))
 
 
 def exploded(segments: DataFrame, *keep: str) -> DataFrame:

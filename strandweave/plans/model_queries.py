@@ -207,7 +207,7 @@ def runs_to_segments(spark: SparkSession, d: str) -> DataFrame:
     return segments.runs_to_segments(e, ["user_id"], ["ts", "event_id"], "event_type", "i")
 
 
-@query(V.with_(V.OBS) + f"SELECT subject_id, us // 60000000 * 60 AS bucket, {', '.join(f'round_even(round(avg({c}), 9), 3) AS {c}' for c in VARIATES)}, min(obs_idx) AS first_idx, max(obs_idx) AS last_idx, count(*) AS n FROM obs WHERE us IS NOT NULL GROUP BY ALL")
+@query(V.with_(V.OBS) + f"SELECT subject_id, us // 60000000 * 60 AS bucket, {', '.join(f"{V.half_even(f'avg({c})')} AS {c}" for c in VARIATES)}, min(obs_idx) AS first_idx, max(obs_idx) AS last_idx, count(*) AS n FROM obs WHERE us IS NOT NULL GROUP BY ALL")
 def tumbling_minute_mean(spark: SparkSession, d: str) -> DataFrame:
     return segments.tumbling_mean(S.observations(spark, d), 60, VARIATES)
 
@@ -283,7 +283,8 @@ def partition_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 def _silhouette_sql(rows: str, by: str, p: float) -> str:
     return f"""pr AS (SELECT {', '.join('a.' + c for c in by.split(', '))}, a.row, a.c AS own, b.c AS other, avg({V.lp('a.v', 'b.v', p)}) AS d FROM {rows} a JOIN {rows} b ON {' AND '.join(f'a.{c} = b.{c}' for c in by.split(', '))} AND a.row <> b.row GROUP BY ALL),
-  ab AS (SELECT {by}, row, own, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM pr GROUP BY ALL),
+  pz AS (SELECT * FROM pr UNION ALL SELECT {by}, row, c, c, NULL FROM {rows}),
+  ab AS (SELECT {by}, row, own, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM pz GROUP BY ALL),
   si AS (SELECT {by}, own, CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab),
   sw AS (SELECT {by}, CASE WHEN count(*) > count(DISTINCT own) THEN round(avg(s) + 1e-9, 6) END AS swc FROM si GROUP BY ALL)"""
 

@@ -16,7 +16,7 @@ OBS = """obs AS (
   SELECT subject_id, obs_idx, max(epoch_us(try_cast(datetime AS timestamptz))) AS us, max(iob) AS iob, max(cob) AS cob, max(ig) AS ig FROM observations
   WHERE isfinite(iob) AND isfinite(cob) AND isfinite(ig) AND subject_id IS NOT NULL AND obs_idx IS NOT NULL GROUP BY subject_id, obs_idx
 )"""
-_NUM = "CASE WHEN {c} < 1e30 THEN round({c}::DOUBLE, 6) END AS {c}"
+_NUM = "CASE WHEN {c}::VARCHAR <> 'nan' THEN round({c}::DOUBLE, 6) END AS {c}"
 SEG = f"""seg AS (
   SELECT subject_id, segment_id, start_idx, end_idx, length, cluster_id, {vec('correlation_to_model')} AS model, {vec('correlation_achieved')} AS achieved,
     {FLAG.format(c='correlation_achieved_with_tolerance')} AS within, {_NUM.format(c='mae')}, {_NUM.format(c='relaxed_mae')}
@@ -25,7 +25,7 @@ SEG = f"""seg AS (
 BAD = f"""bad AS (
   SELECT subject_id, clustering_desc, segment_id, min(start_idx) AS start_idx, min(coalesce(end_idx, start_idx + length - 1)) AS end_idx, min(length) AS length, min(cluster_id) AS cluster_id,
     min({vec('correlation_achieved')}) AS achieved, min({FLAG.format(c='correlation_achieved_with_tolerance')}) AS within,
-    min(CASE WHEN mae < 1e30 THEN round(mae::DOUBLE, 6) END) AS mae, min(CASE WHEN relaxed_mae < 1e30 THEN round(relaxed_mae::DOUBLE, 6) END) AS relaxed_mae
+    min(CASE WHEN mae::VARCHAR <> 'nan' THEN round(mae::DOUBLE, 6) END) AS mae, min(CASE WHEN relaxed_mae::VARCHAR <> 'nan' THEN round(relaxed_mae::DOUBLE, 6) END) AS relaxed_mae
   FROM bad_labels GROUP BY subject_id, clustering_desc, segment_id
 )"""
 PAT = f"""pat AS (SELECT pattern_id, {vec('canonical_pattern')} AS canonical, {vec('relaxed_pattern')} AS relaxed, regularisation, is_ideal = 'Yes' AS ideal FROM pattern_catalogue)"""

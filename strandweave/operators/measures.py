@@ -74,7 +74,10 @@ def classification_scores(predicted: DataFrame, by: list[str], truth: str = "clu
 
 
 def criteria(distances: DataFrame, by: list[str]) -> DataFrame:
-    """`<by>, criterion, value`: mean of level 0, rate of increase, entropies, macro F1, number of NaN and infinite distances."""
+    """`<by>, criterion, value`: mean of level 0, rate of increase, entropies, macro F1, number of NaN and infinite distances.
+
+    `distances` is read by every criterion: write it first.
+    """
     norm = normalised(distances, by)
     stats = level_statistics(norm, by)
     one = lambda df, name, c: df.select(*by, F.lit(name).alias("criterion"), c.cast("double").alias("value"))

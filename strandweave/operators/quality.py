@@ -21,19 +21,31 @@ from strandweave.functions.columns import distance, ratio
 from strandweave.operators.segments import interval_join
 
 
+def powered(x: np.ndarray, p: int) -> np.ndarray:
+    """x ** p by squaring."""
+    out = None
+    while p:
+        if p & 1:
+            out = x if out is None else out * x
+        p >>= 1
+        x = x * x if p else x
+    return out
+
+
 def block_distances(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
-    """Lp distances between all rows of two matrices."""
-    p = float(measure[1:].replace("inf", "nan")) if measure != "linf" else math.inf
+    """Lp distances between all rows of two matrices, for whole p and for infinity."""
+    p = 0 if measure == "linf" else int(measure[1:])
     out = np.empty((len(a), len(b)))
-    for i, x in enumerate(a):
-        d = np.abs(b - x)
-        if p == 1:
-            out[i] = d.sum(1)
-        elif p == 2:
-            out[i] = np.sqrt((d * d).sum(1))
-        else:
-            most = d.max(1)
-            out[i] = most if math.isinf(p) else most * ((d / np.where(most > 0, most, 1)[:, None]) ** p).sum(1) ** (1 / p)
+    step = max(1, 200_000 // max(1, b.size))
+    for i in range(0, len(a), step):
+        d = np.abs(a[i : i + step, None] - b[None])
+        if not p:
+            out[i : i + step] = d.max(2)
+        elif p <= 10:
+            out[i : i + step] = powered(d, p).sum(2) ** (1 / p)
+        else:  # the largest difference is factored out, lest the powers vanish
+            most = d.max(2)
+            out[i : i + step] = most * powered(d / np.where(most > 0, most, 1)[:, :, None], p).sum(2) ** (1 / p)
     return out
 
 
@@ -46,22 +58,35 @@ def cluster_distances(df: DataFrame, by: list[str], row: str, cluster: str, vec:
     other = packed.select(*by, F.col("_p").alias("_q"), F.col("_l").alias("_m"))
     kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
 
+    names = [*by, "row", "own", "other", "total", "n"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            cols: list[list] = [[] for _ in names]
             for rec in f.itertuples(index=False):
                 left, right = rec[-2], rec[-1]
                 a, b = (np.array([r["_v"] for r in s], float) for s in (left, right))
                 d = block_distances(a, b, measure)
-                same = np.array([r["_row"] for r in left])[:, None] == np.array([r["_row"] for r in right])[None]
+                rows, own = [r["_row"] for r in left], [r["_c"] for r in left]
+                same = np.array(rows)[:, None] == np.array([r["_row"] for r in right])[None]
                 d[same] = 0
-                own, cs = [r["_c"] for r in left], np.array([r["_c"] for r in right])
-                for c in np.unique(cs):
-                    m = cs == c
-                    yield pd.DataFrame({**{k: [v] * len(left) for k, v in zip(by, rec)}, "row": [r["_row"] for r in left], "own": own, "other": c,
-                                        "total": d[:, m].sum(1), "n": (~same[:, m]).sum(1)})[[*by, "row", "own", "other", "total", "n"]]
+                kinds_, at = np.unique(np.array([r["_c"] for r in right]), return_inverse=True)
+                hot = (at[:, None] == np.arange(len(kinds_))[None]).astype(float)
+                total, n = d @ hot, (~same) @ hot
+                sides = [(rows, own, kinds_, total, n)]
+                if rec[-3]:  # the other half of the symmetric block
+                    kinds_, at = np.unique(np.array(own), return_inverse=True)
+                    hot = (at[:, None] == np.arange(len(kinds_))[None]).astype(float)
+                    sides.append(([r["_row"] for r in right], [r["_c"] for r in right], kinds_, d.T @ hot, (~same).T @ hot))
+                for rows, own, kinds_, total, n in sides:
+                    for k, other_ in enumerate(kinds_.tolist()):
+                        for c, v in zip(cols, (*([x] * len(rows) for x in rec[:-3]), rows, own, [other_] * len(rows), total[:, k].tolist(), n[:, k].astype(int).tolist())):
+                            c += v
+            yield pd.DataFrame(dict(zip(names, cols)))
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", row {kinds['_row']}, own {kinds['_c']}, other {kinds['_c']}, total double, n long"
-    pairs = packed.join(other, by).select(*by, "_l", "_m")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = packed.join(other, by).where("_p <= _q").repartition(tasks, *by, "_p", "_q").select(*by, (F.col("_p") < F.col("_q")).alias("_two"), "_l", "_m")
     return pairs.mapInPandas(run, schema).groupBy(*by, "row", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 

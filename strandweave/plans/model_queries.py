@@ -12,7 +12,7 @@ from strandweave.functions import matrices
 from strandweave.operators import correlation, measures, quality, segments
 from strandweave.operators.describe import describe, entropy, min_max_scaled
 from strandweave.plans import views as V
-from strandweave.runtime import table
+from strandweave.runtime import table, written
 from strandweave.sources import tables as S
 from strandweave.sources.tables import VARIATES
 
@@ -434,10 +434,10 @@ _CRIT = _CI + _entropy_sql("", "eo") + _entropy_sql("level", "el") + _SCORES + f
 
 @query(_PD + _CRIT + " SELECT * FROM cr")
 def measure_criteria(spark: SparkSession, d: str) -> DataFrame:
-    return measures.criteria(_distances(spark, d), ["measure"])
+    return measures.criteria(written(_distances(spark, d)), ["measure"])  # read by every criterion
 
 
-_RANK = _CRIT + ", rn AS (SELECT measure, criterion, value, dense_rank() OVER (PARTITION BY criterion ORDER BY CASE WHEN criterion IN ('level0_mean', 'level_entropy') THEN value ELSE -value END) AS rank FROM cr WHERE criterion <> 'odd')"
+_RANK = _CRIT + ", rn AS (SELECT measure, criterion, value, (dense_rank() OVER (PARTITION BY criterion ORDER BY CASE WHEN criterion IN ('level0_mean', 'level_entropy') THEN value ELSE -value END))::INT AS rank FROM cr WHERE criterion <> 'odd')"
 
 
 @query(_PD + _RANK + " SELECT * FROM rn")
@@ -445,7 +445,7 @@ def measure_ranks(spark: SparkSession, d: str) -> DataFrame:
     return measures.ranks(measure_criteria(spark, d))
 
 
-@query(_PD + _RANK + f", av AS (SELECT measure, {V.r6('avg(rank)', 3)} AS average_rank FROM rn GROUP BY 1) SELECT measure, average_rank, dense_rank() OVER (ORDER BY average_rank) AS place FROM av")
+@query(_PD + _RANK + f", av AS (SELECT measure, {V.r6('avg(rank)', 3)} AS average_rank FROM rn GROUP BY 1) SELECT measure, average_rank, (dense_rank() OVER (ORDER BY average_rank))::INT AS place FROM av")
 def measure_average_ranks(spark: SparkSession, d: str) -> DataFrame:
     a = measures.ranks(measure_criteria(spark, d)).groupBy("measure").agg(C.r6(F.avg("rank"), 3).alias("average_rank"))
     return quality.ranked_groups(a.withColumn("_g", F.lit(1)), ["_g"], "average_rank", "place").drop("_g")

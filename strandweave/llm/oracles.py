@@ -35,7 +35,7 @@ WITH b AS (
   SELECT *, sum(starts) OVER (PARTITION BY subject_id, clustering_desc ORDER BY s, t, segment_id ROWS UNBOUNDED PRECEDING) AS run FROM f
 ), runs AS (
   SELECT subject_id, clustering_desc, any_value(k) AS cluster_id, min(s) AS start_idx, max(t) AS end_idx, count(*) AS n_events,
-         sum(greatest(0, CASE WHEN starts = 1 THEN t - s + 1 ELSE t - greatest(s - 1, reach) END)) AS covered
+         sum(greatest(0, CASE WHEN starts = 1 THEN t - s + 1 ELSE t - greatest(s - 1, reach) END))::BIGINT AS covered
   FROM r GROUP BY subject_id, clustering_desc, run
 )
 """

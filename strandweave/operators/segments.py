@@ -90,7 +90,7 @@ def ordered(segments: DataFrame, by: list[str]) -> tuple[DataFrame, Window]:
     return x, w
 
 
-def shifted(segments: DataFrame, by: list[str], k: int, least: int = 3) -> DataFrame:
+def shifted(segments: DataFrame, by: list[str], k: int | Column, least: int = 3) -> DataFrame:
     """Boundaries moved by k, but for the first start and the last end; segments that begin too late are dropped, the last kept ends at the end."""
     x, _ = ordered(segments, by)
     n = F.max("end_idx").over(Window.partitionBy(*by))
@@ -102,7 +102,7 @@ def shifted(segments: DataFrame, by: list[str], k: int, least: int = 3) -> DataF
     return x.withColumn("length", F.col("end_idx") - F.col("start_idx") + 1).drop("_first", "_last", "_n")
 
 
-def wrong_clusters(segments: DataFrame, by: list[str], n: int, clusters: Column) -> DataFrame:
+def wrong_clusters(segments: DataFrame, by: list[str], n: int | Column, clusters: Column) -> DataFrame:
     """The first n segments by hash get another cluster: the next after their own in the sorted array `clusters`."""
     w = Window.partitionBy(*by).orderBy(portable_hash(F.col("segment_id") + 1), "segment_id")
     at = F.array_position(clusters, F.col("cluster_id"))

@@ -97,3 +97,15 @@ def test_chunked_path_equals_whole_path(spark):
     assert total(got) == pytest.approx(total(want))
     e = ticc.edges(spark, model)
     assert ticc.asymmetric_edges(e).count() == 0 and ticc.centralities(e).where("degree < 1").count() == 0
+
+
+def test_degraded_partitions_tile_and_relabel(spark):
+    from strandweave.plans.variant_queries import SPECS, degraded
+    seg = [("a", i, 100 * i, 100 * i + 99, i % 4) for i in range(8)]
+    df = spark.createDataFrame(seg, "subject_id string, segment_id int, start_idx int, end_idx int, cluster_id int")
+    rows = degraded(df).collect()
+    own = {i: c for _, i, _, _, c in seg}
+    for name, k, s in SPECS:
+        p = sorted((r for r in rows if r.clustering_desc == name), key=lambda r: r.start_idx)
+        assert sum(r.length for r in p) == 800 and p[0].start_idx == 0 and p[-1].end_idx == 799
+        assert sum(r.cluster_id != own[r.segment_id] for r in p) == k and (p[1].start_idx - 100 == s)

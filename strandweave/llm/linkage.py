@@ -78,7 +78,6 @@ def similarity_clusters(
     members are all within `most` and farther than that from all others come out exactly. An empty
     collection gives no rows. `rounds` is a guard: reaching it raises an error, nothing is cut off.
     """
-    spark = vectors.sparkSession
     distinct, members, _ = copies(vectors, 1)
     distinct, members = written(distinct), written(members)
     forest = fitted_trees(sample_of(distinct, "rep", "vec", sample), rounds, seed)
@@ -113,6 +112,8 @@ def similarity_clusters(
 
     state = distinct.select(F.col("rep").alias("key"), "n", F.lit(0.0).alias("norm"), "vec")
     history: list[DataFrame] = []
+    steps: list[DataFrame] = []
+    paths: list[DataFrame] = []
     calm = tree = 0
     while calm < quiet:
         if tree == rounds:
@@ -120,6 +121,7 @@ def similarity_clusters(
         step = written(
             hashed(state, tree).repartitionByRange("hash").sortWithinPartitions("hash")
             .mapInArrow(merge, "key long, n long, norm double, vec array<double>, into long"))
+        steps.append(step)
         gone = step.where("into is not null").select(F.col("key").alias("old"), F.col("into").alias("new"))
         left, went = step.agg(F.count("n"), F.count("into")).first()
         calm = 0 if went else calm + 1
@@ -138,6 +140,9 @@ def similarity_clusters(
             later = final.select(F.col("old").alias("new"), F.col("new").alias("last"))
             final = final.unionByName(gone.join(later, "new", "left").select("old", F.coalesce("last", "new").alias("new")))
             final = written(final)
+            paths.append(final)
+    if paths:
+        dropped(*steps[:-1], *paths[:-1])  # all that they held is in the last ones
     named = members if final is None else members.join(final.select(F.col("old").alias("rep"), "new"), "rep", "left")
     named = named.select("vec_id", "rep", (F.coalesce("new", "rep") if final is not None else F.col("rep")).alias("first_vec_id"))
     centre = state.select(F.col("key").alias("first_vec_id"), F.col("n").alias("size"), F.col("norm"), F.col("vec").alias("mean"))
@@ -149,5 +154,4 @@ def similarity_clusters(
     inner = F.aggregate(F.transform("mean", lambda v: v * v), F.lit(0.0), lambda s, v: s + v)
     spread = F.sqrt(F.greatest(F.lit(0.0), 2 * (F.col("norm") - inner)) * F.when(F.col("size") > 1, F.col("size") / (F.col("size") - 1)).otherwise(1))
     clusters = centre.select("first_vec_id", "size", F.round(spread, 6).alias("spread")).join(top, "first_vec_id")
-    del spark
     return people, clusters

@@ -1,8 +1,9 @@
 """Toeplitz inverse-covariance clustering of multivariate series.
 
-A model is fitted on a bounded training series on the driver (alternating a sparse block-Toeplitz
-inverse covariance per cluster with the best assignment under a switching penalty), and applied to
-series of any number and length.
+A model is fitted on all rows of all series (alternating a sparse block-Toeplitz inverse covariance
+per cluster with the best assignment under a switching penalty): moments of the stacked windows are
+summed per cluster by the tasks, and only these sums reach the driver. It is applied to series of any
+number and length. `fit_matrix` does the same for one series in memory.
 
 Assigning is a shortest path. It is cut into chunks of positions: each chunk gives the cost of its
 best path for every pair of first and last cluster; per subject these small matrices are chained;
@@ -12,14 +13,20 @@ holds a whole subject's observations.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.runtime import dropped, written
+
 
 @dataclass
 class Model:
@@ -34,7 +41,7 @@ class Model:
         out = np.empty((len(stacked), len(self.means)))
         for k, (m, inv) in enumerate(zip(self.means, self.inverses)):
             d = stacked - m
-            out[:, k] = np.einsum("ij,jk,ik->i", d, inv, d) - np.linalg.slogdet(inv)[1]
+            out[:, k] = ((d @ inv) * d).sum(1) - np.linalg.slogdet(inv)[1]
         return out
 
 
@@ -44,18 +51,22 @@ def stacked_windows(x: np.ndarray, window: int) -> np.ndarray:
     return np.hstack([padded[k : k + len(x)] for k in range(window)])
 
 
+@lru_cache
+def _block_diagonals(size: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of every entry, whether it lies in the upper blocks, number of upper entries of each group); mirrored entries share a group."""
+    r, c = np.indices((size, size))
+    i, j, a, b = r // n, c // n, r % n, c % n
+    lag, upper = np.abs(j - i), i <= j
+    a, b = np.where(upper, a, b), np.where(upper, b, a)
+    a, b = np.where(lag == 0, np.minimum(a, b), a), np.where(lag == 0, np.maximum(a, b), b)
+    groups = np.unique((lag * n + a) * n + b, return_inverse=True)[1].reshape(size, size)
+    return groups, upper, np.bincount(groups[upper])
+
+
 def toeplitz_mean(m: np.ndarray, n: int) -> np.ndarray:
     """The nearest symmetric matrix whose blocks of size n are equal along each block diagonal."""
-    w = len(m) // n
-    out = np.empty_like(m)
-    for lag in range(w):
-        blocks = [m[i * n : (i + 1) * n, (i + lag) * n : (i + lag + 1) * n] for i in range(w - lag)]
-        mean = np.mean(blocks, axis=0)
-        mean = (mean + mean.T) / 2 if lag == 0 else mean
-        for i in range(w - lag):
-            out[i * n : (i + 1) * n, (i + lag) * n : (i + lag + 1) * n] = mean
-            out[(i + lag) * n : (i + lag + 1) * n, i * n : (i + 1) * n] = mean.T
-    return out
+    groups, upper, counts = _block_diagonals(len(m), n)
+    return (np.bincount(groups[upper], m[upper]) / counts)[groups]
 
 
 def sparse_inverse(cov: np.ndarray, n: int, penalty: float = 0.1, rho: float = 1.0, steps: int = 300, tol: float = 1e-5) -> np.ndarray:
@@ -162,12 +173,206 @@ def bayes_information(model: Model, stacked: np.ndarray, a: np.ndarray, zero: fl
     return float(size[changes].sum() * np.log(len(stacked)) - 2 * fit)
 
 
-def fit(obs: DataFrame, clusters: int, window: int, most_rows: int = 20_000, **settings: float) -> Model:
-    """Fit on the first `most_rows` observations of the first subject by name: a bounded sample that the driver holds."""
-    first = obs.agg({"subject_id": "min"}).first()[0]
-    names = [c for c in obs.columns if c not in ("subject_id", "obs_idx")]
-    rows = obs.where(F.col("subject_id") == first).orderBy("obs_idx").limit(most_rows).select(*names).collect()
-    return fit_matrix(np.array([list(r) for r in rows], float), clusters, window, **settings)[0]
+def packed(obs: DataFrame, variates: tuple[str, ...], chunk: int, reach: int) -> DataFrame:
+    """`subject_id, chunk, n, x`: the rows of each chunk in order as bytes, its own `n` first, then those that its last windows read on."""
+    at = F.floor(F.col("obs_idx") / chunk)
+    both = F.when((at > 0) & (F.col("obs_idx") % chunk < reach), F.array(at, at - 1)).otherwise(F.array(at))
+    x = obs.select("subject_id", "obs_idx", *variates, F.explode(both).alias("chunk"), at.alias("own"))
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("obs_idx")
+        n = int((g["own"] == g["chunk"]).sum())
+        return pd.DataFrame({"subject_id": [key[0]], "chunk": [key[1]], "n": [n], "x": [g[list(variates)].to_numpy(float).tobytes()]} if n else {"subject_id": [], "chunk": [], "n": [], "x": []})
+
+    return x.groupBy("subject_id", "chunk").applyInPandas(run, "subject_id string, chunk long, n int, x binary")
+
+
+def _stacked(rec: tuple, window: int, variates: int) -> np.ndarray:
+    return stacked_windows(np.frombuffer(rec.x).reshape(-1, variates), window)[: rec.n]
+
+
+def _features(s: np.ndarray) -> np.ndarray:
+    """One, the values and the upper triangle of their products: what means and covariances are made of."""
+    i, j = np.triu_indices(s.shape[1])
+    return np.hstack([np.ones((len(s), 1)), s, s[:, i] * s[:, j]])
+
+
+def _moments(sums: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, means, biased covariances) of clusters from summed features; nothing gives zeros."""
+    n = sums[:, 0]
+    by = np.maximum(n, 1e-300)[:, None]
+    means, second = sums[:, 1 : size + 1] / by, sums[:, size + 1 :] / by
+    covs = np.zeros((len(n), size, size))
+    i, j = np.triu_indices(size)
+    covs[:, i, j] = second - means[:, i] * means[:, j]
+    covs[:, j, i] = covs[:, i, j]
+    return n, means, covs
+
+
+def _summed(df: DataFrame, f: Callable[[tuple], np.ndarray]) -> np.ndarray:
+    """The sum of f over the rows of a packed table: an array of fixed length, added up by the tasks."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = None
+        for frame in frames:
+            for rec in frame.itertuples(index=False):
+                v = f(rec)
+                out = v if out is None else out + v
+        if out is not None:
+            yield pd.DataFrame({"j": np.arange(len(out)), "v": out})
+
+    rows = df.mapInPandas(run, "j long, v double").groupBy("j").agg(F.sum("v").alias("v")).collect()
+    out = np.empty(len(rows))
+    for r in rows:
+        out[r.j] = r.v
+    return out
+
+
+def seeds(data: DataFrame, clusters: int, window: int, variates: int, seed: int, about: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, centres): k-means of about `about` windows drawn over all series; starting points of the mixture only."""
+    share = min(1.0, about / max(1, data.agg(F.sum("n")).first()[0]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for rec in frame.itertuples(index=False):
+                s = _stacked(rec, window, variates)
+                rng = np.random.default_rng(zlib.crc32(f"{seed} {rec.subject_id} {rec.chunk}".encode()))
+                yield pd.DataFrame({"id": rec.subject_id, "chunk": rec.chunk, "s": list(s[rng.random(len(s)) < share])})
+
+    got = data.mapInPandas(run, "id string, chunk long, s array<double>").collect()
+    s = np.array([r.s for r in sorted(got, key=lambda r: (r.id, r.chunk))])
+    rng = np.random.default_rng(seed)
+    shift, centres = s.mean(0), [s[rng.integers(len(s))]]
+    near = ((s - centres[0]) ** 2).sum(1)
+    while len(centres) < clusters:
+        centres.append(s[rng.choice(len(s), p=near / near.sum())] if near.sum() > 0 else s[rng.integers(len(s))])
+        near = np.minimum(near, ((s - centres[-1]) ** 2).sum(1))
+    c = np.array(centres)
+    for _ in range(30):
+        a = ((s**2).sum(1)[:, None] - 2 * s @ c.T + (c**2).sum(1)).argmin(1)
+        c = np.array([s[a == k].mean(0) if (a == k).any() else c[k] for k in range(clusters)])
+    return shift, c
+
+
+def mixture_start(data: DataFrame, clusters: int, window: int, variates: int, seed: int, most: int = 100, tol: float = 1e-3, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, sums): a Gaussian mixture with full covariances, fitted on all rows, and the feature sums of the rows by most probable component."""
+    size = window * variates
+    shift, centres = seeds(data, clusters, window, variates, seed)
+
+    def nearest(rec: tuple) -> np.ndarray:
+        s = _stacked(rec, window, variates)
+        a = ((centres**2).sum(1) - 2 * s @ centres.T).argmin(1)
+        return ((a[:, None] == np.arange(clusters)).astype(float).T @ _features(s - shift)).ravel()
+
+    def logs(s: np.ndarray, weights: np.ndarray, means: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        out = np.empty((len(s), clusters))
+        for k in range(clusters):
+            out[:, k] = -0.5 * (((s - means[k]) @ roots[k]) ** 2).sum(1) + np.log(np.diag(roots[k])).sum() + weights[k]
+        return out - 0.5 * size * np.log(2 * np.pi)
+
+    def parameters(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, means, covs = _moments(sums, size)
+        return np.log(np.maximum(n, 1e-12) / n.sum()), means, np.array([np.linalg.inv(np.linalg.cholesky(c + floor * np.eye(size))).T for c in covs])
+
+    sums, before = _summed(data, nearest).reshape(clusters, -1), -np.inf
+    for _ in range(most):
+        p = parameters(sums)
+
+        def soft(rec: tuple) -> np.ndarray:
+            s = _stacked(rec, window, variates) - shift
+            g = logs(s, *p)  # noqa: B023
+            top = g.max(1, keepdims=True)
+            e = np.exp(g - top)
+            t = e.sum(1, keepdims=True)
+            return np.append(((e / t).T @ _features(s)).ravel(), (top + np.log(t)).sum())
+
+        got = _summed(data, soft)
+        sums, bound = got[:-1].reshape(clusters, -1), got[-1] / got[:-1].reshape(clusters, -1)[:, 0].sum()
+        if abs(bound - before) < tol:
+            break
+        before = bound
+    p = parameters(sums)
+
+    def hard(rec: tuple) -> np.ndarray:
+        s = _stacked(rec, window, variates) - shift
+        return ((logs(s, *p).argmax(1)[:, None] == np.arange(clusters)).astype(float).T @ _features(s)).ravel()
+
+    return shift, _summed(data, hard).reshape(clusters, -1)
+
+
+def _fixed_ends(data: DataFrame, model: Model, variates: int) -> DataFrame:
+    """`subject_id, chunk, first, last, before`: the clusters at the ends of each chunk on its subject's best path, and the one before it (-1: none)."""
+    k = len(model.means)
+
+    def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for rec in frame.itertuples(index=False):
+                yield pd.DataFrame({"subject_id": [rec.subject_id], "chunk": [rec.chunk], "m": [path_costs(model.costs(_stacked(rec, model.window, variates)), model.penalty).ravel()]})
+
+    def chain(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("chunk")
+        e = chained_ends([np.asarray(m).reshape(k, k) for m in g["m"]], model.penalty)
+        return pd.DataFrame({"subject_id": key[0], "chunk": g["chunk"], "first": [a for a, _ in e], "last": [b for _, b in e], "before": [-1, *[b for _, b in e[:-1]]]})
+
+    m = data.mapInPandas(ends, "subject_id string, chunk long, m array<double>")
+    return m.groupBy("subject_id").applyInPandas(chain, "subject_id string, chunk long, first int, last int, before int")
+
+
+def fit(obs: DataFrame, clusters: int, window: int, sparsity: float = 0.11, penalty: float = 400.0, iterations: int = 10, seed: int = 102, moved: int = 30, chunk: int = 8192, reach: int = 64) -> Model:
+    """Fit on all rows of all subjects, from a Gaussian mixture, until no assignment changes, `iterations` at most.
+
+    A cluster that runs empty takes the `moved` rows from the first row on that a cluster with the
+    largest covariance has in one of its chunks. The ends of chunks (one small row for `chunk`
+    observations) are broadcast.
+    """
+    names = tuple(c for c in obs.columns if c not in ("subject_id", "obs_idx"))
+    n = len(names)
+    size = window * n
+    data = written(packed(obs, names, chunk, reach))
+    shift, sums = mixture_start(data, clusters, window, n, seed)
+    digest = None
+    for i in range(iterations):
+        count, means, covs = _moments(sums, size)
+        inverses = np.array([sparse_inverse(c + 1e-6 * np.eye(size) if m > 1 else np.eye(size), n, sparsity, steps=1000, tol=1e-6) for m, c in zip(count, covs)])
+        model = Model(means + shift, inverses, window, penalty, float("nan"))
+
+        def path(rec: tuple) -> tuple[np.ndarray, np.ndarray]:
+            s = _stacked(rec, window, n)
+            return s, best_path(model.costs(s), penalty, rec.first, rec.last)  # noqa: B023
+
+        def assigned(rec: tuple) -> np.ndarray:
+            s, a = path(rec)  # noqa: B023
+            hot = (a[:, None] == np.arange(clusters)).astype(float)
+            starts = np.bincount(a[np.r_[rec.before, a[:-1]] != a], minlength=clusters)
+            d = hashlib.sha256(f"{rec.subject_id} {rec.chunk} ".encode() + a.tobytes()).digest()
+            return np.r_[(hot.T @ _features(s - shift)).ravel(), starts, [int.from_bytes(d[b : b + 4], "big") for b in (0, 4, 8)]]
+
+        fixed = written(_fixed_ends(data, model, n))
+        joined = data.join(F.broadcast(fixed), ["subject_id", "chunk"])
+        got = _summed(joined, assigned)
+        sums, starts, now = got[: -clusters - 3].reshape(clusters, -1).copy(), got[-clusters - 3 : -3], tuple(got[-3:])
+        if now == digest or i == iterations - 1:
+            dropped(fixed)
+            break
+        digest = now
+        empty = np.flatnonzero(sums[:, 0] < 0.5)
+        donors = [int(k) for k in np.argsort([-np.linalg.norm(np.linalg.inv(v)) for v in inverses]) if sums[k, 0] >= 2]
+        for at, k in enumerate(empty):
+            g = donors[at % len(donors)]
+            rec = joined.where((F.col("first") == g) | (F.col("last") == g)).orderBy("subject_id", "chunk").offset(at // len(donors)).limit(1).collect()
+            rows = None
+            if rec:
+                s, a = path(rec[0])
+                from_ = int(np.flatnonzero(a == g)[0])
+                rows = _features(s[from_ : from_ + moved][a[from_ : from_ + moved] == g] - shift)
+            if rows is not None and len(rows) < sums[g, 0]:
+                sums[k] += rows.sum(0)
+                sums[g] -= rows.sum(0)
+        dropped(fixed)
+    count, _, covs = _moments(sums, size)
+    like = sum(np.linalg.slogdet(inverses[k])[1] - np.trace((covs[k] if count[k] > 1 else np.eye(size)) @ inverses[k]) for k in np.flatnonzero(count > 0.5))
+    model.bic = float(((np.abs(inverses) > 2e-5).sum((1, 2)) * starts).sum() * np.log(count.sum()) - 2 * like)
+    dropped(data)
+    return model
 
 
 def predict(obs: DataFrame, model: Model, variates: tuple[str, ...], chunk: int = 8192, reach: int = 64) -> DataFrame:

@@ -153,17 +153,22 @@ def generated_series(spark: SparkSession, d: str) -> DataFrame:
     return generated_segments(spark, S.patterns_to_model(spark, d), n_subjects=4, n_segments=24, seed=66)
 
 
+def _ticc_model(obs: DataFrame) -> ticc.Model:
+    """The settings of the reference."""
+    return ticc.fit(obs, clusters=23, window=5, sparsity=0.11, penalty=400.0, iterations=10)
+
+
 @query()
 def ticc_predicted(spark: SparkSession, d: str) -> DataFrame:
-    """A model fitted on one bounded subject, applied to all subjects."""
+    """A model fitted on all subjects, applied to all subjects."""
     o = S.observations(spark, d).select("subject_id", "obs_idx", *S.VARIATES)
-    return ticc.predict(o, ticc.fit(o, clusters=5, window=3, most_rows=2000, iterations=4), S.VARIATES)
+    return ticc.predict(o, _ticc_model(o), S.VARIATES)
 
 
 @query()
 def ticc_model_edges(spark: SparkSession, d: str) -> DataFrame:
     o = S.observations(spark, d).select("subject_id", "obs_idx", *S.VARIATES)
-    return ticc.edges(spark, ticc.fit(o, clusters=5, window=3, most_rows=2000, iterations=4))
+    return ticc.edges(spark, _ticc_model(o))
 
 
 @query()

@@ -99,6 +99,18 @@ def test_chunked_path_equals_whole_path(spark):
     assert ticc.asymmetric_edges(e).count() == 0 and ticc.centralities(e).where("degree < 1").count() == 0
 
 
+def test_toeplitz_fit_sees_all_subjects(spark):
+    rng = np.random.default_rng(5)
+    regime = lambda r, n: rng.multivariate_normal([0, 0], [[1, r], [r, 1]], n)
+    series = {"a": regime(0.95, 60), "b": np.vstack([regime(0.95, 300), regime(-0.95, 400)]), "c": regime(-0.95, 200)}
+    df = spark.createDataFrame([(k, i, float(u), float(v)) for k, x in series.items() for i, (u, v) in enumerate(x)], "subject_id string, obs_idx long, a double, b double")
+    model = ticc.fit(df, 2, 2, penalty=20.0, chunk=64)
+    got = {k: [r.cluster for r in ticc.predict(df.where(F.col("subject_id") == k), model, ("a", "b"), chunk=64).orderBy("obs_idx").collect()] for k in series}
+    b = got["b"]
+    assert len({*b[:290]}) == 1 and len({*b[310:690]}) == 1 and b[0] != b[500]
+    assert {*got["a"][:55]} == {b[0]} and {*got["c"][:190]} == {b[500]} and np.isfinite(model.bic)
+
+
 def test_degraded_partitions_tile_and_relabel(spark):
     from strandweave.plans.variant_queries import SPECS, degraded
     seg = [("a", i, 100 * i, 100 * i + 99, i % 4) for i in range(8)]

@@ -320,9 +320,15 @@ def _indices_sql(p: float) -> str:
 
 @query(V.with_(V.BAD, _BADROWS, _indices_sql(1)) + """SELECT subject_id, clustering_desc, round(u.dbi, 4) AS dbi, round(CASE WHEN e2 * (k - 1) <> 0 THEN b * (n - k) / (e2 * (k - 1)) END, 4) AS vrc, round(CASE WHEN n * e <> 0 THEN pow(u.d * e1 / (n * e), 2) END, 4) AS pbm FROM t LEFT JOIN u USING (subject_id, clustering_desc) WHERE e > 1e-6""")
 def centroid_indices_by_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Indices of the degraded partitions, with centroids that are rank correlations of the pooled observations.
+
+    The SQL still takes means of the reported vectors: its values are other quantities.
+    """
     by = ["subject_id", "clustering_desc"]
     r = _bad_rows(spark, d).select(*by, "cluster_id", F.col("achieved").alias("vec"))
-    x = quality.centroid_indices(r, quality.mean_vectors(r, [*by, "cluster_id"], "vec", "centroid"), quality.mean_vectors(r, by, "vec", "overall"), by, "cluster_id", "l1", spread=True)
+    o, b = S.observations(spark, d), S.bad_labels(spark, d).where("cluster_id is not null")
+    pooled = lambda keys, name: correlation.spearman(quality.pooled(o, b, keys, VARIATES), keys, VARIATES, large_groups=True).select(*keys, F.col("correlation").alias(name))
+    x = quality.centroid_indices(r, pooled([*by, "cluster_id"], "centroid"), pooled(by, "overall"), by, "cluster_id", "l1", spread=True)
     return x.where("e > 1e-6").select(*by, *[F.round(c, 4).alias(c) for c in ("dbi", "vrc", "pbm")])
 
 

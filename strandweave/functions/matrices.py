@@ -15,7 +15,11 @@ from strandweave.functions import numeric
 
 def _pairwise(f: Callable[[np.ndarray, np.ndarray], float]) -> Callable[[Column, Column], Column]:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([None if x is None or y is None else value(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)], dtype="float64")
+
+    def value(x: np.ndarray, y: np.ndarray) -> float:
+        return f(x, y) if np.isfinite(x).all() and np.isfinite(y).all() else float("nan")
+
     return F.pandas_udf(run, DoubleType())
 
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.functions import matrices
 from strandweave.functions.columns import distance, interval_relation, minus, r6, ratio, total
 from strandweave.functions.numeric import adjusted_critical
 from strandweave.operators.describe import describe, entropy
 
 MEASURES = ("l1", "l2", "l3", "l5", "l10", "linf", "l1_ref", "l2_ref", "l5_ref", "linf_ref", "l1_dot", "l2_dot", "linf_dot", "cosine")
+#: All that are ranked: the reference's measures too that the SQL of the other queries does not know.
+RANKED = (*MEASURES, "l3_ref", "log_frobenius", "foerstner")
+MATRIX = {"log_frobenius": matrices.log_frobenius, "foerstner": matrices.foerstner}
 #: Whether a low value of a criterion is good.
-LOW_IS_GOOD = {"level0_mean": True, "rate": False, "entropy": False, "level_entropy": True, "f1": False}
+LOW_IS_GOOD = {"level0_mean": True, "all_lower": False, "rate": False, "entropy": False, "level_entropy": True, "f1": False}
 
 
 def level_sets(patterns: DataFrame) -> DataFrame:
@@ -29,7 +33,10 @@ def pattern_distances(labels: DataFrame, patterns: DataFrame, measures: tuple[st
     all_ = known.groupBy().agg(F.sort_array(F.collect_list(F.struct("pattern_id", "_p", "_pc"))).alias("_all"))
     x = labels.join(F.broadcast(own), "cluster_id").join(F.broadcast(all_), how="inner").withColumn("_k", F.explode("_all"))
     level = total(F.transform(minus(F.col("_c"), F.col("_k._pc")), lambda v: F.bround(v, 0))).cast("int")
-    ds = F.array(*[F.struct(F.lit(m).alias("measure"), r6(distance(m)(F.col("achieved"), F.col("_k._p"))).alias("d")) for m in measures])
+    a, b = F.col("achieved"), F.col("_k._p")
+    for m in set(measures) & set(MATRIX):  # Arrow gives NaN back as null
+        x = x.withColumn(f"_{m}", F.when(a.isNotNull() & b.isNotNull(), F.coalesce(MATRIX[m](a, b), F.lit(float("nan")))))
+    ds = F.array(*[F.struct(F.lit(m).alias("measure"), r6(F.col(f"_{m}") if m in MATRIX else distance(m)(a, b)).alias("d")) for m in measures])
     return x.select("subject_id", "segment_id", "cluster_id", F.col("_k.pattern_id").alias("pattern_id"), level.alias("level"), F.explode(ds).alias("m")).select(
         "subject_id", "segment_id", "cluster_id", "pattern_id", "level", "m.measure", "m.d")
 
@@ -74,7 +81,7 @@ def classification_scores(predicted: DataFrame, by: list[str], truth: str = "clu
 
 
 def criteria(distances: DataFrame, by: list[str]) -> DataFrame:
-    """`<by>, criterion, value`: mean of level 0, rate of increase, entropies, macro F1, number of NaN and infinite distances.
+    """`<by>, criterion, value`: mean of level 0, whether every level lies below the next (1 or 0), rate of increase, entropies, macro F1, number of NaN and infinite distances.
 
     `distances` is read by every criterion: write it first.
     """
@@ -82,9 +89,11 @@ def criteria(distances: DataFrame, by: list[str]) -> DataFrame:
     stats = level_statistics(norm, by)
     one = lambda df, name, c: df.select(*by, F.lit(name).alias("criterion"), c.cast("double").alias("value"))
     level_e = entropy(norm, [*by, "level"], "d").groupBy(*by).agg(r6(F.avg("entropy")).alias("v"))
-    rate = level_intervals(stats, by).groupBy(*by).agg(r6(F.avg("rate")).alias("v"))
+    between = level_intervals(stats, by)
+    rate = between.groupBy(*by).agg(r6(F.avg("rate")).alias("v"))
+    lower = between.groupBy(*by).agg(F.bool_and(F.col("relation") == "lower").cast("int").alias("v"))
     odd = distances.groupBy(*by).agg(F.count_if(F.isnan("d") | (F.abs("d") == float("inf"))).alias("v"))
-    parts = [one(stats.where("level = 0"), "level0_mean", F.col("mean")), one(rate, "rate", F.col("v")), one(entropy(norm, by, "d"), "entropy", F.col("entropy")),
+    parts = [one(stats.where("level = 0"), "level0_mean", F.col("mean")), one(lower, "all_lower", F.col("v")), one(rate, "rate", F.col("v")), one(entropy(norm, by, "d"), "entropy", F.col("entropy")),
              one(level_e, "level_entropy", F.col("v")), one(classification_scores(nearest_patterns(distances, by), by), "f1", F.col("f1")), one(odd, "odd", F.col("v"))]
     out = parts[0]
     for p in parts[1:]:

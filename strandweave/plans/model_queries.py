@@ -440,7 +440,9 @@ _CRIT = _CI + _entropy_sql("", "eo") + _entropy_sql("level", "el") + _SCORES + f
 
 @query(_PD + _CRIT + " SELECT * FROM cr")
 def measure_criteria(spark: SparkSession, d: str) -> DataFrame:
-    return measures.criteria(written(_distances(spark, d)), ["measure"])  # read by every criterion
+    """Of all ranked measures; the SQL leaves out three of them and the criterion all_lower."""
+    x = measures.pattern_distances(S.labels(spark, d), S.patterns_to_model(spark, d), measures.RANKED)
+    return measures.criteria(written(x), ["measure"])  # read by every criterion
 
 
 _RANK = _CRIT + ", rn AS (SELECT measure, criterion, value, (dense_rank() OVER (PARTITION BY criterion ORDER BY CASE WHEN criterion IN ('level0_mean', 'level_entropy') THEN value ELSE -value END))::INT AS rank FROM cr WHERE criterion <> 'odd')"

@@ -97,7 +97,9 @@ _INDEX = _SUM + ", ix AS (" + " UNION ALL ".join(_corr_sql(c) for c in ("swc", "
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return inference.index_correlations(M.summary(spark, d), ["subject_id"], ["swc", "mae", "n_outside"], "jaccard")
+    """Internal indices against Jaccard; the SQL leaves out those of centroids."""
+    s = M.summary(spark, d).join(M.centroid_indices_by_partition(spark, d), BY, "left")
+    return inference.index_correlations(s, ["subject_id"], ["swc", "mae", "n_outside", "dbi", "vrc", "pbm"], "jaccard")
 
 
 @query(_INDEX + " SELECT * FROM ix")

@@ -40,7 +40,7 @@ def jaccard_by_place(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_INDEX + " SELECT subject_id, max(r) FILTER (WHERE index = 'swc') AS swc, max(r) FILTER (WHERE index = 'mae') AS mae, max(r) FILTER (WHERE index = 'n_outside') AS n_outside FROM ix GROUP BY 1")
 def index_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).groupBy("subject_id").pivot("index", ["swc", "mae", "n_outside"]).agg(F.max("r"))
+    return _index(spark, d).groupBy("subject_id").pivot("index", ["swc", "mae", "n_outside", "dbi", "vrc", "pbm"]).agg(F.max("r"))
 
 
 @query(V.with_(V.SEG) + ", v AS (SELECT DISTINCT subject_id, coalesce(stage, 'none') AS stage, completeness FROM subjects)" + f" SELECT stage, {', '.join(V.r6(f'''avg(relaxed_mae) FILTER (WHERE completeness = '{c}')''') + f' AS {c}' for c in ('complete', 'partial', 'sparse'))} FROM seg JOIN v USING (subject_id) GROUP BY 1")

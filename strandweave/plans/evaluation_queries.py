@@ -180,7 +180,7 @@ def ticc_centralities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.with_(V.OBS) + "SELECT subject_id, us // 3600000000 * 3600 AS bucket, round(avg(ig) + 1e-9, 6) AS ig, count(*) AS n FROM obs WHERE us IS NOT NULL GROUP BY ALL")
 def streamed_hourly_mean(spark: SparkSession, d: str) -> DataFrame:
-    o = written(S.observations(spark, d).where("us is not null").select("subject_id", F.timestamp_micros("us").alias("ts"), "ig"))
+    o = written(S.observations(spark, d, ("ig",)).where("us is not null").select("subject_id", F.timestamp_micros("us").alias("ts"), "ig"))
     return replayed_tumbling_mean(spark, o, "ig", "1 hour")
 
 

@@ -172,7 +172,7 @@ def achieved_by_pattern(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.with_(V.OBS, "g AS (SELECT subject_id, (us - lag(us) OVER (PARTITION BY subject_id ORDER BY us, obs_idx)) / 1e6::DOUBLE AS gap_s FROM obs WHERE us IS NOT NULL)") + f"SELECT subject_id, {V.describe('gap_s')} FROM g WHERE gap_s IS NOT NULL GROUP BY ALL")
 def time_gap_stats(spark: SparkSession, d: str) -> DataFrame:
-    return describe(segments.time_gaps(S.observations(spark, d)), ["subject_id"], "gap_s")
+    return describe(segments.time_gaps(S.observations(spark, d, ())), ["subject_id"], "gap_s")
 
 
 @query(V.with_(V.OBS, V.SEG, "l AS (SELECT unnest([10, 20, 40]) AS len)", "j AS (SELECT o.*, s.segment_id, l.len FROM seg s JOIN l ON s.length >= l.len JOIN obs o ON o.subject_id = s.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.start_idx + l.len - 1)",
@@ -191,7 +191,7 @@ def mae_by_length(spark: SparkSession, d: str) -> DataFrame:
 @query(V.with_(V.OBS, "e AS (SELECT subject_id, min(ig) AS a, max(ig) AS b FROM obs GROUP BY 1)", "x AS (SELECT subject_id, CASE WHEN b > a THEN (ig - a) / (b - a) ELSE 0 END AS v FROM obs JOIN e USING (subject_id))",
                 "h AS (SELECT subject_id, least(floor(v / (1.0::DOUBLE / 50)), 49) AS bin, count(*) AS n FROM x GROUP BY ALL)", "p AS (SELECT subject_id, n / sum(n) OVER (PARTITION BY subject_id) AS p FROM h)") + f"SELECT subject_id, {V.r6('-sum(p * log2(p))')} AS entropy FROM p GROUP BY 1")
 def entropy_of_scaled(spark: SparkSession, d: str) -> DataFrame:
-    return entropy(min_max_scaled(S.observations(spark, d).select("subject_id", "ig"), ["subject_id"], ["ig"]), ["subject_id"], "ig")
+    return entropy(min_max_scaled(S.observations(spark, d, ("ig",)).select("subject_id", "ig"), ["subject_id"], ["ig"]), ["subject_id"], "ig")
 
 
 @query(V.with_(V.OBS, "e AS (SELECT subject_id, min(iob) AS a, max(iob) AS b, min(cob) AS c, max(cob) AS d FROM obs GROUP BY 1)") + f"SELECT subject_id, obs_idx, {V.r6('-1 + CASE WHEN b > a THEN (iob - a) / (b - a) ELSE 0 END * 2')} AS iob, {V.r6('-1 + CASE WHEN d > c THEN (cob - c) / (d - c) ELSE 0 END * 2')} AS cob FROM obs JOIN e USING (subject_id)")
@@ -209,7 +209,7 @@ def runs_to_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.with_(V.OBS) + f"SELECT subject_id, us // 60000000 * 60 AS bucket, {', '.join(f"{V.half_even(f'avg({c})')} AS {c}" for c in VARIATES)}, min(obs_idx) AS first_idx, max(obs_idx) AS last_idx, count(*) AS n FROM obs WHERE us IS NOT NULL GROUP BY ALL")
 def tumbling_minute_mean(spark: SparkSession, d: str) -> DataFrame:
-    return segments.tumbling_mean(S.observations(spark, d), 60, VARIATES)
+    return segments.tumbling_mean(S.observations(spark, d, ()), 60, VARIATES)
 
 
 @query(V.with_(V.OBS, V.SEG, "n AS (SELECT o.subject_id, o.us // 60000000 * 60 AS bucket, s.segment_id, count(*) AS shared, min(s.start_idx) AS st FROM obs o JOIN seg s ON s.subject_id = o.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.end_idx WHERE o.us IS NOT NULL GROUP BY ALL)") + "SELECT subject_id, bucket, segment_id, shared FROM n QUALIFY row_number() OVER (PARTITION BY subject_id, bucket ORDER BY shared DESC, st, segment_id) = 1")

@@ -66,7 +66,7 @@ def top_and_bottom_measures(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.with_(V.OBS, "t AS (SELECT subject_id, make_timestamp(us) AS ts, ig FROM obs WHERE us IS NOT NULL)") + f"SELECT hour(ts) AS hour, isodow(ts) AS weekday, week(ts) AS week, month(ts) AS month, year(ts) AS year, count(*) AS n, {V.r6('avg(ig)')} AS ig FROM t GROUP BY ALL")
 def calendar_means(spark: SparkSession, d: str) -> DataFrame:
-    x = S.observations(spark, d).where("us is not null").withColumn("ts", F.timestamp_micros("us"))
+    x = S.observations(spark, d, ("ig",)).where("us is not null").withColumn("ts", F.timestamp_micros("us"))
     part = lambda n, f: F.extract(F.lit(f), F.col("ts")).cast("long").alias(n)
     return x.groupBy(part("hour", "HOUR"), part("weekday", "DAYOFWEEK_ISO"), part("week", "WEEK"), part("month", "MONTH"), part("year", "YEAR")).agg(F.count(F.lit(1)).alias("n"), C.r6(F.avg("ig")).alias("ig"))
 
@@ -76,7 +76,7 @@ def _windows(seconds: int, most_gap_s: int) -> str:
 
 
 def _aggregated(spark: SparkSession, d: str, seconds: int, most_gap_s: int) -> DataFrame:
-    x = S.observations(spark, d).where("us is not null").withColumn("bucket", F.floor(F.col("us") / (seconds * 1_000_000)) * seconds)
+    x = S.observations(spark, d, ("ig",)).where("us is not null").withColumn("bucket", F.floor(F.col("us") / (seconds * 1_000_000)) * seconds)
     x = x.withColumn("gap", F.col("us") - F.lag("us").over(Window.partitionBy("subject_id", "bucket").orderBy("us", "obs_idx")))
     g = x.groupBy("subject_id", "bucket").agg(F.count(F.lit(1)).alias("n"), *[C.r6(f("ig")).alias(n) for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"), (F.stddev_samp, "std"))], F.max("gap").alias("gap"))
     return g.where(F.coalesce("gap", F.lit(0)) <= most_gap_s * 1_000_000).drop("gap")
@@ -97,7 +97,7 @@ def hourly_aggregates(spark: SparkSession, d: str) -> DataFrame:
                 "h AS (SELECT least(floor(gap / (p95 / 20)), 19)::BIGINT AS bin, count(*) AS n FROM g, p WHERE gap <= p95 AND gap >= 0 GROUP BY 1)") + "SELECT bin, n FROM h")
 def gap_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Gaps up to their 95th percentile in 20 bins."""
-    g = segments.time_gaps(S.observations(spark, d))
+    g = segments.time_gaps(S.observations(spark, d, ()))
     p = g.agg(F.percentile("gap_s", 0.95).alias("p95"))  # one row
     x = g.join(F.broadcast(p)).withColumn("bin", F.when((F.col("gap_s") >= 0) & (F.col("gap_s") <= F.col("p95")), F.least(F.floor(F.col("gap_s") / (F.col("p95") / 20)), F.lit(19))))
     return x.where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

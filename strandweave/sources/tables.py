@@ -23,13 +23,13 @@ BAD_LABELS = T.StructType([LABELS.fields[0], T.StructField("clustering_desc", T.
 PARTITIONS = ("split", "completeness", "stage")
 
 
-def observations(spark: SparkSession, d: str) -> DataFrame:
-    """`subject_id, obs_idx, us, iob, cob, ig` once per key, of rows with all three variates finite.
+def observations(spark: SparkSession, d: str, needed: tuple[str, ...] = VARIATES) -> DataFrame:
+    """`subject_id, obs_idx, us, iob, cob, ig` once per key, of keys where all `needed` variates are finite; others may be null.
 
     `us` is null where the time is unknown. Re-sent rows carry the same values; the largest stands.
     """
     o = table(spark, d, "observations").select("subject_id", "obs_idx", instant_us("datetime").alias("us"), *[finite(F.col(v)).alias(v) for v in VARIATES])
-    o = o.where("subject_id is not null and obs_idx is not null and iob is not null and cob is not null and ig is not null")
+    o = o.where(" and ".join(f"{c} is not null" for c in ("subject_id", "obs_idx", *needed)))
     return o.groupBy("subject_id", "obs_idx").agg(F.max("us").alias("us"), *[F.max(v).alias(v) for v in VARIATES])
 
 

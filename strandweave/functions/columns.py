@@ -86,9 +86,13 @@ DISTANCES: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def distance(name: str) -> Callable[[Column, Column], Column]:
-    if name not in DISTANCES:
-        raise ValueError(f"unknown distance {name}; one of {', '.join(DISTANCES)}")
-    return DISTANCES[name]
+    """A measure by name. The two matrix measures run in Arrow batches, all others in the JVM."""
+    from strandweave.functions.matrices import MATRIX
+
+    known = DISTANCES | MATRIX
+    if name not in known:
+        raise ValueError(f"unknown distance {name}; one of {', '.join(known)}")
+    return known[name]
 
 
 def trunc3(c: Column) -> Column:
@@ -150,3 +154,19 @@ def interval_relation(lo: Column, hi: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double; null where b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with whole degrees of freedom (at least 1), by the finite series of the angle atan(t / sqrt(df))."""
+    angle = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
+    c, s, odd = F.cos(angle), F.sin(angle), df % 2
+    terms = F.floor((df - odd) / 2).cast("int")
+    start = F.struct(F.lit(0.0).alias("sum"), F.when(odd == 1, c).otherwise(F.lit(1.0)).alias("term"))
+
+    def step(a: Column, j: Column) -> Column:
+        k = 2.0 * j
+        return F.struct((a["sum"] + a["term"]).alias("sum"), (a["term"] * c * c * F.when(odd == 1, k / (k + 1)).otherwise((k - 1) / k)).alias("term"))
+
+    series = F.when(terms > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), start, step, lambda a: a["sum"])).otherwise(0.0)
+    inside = F.when(odd == 1, (angle + s * series) * (2 / math.pi)).otherwise(s * series)
+    return F.greatest(F.lit(0.0), 1 - inside)

@@ -136,27 +136,89 @@ def effect_size(p: float, n: int, sign: int, two_sided: bool = True) -> float:
 
 def matrix_of(v: np.ndarray) -> np.ndarray:
     """The symmetric matrix with unit diagonal of an upper triangle."""
-    n = round(math.sqrt(2 * len(v) + 0.25) + 0.5)
-    m = np.eye(n)
-    m[np.triu_indices(n, 1)] = v
-    return np.maximum(m, m.T) if (v >= 0).all() else m + np.triu(m, 1).T
+    return matrices_of(np.asarray(v, float)[None])[0]
 
 
-def log_frobenius(a: np.ndarray, b: np.ndarray, eps: float = 1e-10) -> float:
-    """Frobenius norm of the difference of the matrix logarithms (complex where an eigenvalue is negative)."""
-    def log(v: np.ndarray) -> np.ndarray:
-        w, q = np.linalg.eigh(matrix_of(v) + eps * np.eye(matrix_of(v).shape[0]))
-        return (q * np.log(w.astype(complex))) @ q.T
-    return float(np.linalg.norm(log(a) - log(b)))
+def matrices_of(v: np.ndarray) -> np.ndarray:
+    """Symmetric matrices with unit diagonals of upper triangles, one a row."""
+    n = round(math.sqrt(2 * v.shape[1] + 0.25) + 0.5)
+    if n * (n - 1) // 2 != v.shape[1]:
+        raise ValueError("a vector must hold the upper triangle of a matrix")
+    m = np.broadcast_to(np.eye(n), (len(v), n, n)).copy()
+    i, j = np.triu_indices(n, 1)
+    m[:, i, j] = v
+    m[:, j, i] = v
+    return m
 
 
-def foerstner(a: np.ndarray, b: np.ndarray, eps: float = 1e-10) -> float:
-    """Root of the summed squares of log(1 + eigenvalue) of the generalised problem; NaN below -1."""
-    ma, mb = (matrix_of(v) + eps * np.eye(matrix_of(v).shape[0]) for v in (a, b))
-    w = np.linalg.eigvals(np.linalg.solve(mb, ma)).real
+def upper_half(m: np.ndarray) -> np.ndarray:
+    """The upper triangle of a matrix row by row; a vector stays as it is."""
+    m = np.asarray(m, float)
+    return m[np.triu_indices(len(m), 1)] if m.ndim == 2 else m
+
+
+def upper_halves(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices or vectors of equal shape as vectors."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    if a.shape != b.shape:
+        raise ValueError("shapes differ")
+    return upper_half(a), upper_half(b)
+
+
+def same_matrices(a: np.ndarray, b: np.ndarray, digits: int = 8) -> bool:
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    return a.shape == b.shape and bool((np.round(a, digits) == np.round(b, digits)).all())
+
+
+def lower_block_diagonal(m: np.ndarray, blocks: int, k: int) -> list[np.ndarray]:
+    """The blocks of the k-th diagonal below the main one (0: the main one) of a square matrix of blocks x blocks blocks."""
+    m = np.asarray(m)
+    if m.ndim != 2 or m.shape[0] != m.shape[1] or m.shape[0] % blocks:
+        raise ValueError("the matrix must be square and divisible into blocks")
+    if not 0 <= k < blocks:
+        raise ValueError("no such diagonal")
+    n = len(m) // blocks
+    return [m[(i + k) * n : (i + k + 1) * n, i * n : (i + 1) * n] for i in range(blocks - k)]
+
+
+def matrix_logs(v: np.ndarray, eps: float = 1e-10) -> np.ndarray:
+    """Matrix logarithms (complex where an eigenvalue is negative) of the matrices of upper triangles; rows with missing values give NaN."""
+    ok = np.isfinite(v).all(1)
+    m = matrices_of(np.where(ok[:, None], v, 0))
+    w, q = np.linalg.eigh(m + eps * np.eye(m.shape[1]))
+    out = (q * np.log(w.astype(complex))[:, None, :]) @ q.transpose(0, 2, 1)
+    out[~ok] = np.nan
+    return out
+
+
+def log_frobenius_batch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Frobenius norm of the difference of the matrix logarithms, row by row."""
+    return np.linalg.norm(matrix_logs(a) - matrix_logs(b), axis=(1, 2))
+
+
+def foerstner_batch(a: np.ndarray, b: np.ndarray, eps: float = 1e-10) -> np.ndarray:
+    """Root of the summed squares of log(1 + eigenvalue) of the generalised problem, row by row; NaN below -1 and for missing values."""
+    ok = np.isfinite(a).all(1) & np.isfinite(b).all(1)
+    ma, mb = (matrices_of(np.where(ok[:, None], v, 0)) for v in (a, b))
+    e = eps * np.eye(ma.shape[1])
+    w = np.linalg.eigvals(np.linalg.solve(mb + e, ma + e)).real
     with np.errstate(invalid="ignore", divide="ignore"):
-        return float(np.sqrt((np.log1p(w) ** 2).sum()))
+        out = np.sqrt((np.log1p(w) ** 2).sum(1))
+    return np.where(ok, out, np.nan)
+
+
+def psd_batch(v: np.ndarray, tol: float = 1e-10) -> np.ndarray:
+    ok = np.isfinite(v).all(1)
+    return ok & (np.linalg.eigvalsh(matrices_of(np.where(ok[:, None], v, 0))) > -tol).all(1)
 
 
 def is_psd(v: np.ndarray, tol: float = 1e-10) -> bool:
-    return bool((np.linalg.eigvalsh(matrix_of(v)) > -tol).all())
+    return bool(psd_batch(np.asarray(v, float)[None], tol)[0])
+
+
+def log_frobenius(a: np.ndarray, b: np.ndarray) -> float:
+    return float(log_frobenius_batch(np.asarray(a, float)[None], np.asarray(b, float)[None])[0])
+
+
+def foerstner(a: np.ndarray, b: np.ndarray) -> float:
+    return float(foerstner_batch(np.asarray(a, float)[None], np.asarray(b, float)[None])[0])

@@ -32,7 +32,7 @@ def entropy(df: DataFrame, by: list[str], value: str, lo: float = 0.0, hi: float
 
 
 def min_max_scaled(df: DataFrame, by: list[str], columns: list[str], lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """Each column scaled to [lo, hi] within its group; a constant column becomes lo.
+    """Each column scaled to [lo, hi] within its group; a constant column becomes lo, a null stays null.
 
     The extremes come from a small aggregate that is joined back, so no group is sorted or gathered.
     """
@@ -40,5 +40,5 @@ def min_max_scaled(df: DataFrame, by: list[str], columns: list[str], lo: float =
     x = df.join(ext, by)
     for c in columns:
         a, b = F.col(f"_{c}.a"), F.col(f"_{c}.b")
-        x = x.withColumn(c, lo + F.when(b > a, (F.col(c) - a) / (b - a)).otherwise(0.0) * (hi - lo))
+        x = x.withColumn(c, lo + F.when(F.col(c).isNotNull(), F.when(b > a, (F.col(c) - a) / (b - a)).otherwise(0.0)) * (hi - lo))
     return x.drop(*[f"_{c}" for c in columns])

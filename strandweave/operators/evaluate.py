@@ -6,21 +6,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import close_to, distance, mean_abs_error, r6, ratio
+from strandweave.operators.quality import agreement
 
 
-def cluster_mapping(clusters: DataFrame, patterns: DataFrame, by: list[str], measure: str = "l5", tolerance: float = 0.1) -> DataFrame:
-    """`<by>, cluster_id, pattern_id, d, within, mae`: each result cluster's nearest patterns, all ties kept.
+def cluster_mapping(clusters: DataFrame, truth: DataFrame, patterns: DataFrame, by: list[str], on: list[str], measure: str = "l1", tolerance: float = 0.1) -> DataFrame:
+    """Each result cluster with its nearest true clusters, all ties kept.
 
-    `clusters` has `<by>, cluster_id, vec`. Distances are rounded to three decimals first, which
-    makes ties. `within` is the lenient tolerance of the published figures. The catalogue is small
-    and fixed; vectors with missing or NaN elements map to nothing.
+    `clusters` has `<by>, cluster_id, vec` (mean correlations of a result cluster's segments), `truth`
+    has `<on>, pattern_id, gt_vec` (those of the true clusters), `patterns` the catalogue. Result:
+    `<by>, cluster_id, vec, pattern_id, gt_vec, d, mae, gt_mae, within, gt_within`: the distance
+    (rounded to three decimals first, which makes ties), the errors of the result's and of the true
+    cluster's vector against the relaxed pattern, and whether the result lies within tolerance of the
+    true cluster, and that of its pattern. The tolerance is the lenient one of the published figures.
+    True clusters are patterns, so few; vectors with missing or NaN elements map to nothing.
     """
-    all_ = patterns.groupBy().agg(F.sort_array(F.collect_list(F.struct("pattern_id", "relaxed"))).alias("_p"))
-    ok = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v))
-    x = clusters.where(ok).join(F.broadcast(all_), how="inner").withColumn("_p", F.explode("_p"))
-    x = x.withColumn("d", F.bround(F.round(distance(measure)(F.col("vec"), F.col("_p.relaxed")), 9), 3))
+    ok = lambda c: F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v))
+    all_ = truth.where(ok("gt_vec")).join(patterns.select("pattern_id", "relaxed"), "pattern_id", "left")
+    x = clusters.where(ok("vec")).join(all_, on).withColumn("d", F.bround(F.round(distance(measure)(F.col("vec"), F.col("gt_vec")), 9), 3))
     least = x.withColumn("_m", F.min("d").over(Window.partitionBy(*by, "cluster_id"))).where(F.col("d") == F.col("_m"))
-    return least.select(*by, "cluster_id", F.col("_p.pattern_id").alias("pattern_id"), "d", close_to(F.col("vec"), F.col("_p.relaxed"), tolerance).alias("within"), mean_abs_error(F.col("vec"), F.col("_p.relaxed")).alias("mae"))
+    vec, gt, relaxed = F.col("vec"), F.col("gt_vec"), F.col("relaxed")
+    return least.select(*by, "cluster_id", "vec", "pattern_id", "gt_vec", "d", mean_abs_error(vec, relaxed).alias("mae"), mean_abs_error(gt, relaxed).alias("gt_mae"),
+                        close_to(vec, gt, tolerance).alias("within"), close_to(gt, relaxed, tolerance).alias("gt_within"))
+
+
+def mapping_errors(mapping: DataFrame, by: list[str]) -> DataFrame:
+    """`<by>, cluster_id, mae, gt_mae`: the errors of each result cluster's first nearest true cluster, in order of id."""
+    return mapping.groupBy(*by, "cluster_id").agg(F.min_by("mae", "pattern_id").alias("mae"), F.min_by("gt_mae", "pattern_id").alias("gt_mae"))
+
+
+def relabelled_agreement(segments: DataFrame, mapping: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
+    """Agreement of a clusterer's result with the truth, each result cluster read as its first nearest true cluster: `subject_id, <by>, n, agree`."""
+    first = mapping.groupBy("subject_id", *by, "cluster_id").agg(F.min("pattern_id").alias("_p"))
+    x = segments.join(first, ["subject_id", *by, "cluster_id"], "left").withColumn("cluster_id", F.col("_p"))
+    return agreement(truth, x, by)
 
 
 def discovery(mapping: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:

@@ -9,10 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from strandweave.functions import numeric
-from strandweave.functions.columns import fisher_z, interval_relation, r6, ratio
+from strandweave.functions.columns import fisher_z, interval_relation, r6, ratio, t_two_sided
 
 
 def index_correlations(df: DataFrame, by: list[str], indices: list[str], external: str) -> DataFrame:
@@ -29,18 +28,10 @@ def index_correlations(df: DataFrame, by: list[str], indices: list[str], externa
 
 
 def with_p(df: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
-    """Adds the two-sided `p` of each correlation, by Arrow batches."""
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, k in zip(a, b):
-            if not (x == x) or k < 3:
-                out.append(1.0)
-            elif abs(x) >= 1:
-                out.append(0.0)
-            else:
-                out.append(numeric.t_two_sided(x * math.sqrt((k - 2) / (1 - x * x)), k - 2))
-        return pd.Series(out, dtype="float64")
-    return df.withColumn("p", F.round(F.pandas_udf(run, DoubleType())(F.col(r), F.col(n).cast("double")), 6))
+    """Adds the two-sided `p` of each correlation of n pairs; 1 where r is NaN or n is below 3."""
+    x, k = F.col(r), F.col(n)
+    p = F.when(F.isnan(x) | x.isNull() | (k < 3), 1.0).when(F.abs(x) >= 1, 0.0).otherwise(t_two_sided(x * F.sqrt((k - 2) / (1 - x * x)), k - 2))
+    return df.withColumn("p", F.round(p, 6))
 
 
 def paired_differences(df: DataFrame, run: str, label: str, value: str, fisher: bool = True) -> DataFrame:
@@ -99,15 +90,3 @@ def signed_rank_tests(df: DataFrame, run: str, label: str, value: str, non_zero:
         return pd.DataFrame([[*key, stat, round(p, 6), n, round(numeric.effect_size(p, n, sign), 6), bool(p < round(alpha / n_tests, 4))]], columns=["a", "b", "statistic", "p", "n_nonzero", "effect", "significant"])
 
     return long.groupBy("a", "b").applyInPandas(test, schema)
-
-
-def fitted_gev(x: np.ndarray) -> tuple[float, float, float]:
-    """(shape, location, scale) of a generalised extreme value distribution by probability-weighted moments."""
-    x = np.sort(x)
-    n = len(x)
-    i = np.arange(1, n + 1)
-    b0, b1, b2 = x.mean(), ((i - 1) / (n - 1) * x).mean(), ((i - 1) * (i - 2) / ((n - 1) * (n - 2)) * x).mean()
-    c = (2 * b1 - b0) / (3 * b2 - b0) - math.log(2) / math.log(3)
-    k = 7.8590 * c + 2.9554 * c * c
-    scale = (2 * b1 - b0) * k / (math.gamma(1 + k) * (1 - 2 ** -k))
-    return k, b0 + scale * (math.gamma(1 + k) - 1) / k, scale

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions import matrices
-from strandweave.functions.columns import distance, interval_relation, minus, r6, ratio, total
+from strandweave.functions.columns import distance, histogram_bin, interval_relation, minus, r6, ratio, total
 from strandweave.functions.numeric import adjusted_critical
-from strandweave.operators.describe import describe, entropy
+from strandweave.operators.describe import describe
+from strandweave.runtime import scratch, written
 
-MEASURES = ("l1", "l2", "l3", "l5", "l10", "linf", "l1_ref", "l2_ref", "l5_ref", "linf_ref", "l1_dot", "l2_dot", "linf_dot", "cosine")
-#: All that are ranked: the reference's measures too that the SQL of the other queries does not know.
-RANKED = (*MEASURES, "l3_ref", "log_frobenius", "foerstner")
-MATRIX = {"log_frobenius": matrices.log_frobenius, "foerstner": matrices.foerstner}
+MEASURES = ("l1", "l2", "l3", "l5", "l10", "l50", "l100", "linf", "l1_ref", "l2_ref", "l3_ref", "l5_ref", "l10_ref", "l50_ref", "l100_ref", "linf_ref", "l1_dot", "l2_dot", "linf_dot", "cosine")
+#: With those that SQL can't express.
+RANKED = (*MEASURES, "log_frobenius", "foerstner")
 #: Whether a low value of a criterion is good.
 LOW_IS_GOOD = {"level0_mean": True, "all_lower": False, "rate": False, "entropy": False, "level_entropy": True, "f1": False}
 
@@ -34,9 +35,7 @@ def pattern_distances(labels: DataFrame, patterns: DataFrame, measures: tuple[st
     x = labels.join(F.broadcast(own), "cluster_id").join(F.broadcast(all_), how="inner").withColumn("_k", F.explode("_all"))
     level = total(F.transform(minus(F.col("_c"), F.col("_k._pc")), lambda v: F.bround(v, 0))).cast("int")
     a, b = F.col("achieved"), F.col("_k._p")
-    for m in set(measures) & set(MATRIX):  # Arrow gives NaN back as null
-        x = x.withColumn(f"_{m}", F.when(a.isNotNull() & b.isNotNull(), F.coalesce(MATRIX[m](a, b), F.lit(float("nan")))))
-    ds = F.array(*[F.struct(F.lit(m).alias("measure"), r6(F.col(f"_{m}") if m in MATRIX else distance(m)(a, b)).alias("d")) for m in measures])
+    ds = F.array(*[F.struct(F.lit(m).alias("measure"), r6(distance(m)(a, b)).alias("d")) for m in measures])
     return x.select("subject_id", "segment_id", "cluster_id", F.col("_k.pattern_id").alias("pattern_id"), level.alias("level"), F.explode(ds).alias("m")).select(
         "subject_id", "segment_id", "cluster_id", "pattern_id", "level", "m.measure", "m.d")
 
@@ -80,25 +79,41 @@ def classification_scores(predicted: DataFrame, by: list[str], truth: str = "clu
     return k.groupBy(*by).agg(r6(F.sum("hit") / F.sum("t")).alias("accuracy"), *[r6(F.avg(x)).alias(x) for x in ("precision", "recall", "f1")])
 
 
+def level_counts(distances: DataFrame, by: list[str]) -> DataFrame:
+    """`<by>, level, d, n`: how often each normalised distance (three decimals, so few values) occurs, NaN left out."""
+    return normalised(distances, by).where("not isnan(d)").groupBy(*by, "level", "d").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted_entropy(counts: DataFrame, by: list[str], bins: int = 50) -> DataFrame:
+    """As `describe.entropy` on [0, 1], from counted values."""
+    h = counts.withColumn("bin", histogram_bin(F.col("d"), 0.0, 1.0, bins)).where("bin is not null").groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    t = h.groupBy(*by).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return t.select(*by, r6(F.log2("t") - F.col("s") / F.col("t")).alias("entropy"))
+
+
+def counted_moments(counts: DataFrame, by: list[str], digits: int = 3) -> DataFrame:
+    """`<by>, level, count, mean, std` from counted values."""
+    s = counts.groupBy(*by, "level").agg(F.sum("n").alias("count"), F.sum(F.col("n") * F.col("d")).alias("s"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("q"))
+    var = F.try_divide(F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("count")), F.col("count") - 1)
+    return s.select(*by, "level", "count", r6(F.col("s") / F.col("count"), digits).alias("mean"), r6(F.sqrt(var), digits).alias("std"))
+
+
 def criteria(distances: DataFrame, by: list[str]) -> DataFrame:
     """`<by>, criterion, value`: mean of level 0, whether every level lies below the next (1 or 0), rate of increase, entropies, macro F1, number of NaN and infinite distances.
 
-    `distances` is read by every criterion: write it first.
+    `distances` is read three times: write it first. Everything but F1 comes from counted values, a
+    table whose size does not depend on the number of rows.
     """
-    norm = normalised(distances, by)
-    stats = level_statistics(norm, by)
-    one = lambda df, name, c: df.select(*by, F.lit(name).alias("criterion"), c.cast("double").alias("value"))
-    level_e = entropy(norm, [*by, "level"], "d").groupBy(*by).agg(r6(F.avg("entropy")).alias("v"))
-    between = level_intervals(stats, by)
-    rate = between.groupBy(*by).agg(r6(F.avg("rate")).alias("v"))
-    lower = between.groupBy(*by).agg(F.bool_and(F.col("relation") == "lower").cast("int").alias("v"))
-    odd = distances.groupBy(*by).agg(F.count_if(F.isnan("d") | (F.abs("d") == float("inf"))).alias("v"))
-    parts = [one(stats.where("level = 0"), "level0_mean", F.col("mean")), one(lower, "all_lower", F.col("v")), one(rate, "rate", F.col("v")), one(entropy(norm, by, "d"), "entropy", F.col("entropy")),
-             one(level_e, "level_entropy", F.col("v")), one(classification_scores(nearest_patterns(distances, by), by), "f1", F.col("f1")), one(odd, "odd", F.col("v"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    counts = level_counts(distances, by)
+    with scratch(counts) as counts:
+        one = lambda df, name, c: df.select(*by, F.lit(name).alias("criterion"), c.cast("double").alias("value"))
+        stats = counted_moments(counts, by)
+        level_e = counted_entropy(counts, [*by, "level"]).groupBy(*by).agg(r6(F.avg("entropy")).alias("v"))
+        between = level_intervals(stats, by).groupBy(*by).agg(r6(F.avg("rate")).alias("rate"), F.bool_and(F.col("relation") == "lower").cast("int").alias("lower"))
+        odd = distances.groupBy(*by).agg(F.count_if(F.isnan("d") | (F.abs("d") == float("inf"))).alias("v"))
+        parts = [one(stats.where("level = 0"), "level0_mean", F.col("mean")), one(between, "all_lower", F.col("lower")), one(between, "rate", F.col("rate")), one(counted_entropy(counts, by), "entropy", F.col("entropy")),
+                 one(level_e, "level_entropy", F.col("v")), one(classification_scores(nearest_patterns(distances, by), by), "f1", F.col("f1")), one(odd, "odd", F.col("v"))]
+        return written(reduce(DataFrame.unionByName, parts))
 
 
 def ranks(criteria_: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import distance, ratio
+from strandweave.functions.numeric import foerstner_batch, matrix_logs
 from strandweave.operators.segments import interval_join
 
 
@@ -33,8 +34,29 @@ def powered(x: np.ndarray, p: int) -> np.ndarray:
 
 
 def block_distances(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
+    """Distances between all rows of two matrices, by any measure of `columns.DISTANCES` and the two matrix measures."""
+    if measure == "cosine":
+        norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+        return np.divide(a @ b.T, norms, out=np.full((len(a), len(b)), np.nan), where=norms > 0)
+    if measure == "log_frobenius":
+        return np.linalg.norm(matrix_logs(a)[:, None] - matrix_logs(b)[None], axis=(2, 3))
+    if measure == "foerstner":
+        return np.stack([foerstner_batch(np.broadcast_to(row, b.shape), b) for row in a]) if len(a) else np.empty((0, len(b)))
+    name, _, kind = measure.partition("_")
+    if kind == "ref":
+        far = lambda x: lp_block(x, np.full((1, x.shape[1]), 1 / math.sqrt(x.shape[1])), name)[:, 0]
+        return lp_block(a, b, name) * (far(a)[:, None] + far(b)[None])
+    if kind == "dot":
+        more = lambda x: np.hstack([x, (x.sum(1, keepdims=True) / math.sqrt(x.shape[1]) + 1) / 2])
+        return lp_block(more(a), more(b), name)
+    if kind:
+        raise ValueError(f"unknown distance {measure}")
+    return lp_block(a, b, name)
+
+
+def lp_block(a: np.ndarray, b: np.ndarray, name: str) -> np.ndarray:
     """Lp distances between all rows of two matrices, for whole p and for infinity."""
-    p = 0 if measure == "linf" else int(measure[1:])
+    p = 0 if name == "linf" else int(name[1:])
     out = np.empty((len(a), len(b)))
     step = max(1, 200_000 // max(1, b.size))
     for i in range(0, len(a), step):
@@ -49,8 +71,8 @@ def block_distances(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
     return out
 
 
-def cluster_distances(df: DataFrame, by: list[str], row: str, cluster: str, vec: str, measure: str = "l5", chunk: int = 512) -> DataFrame:
-    """`<by>, row, own, other, total, n`: the sum of distances of each row to each cluster of its group, itself left out."""
+def cluster_distances(df: DataFrame, by: list[str], row: str, cluster: str, vec: str, measures: tuple[str, ...] = ("l5",), chunk: int = 512) -> DataFrame:
+    """`<by>, measure, row, own, other, total, n`: the sum of distances of each row to each cluster of its group, itself left out."""
     x = df.select(*by, F.col(row).alias("_row"), F.col(cluster).alias("_c"), F.transform(vec, lambda v: v.cast("double")).alias("_v"))
     parts = x.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / float(chunk)).alias("_parts"))
     x = x.join(parts, by).withColumn("_p", F.pmod(F.xxhash64("_row"), F.col("_parts")))
@@ -58,7 +80,7 @@ def cluster_distances(df: DataFrame, by: list[str], row: str, cluster: str, vec:
     other = packed.select(*by, F.col("_p").alias("_q"), F.col("_l").alias("_m"))
     kinds = {f.name: f.dataType.simpleString() for f in x.schema.fields}
 
-    names = [*by, "row", "own", "other", "total", "n"]
+    names = [*by, "measure", "row", "own", "other", "total", "n"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -66,68 +88,77 @@ def cluster_distances(df: DataFrame, by: list[str], row: str, cluster: str, vec:
             for rec in f.itertuples(index=False):
                 left, right = rec[-2], rec[-1]
                 a, b = (np.array([r["_v"] for r in s], float) for s in (left, right))
-                d = block_distances(a, b, measure)
                 rows, own = [r["_row"] for r in left], [r["_c"] for r in left]
                 same = np.array(rows)[:, None] == np.array([r["_row"] for r in right])[None]
-                d[same] = 0
-                kinds_, at = np.unique(np.array([r["_c"] for r in right]), return_inverse=True)
-                hot = (at[:, None] == np.arange(len(kinds_))[None]).astype(float)
-                total, n = d @ hot, (~same) @ hot
-                sides = [(rows, own, kinds_, total, n)]
+                hot = lambda c: (lambda k, at: (k.tolist(), (at[:, None] == np.arange(len(k))[None]).astype(float)))(*np.unique(np.array(c), return_inverse=True))
+                sides = [(rows, own, *hot([r["_c"] for r in right]), False)]
                 if rec[-3]:  # the other half of the symmetric block
-                    kinds_, at = np.unique(np.array(own), return_inverse=True)
-                    hot = (at[:, None] == np.arange(len(kinds_))[None]).astype(float)
-                    sides.append(([r["_row"] for r in right], [r["_c"] for r in right], kinds_, d.T @ hot, (~same).T @ hot))
-                for rows, own, kinds_, total, n in sides:
-                    for k, other_ in enumerate(kinds_.tolist()):
-                        for c, v in zip(cols, (*([x] * len(rows) for x in rec[:-3]), rows, own, [other_] * len(rows), total[:, k].tolist(), n[:, k].astype(int).tolist())):
-                            c += v
+                    sides.append(([r["_row"] for r in right], [r["_c"] for r in right], *hot(own), True))
+                for measure in measures:
+                    d = np.where(same, 0, block_distances(a, b, measure))
+                    for rows_, own_, kinds_, h, turned in sides:
+                        total, n = (d.T if turned else d) @ h, ((~same).T if turned else ~same) @ h
+                        for k, other_ in enumerate(kinds_):
+                            for c, v in zip(cols, (*([x] * len(rows_) for x in rec[:-3]), [measure] * len(rows_), rows_, own_, [other_] * len(rows_), total[:, k].tolist(), n[:, k].astype(int).tolist())):
+                                c += v
             yield pd.DataFrame(dict(zip(names, cols)))
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", row {kinds['_row']}, own {kinds['_c']}, other {kinds['_c']}, total double, n long"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + f", measure string, row {kinds['_row']}, own {kinds['_c']}, other {kinds['_c']}, total double, n long"
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = packed.join(other, by).where("_p <= _q").repartition(tasks, *by, "_p", "_q").select(*by, (F.col("_p") < F.col("_q")).alias("_two"), "_l", "_m")
-    return pairs.mapInPandas(run, schema).groupBy(*by, "row", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return pairs.mapInPandas(run, schema).groupBy(*by, "measure", "row", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def silhouettes(df: DataFrame, by: list[str], row: str, cluster: str, vec: str, measure: str = "l5", chunk: int = 512) -> DataFrame:
-    """`<by>, row, cluster, silhouette` of each row; a cluster of one gives 0; a group with one cluster gives nulls."""
-    d = cluster_distances(df, by, row, cluster, vec, measure, chunk).withColumn("avg", F.when(F.col("n") > 0, F.col("total") / F.col("n")))
-    s = d.groupBy(*by, "row", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("avg"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("avg"))).alias("b"))
+def silhouettes(df: DataFrame, by: list[str], row: str, cluster: str, vec: str, measures: tuple[str, ...] = ("l5",), chunk: int = 512) -> DataFrame:
+    """`<by>, measure, row, cluster, silhouette` of each row; a cluster of one gives 0; a group with one cluster gives nulls."""
+    d = cluster_distances(df, by, row, cluster, vec, measures, chunk).withColumn("avg", F.when(F.col("n") > 0, F.col("total") / F.col("n")))
+    s = d.groupBy(*by, "measure", "row", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("avg"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("avg"))).alias("b"))
     value = F.when(F.col("b").isNull(), None).when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return s.select(*by, "row", F.col("own").alias("cluster"), value.alias("silhouette"))
+    return s.select(*by, "measure", "row", F.col("own").alias("cluster"), value.alias("silhouette"))
+
+
+def silhouettes_by_measure(df: DataFrame, by: list[str], row: str, cluster: str, vec: str, measures: tuple[str, ...], chunk: int = 512) -> DataFrame:
+    """`<by>, measure, swc`: the mean silhouette; null where every row is its own cluster or there is but one cluster."""
+    s = silhouettes(df, by, row, cluster, vec, measures, chunk)
+    return s.groupBy(*by, "measure").agg(F.avg("silhouette").alias("m"), F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("k")).select(
+        *by, "measure", F.when(F.col("n") > F.col("k"), F.round(F.col("m") + 1e-9, 6)).alias("swc"))
 
 
 def silhouette_index(df: DataFrame, by: list[str], row: str, cluster: str, vec: str, measure: str = "l5", chunk: int = 512) -> DataFrame:
-    """`<by>, swc`: the mean silhouette; null where every row is its own cluster or there is but one cluster."""
-    s = silhouettes(df, by, row, cluster, vec, measure, chunk)
-    return s.groupBy(*by).agg(F.avg("silhouette").alias("m"), F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("k")).select(
-        *by, F.when(F.col("n") > F.col("k"), F.round(F.col("m") + 1e-9, 6)).alias("swc"))
+    """As `silhouettes_by_measure`, of one measure: `<by>, swc`."""
+    return silhouettes_by_measure(df, by, row, cluster, vec, (measure,), chunk).drop("measure")
+
 
+def _measured(df: DataFrame, measures: tuple[str, ...], **pairs: tuple[str, str]) -> DataFrame:
+    """A row per measure with the distances of the named pairs of vector columns."""
+    return df.withColumn("_m", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), *[distance(m)(F.col(a), F.col(b)).alias(n) for n, (a, b) in pairs.items()]) for m in measures]))).select("*", "_m.*").drop("_m")
 
-def centroid_indices(rows: DataFrame, centroids: DataFrame, overall: DataFrame, by: list[str], cluster: str, measure: str = "l5", least: float = 1e-15, spread: bool = False) -> DataFrame:
-    """`<by>, dbi, vrc, pbm` from rows (`<by>, cluster, vec`), cluster centroids (`<by>, cluster, centroid`) and the group's centroid (`<by>, overall`).
+
+def centroid_indices(rows: DataFrame, centroids: DataFrame, overall: DataFrame, by: list[str], cluster: str, measures: tuple[str, ...] = ("l5",), least: float = 1e-15, over: list[str] | None = None) -> DataFrame:
+    """`<by>, measure, dbi, vrc, pbm, e` from rows (`<by>, cluster, vec`), cluster centroids (`<by>, cluster, centroid`) and the whole's centroid (`<over>, overall`).
 
     Centroids at distance 0 count as `least` apart. PBM divides by the number of rows. An index that
     its formula leaves undefined (one cluster; as many clusters as rows) is null. Pairs of centroids
-    meet within their group alone, and there are as many centroids as clusters, not rows. `spread`
-    adds `e`, the summed distance of rows to their centroids.
+    meet within their group alone, and there are as many centroids as clusters, not rows. `e` is the
+    summed distance of rows to their centroids: where it is 0 but for rounding, VRC and PBM are noise.
     """
-    f = distance(measure)
-    x = rows.join(centroids, [*by, cluster]).join(overall, by)
-    x = x.withColumn("d_own", f(F.col("vec"), F.col("centroid"))).withColumn("d_all", f(F.col("vec"), F.col("overall")))
-    per = x.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n"), F.avg("d_own").alias("sigma"), F.sum("d_own").alias("e"), F.sum(F.col("d_own") * F.col("d_own")).alias("e2"), F.sum("d_all").alias("e1"), F.first("centroid").alias("centroid"), F.first("overall").alias("overall"))
-    per = per.withColumn("between", F.col("n") * F.pow(f(F.col("centroid"), F.col("overall")), 2.0))
-    sums = per.groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows"), F.sum("between").alias("between"), F.sum("e2").alias("e2"), F.sum("e").alias("e"), F.sum("e1").alias("e1"))
-    o = per.select(*by, F.col(cluster).alias("_c2"), F.col("sigma").alias("_s2"), F.col("centroid").alias("_m2"))
-    pairs = per.select(*by, cluster, "sigma", "centroid").join(o, by).where(F.col(cluster) != F.col("_c2"))
-    pairs = pairs.withColumn("d", f(F.col("centroid"), F.col("_m2")))
-    worst = pairs.groupBy(*by, cluster).agg(F.max((F.col("sigma") + F.col("_s2")) / F.greatest(F.col("d"), F.lit(least))).alias("r"), F.max("d").alias("d"))
-    worst = worst.groupBy(*by).agg(F.avg("r").alias("dbi"), F.max("d").alias("apart"))
-    y = sums.join(worst, by, "left")
+    over = by if over is None else over
+    x = rows.join(centroids, [*by, cluster]).join(overall, over)
+    x = _measured(x, measures, d_own=("vec", "centroid"), d_all=("vec", "overall"), d_between=("centroid", "overall"))
+    g = [*by, "measure"]
+    per = x.groupBy(*g, cluster).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("d_own").alias("sigma"), F.sum("d_own").alias("e"), F.sum(F.col("d_own") * F.col("d_own")).alias("e2"), F.sum("d_all").alias("e1"), F.first("d_between").alias("_b"))
+    sums = per.groupBy(*g).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("_b") * F.col("_b")).alias("between"), F.sum("e2").alias("e2"), F.sum("e").alias("e"), F.sum("e1").alias("e1"))
+    used = rows.select(*by, cluster).distinct().join(centroids, [*by, cluster])
+    two = used.join(used.select(*by, F.col(cluster).alias("_c2"), F.col("centroid").alias("_m2")), by).where(F.col(cluster) != F.col("_c2"))
+    two = _measured(two, measures, d=("centroid", "_m2")).select(*g, cluster, "_c2", "d")
+    two = two.join(per.select(*g, cluster, "sigma"), [*g, cluster]).join(per.select(*g, F.col(cluster).alias("_c2"), F.col("sigma").alias("_s2")), [*g, "_c2"])
+    worst = two.groupBy(*g, cluster).agg(F.max((F.col("sigma") + F.col("_s2")) / F.greatest(F.col("d"), F.lit(least))).alias("r"), F.max("d").alias("d"))
+    worst = worst.groupBy(*g).agg(F.avg("r").alias("dbi"), F.max("d").alias("apart"))
+    y = sums.join(worst, g, "left")
     vrc = ratio(F.col("between") * (F.col("rows") - F.col("k")), F.col("e2") * (F.col("k") - 1))
     pbm = F.pow(ratio(F.col("apart") * F.col("e1"), F.col("rows") * F.col("e")), 2.0)
-    return y.select(*by, "dbi", vrc.alias("vrc"), pbm.alias("pbm"), *(["e"] if spread else []))
+    return y.select(*g, "dbi", vrc.alias("vrc"), pbm.alias("pbm"), "e")
 
 
 def mean_vectors(rows: DataFrame, by: list[str], vec: str, name: str) -> DataFrame:
@@ -156,10 +187,6 @@ def pooled(obs: DataFrame, segments: DataFrame, by: list[str], columns: tuple[st
     return interval_join(obs.select("subject_id", "obs_idx", *columns), segments.select("subject_id", "start_idx", "end_idx", *[c for c in by if c != "subject_id"])).select(*by, *columns)
 
 
-def within_count(flag: Column) -> Column:
-    return F.count_if(flag)
-
-
 def ranked_groups(df: DataFrame, by: list[str], value: str, name: str, ascending: bool = True) -> DataFrame:
     """Dense ranks within a group."""
     return df.withColumn(name, F.dense_rank().over(Window.partitionBy(*by).orderBy(F.col(value).asc() if ascending else F.col(value).desc())))

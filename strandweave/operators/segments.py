@@ -118,13 +118,6 @@ def reduced(segments: DataFrame, keep: Column) -> DataFrame:
     return x.withColumn("start_idx", F.col("_end") - F.col("length")).withColumn("end_idx", F.col("_end") - 1).drop("_end")
 
 
-def reduced_observations(obs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The observations of reduced segments at their new positions."""
-    old = segments.select("subject_id", F.col("old_start_idx").alias("start_idx"), (F.col("old_start_idx") + F.col("length") - 1).alias("end_idx"), (F.col("start_idx") - F.col("old_start_idx")).alias("_move"))
-    x = interval_join(obs, old)
-    return x.withColumn("obs_idx", F.col("obs_idx") + F.col("_move")).drop("_move", "start_idx", "end_idx")
-
-
 def time_gaps(obs: DataFrame, by: str = "subject_id") -> DataFrame:
     """Seconds between successive observations of known time, without the first."""
     w = Window.partitionBy(by).orderBy("us", "obs_idx")

@@ -22,10 +22,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.runtime import dropped, written
+from strandweave.runtime import dropped, scratch, written
 
 
 @dataclass
@@ -71,20 +71,33 @@ def toeplitz_mean(m: np.ndarray, n: int) -> np.ndarray:
 
 def sparse_inverse(cov: np.ndarray, n: int, penalty: float = 0.1, rho: float = 1.0, steps: int = 300, tol: float = 1e-5) -> np.ndarray:
     """Graphical lasso with block-Toeplitz structure, by alternating directions."""
-    z = np.eye(len(cov))
-    u = np.zeros_like(cov)
+    return sparse_inverses(cov[None], n, penalty, rho, steps, tol)[0]
+
+
+def sparse_inverses(covs: np.ndarray, n: int, penalty: float = 0.1, rho: float = 1.0, steps: int = 300, tol: float = 1e-5) -> np.ndarray:
+    """As `sparse_inverse`, of a stack of matrices; each stops when it has converged."""
+    size = covs.shape[1]
+    groups, upper, counts = _block_diagonals(size, n)
+    flat, diag = groups[upper], np.arange(size)
+    z = np.broadcast_to(np.eye(size), covs.shape).copy()
+    u = np.zeros_like(covs)
+    todo = np.arange(len(covs))
     for _ in range(steps):
-        w, q = np.linalg.eigh(rho * (z - u) - cov)
-        x = (q * ((w + np.sqrt(w * w + 4 * rho)) / (2 * rho))) @ q.T
-        a = toeplitz_mean(x + u, n)
+        zt, ut = z[todo], u[todo]
+        w, q = np.linalg.eigh(rho * (zt - ut) - covs[todo])
+        x = (q * ((w + np.sqrt(w * w + 4 * rho)) / (2 * rho))[:, None, :]) @ q.transpose(0, 2, 1)
+        a = x + ut
+        a = np.stack([np.bincount(flat, m[upper]) for m in a])
+        a = (a / counts)[:, groups]
         soft = np.sign(a) * np.maximum(np.abs(a) - penalty / rho, 0)
-        np.fill_diagonal(soft, np.diag(a))
-        moved, z = np.abs(soft - z).max(), soft
-        u += x - z
-        if moved < tol and np.abs(x - z).max() < tol:
+        soft[:, diag, diag] = a[:, diag, diag]
+        z[todo], u[todo] = soft, ut + x - soft
+        done = (np.abs(soft - zt).max((1, 2)) < tol) & (np.abs(x - soft).max((1, 2)) < tol)
+        todo = todo[~done]
+        if not len(todo):
             break
     w, q = np.linalg.eigh(z)
-    return (q * np.maximum(w, 1e-6)) @ q.T
+    return (q * np.maximum(w, 1e-6)[:, None, :]) @ q.transpose(0, 2, 1)
 
 
 def best_path(cost: np.ndarray, penalty: float, first: int | None = None, last: int | None = None) -> np.ndarray:
@@ -173,18 +186,33 @@ def bayes_information(model: Model, stacked: np.ndarray, a: np.ndarray, zero: fl
     return float(size[changes].sum() * np.log(len(stacked)) - 2 * fit)
 
 
-def packed(obs: DataFrame, variates: tuple[str, ...], chunk: int, reach: int) -> DataFrame:
-    """`subject_id, chunk, n, x`: the rows of each chunk in order as bytes, its own `n` first, then those that its last windows read on."""
-    at = F.floor(F.col("obs_idx") / chunk)
-    both = F.when((at > 0) & (F.col("obs_idx") % chunk < reach), F.array(at, at - 1)).otherwise(F.array(at))
-    x = obs.select("subject_id", "obs_idx", *variates, F.explode(both).alias("chunk"), at.alias("own"))
+def packed(obs: DataFrame, variates: tuple[str, ...], chunk: int, window: int) -> DataFrame:
+    """`subject_id, chunk, n, x, idx`: the rows of each chunk in order, as bytes: its own `n`, then the `window - 1` rows that follow them in the subject.
+
+    Written once. What follows comes from the first rows of the next chunks, a small table; a chunk
+    holds at most `chunk` positions, so no task holds a subject.
+    """
+    names, more = list(variates), window - 1
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("obs_idx")
-        n = int((g["own"] == g["chunk"]).sum())
-        return pd.DataFrame({"subject_id": [key[0]], "chunk": [key[1]], "n": [n], "x": [g[list(variates)].to_numpy(float).tobytes()]} if n else {"subject_id": [], "chunk": [], "n": [], "x": []})
+        x = g[names].to_numpy(float)
+        return pd.DataFrame({"subject_id": [key[0]], "chunk": [key[1]], "n": [len(g)], "x": [x.tobytes()], "idx": [g["obs_idx"].to_numpy(np.int64).tobytes()], "head": [x[:more].ravel()]})
+
+    at = F.floor(F.col("obs_idx") / chunk).alias("chunk")
+    own = obs.select("subject_id", "obs_idx", *names, at).groupBy("subject_id", "chunk").applyInPandas(run, "subject_id string, chunk long, n int, x binary, idx binary, head array<double>")
+    if more <= 0:
+        return written(own.drop("head"))
+    with scratch(own) as own:
+        w = Window.partitionBy("subject_id").orderBy("chunk").rowsBetween(1, more)
+        after = own.select("subject_id", "chunk", F.slice(F.flatten(F.collect_list("head").over(w)), 1, more * len(names)).alias("after"))
+
+        def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                f["x"] = [x + np.asarray(a, float).tobytes() for x, a in zip(f["x"], f["after"])]
+                yield f[["subject_id", "chunk", "n", "x", "idx"]]
 
-    return x.groupBy("subject_id", "chunk").applyInPandas(run, "subject_id string, chunk long, n int, x binary")
+        return written(own.drop("head").join(after, ["subject_id", "chunk"]).mapInPandas(joined, "subject_id string, chunk long, n int, x binary, idx binary"))
 
 
 def _stacked(rec: tuple, window: int, variates: int) -> np.ndarray:
@@ -227,8 +255,8 @@ def _summed(df: DataFrame, f: Callable[[tuple], np.ndarray]) -> np.ndarray:
     return out
 
 
-def seeds(data: DataFrame, clusters: int, window: int, variates: int, seed: int, about: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """(shift, centres): k-means of about `about` windows drawn over all series; starting points of the mixture only."""
+def seeds(data: DataFrame, clusters: int, window: int, variates: int, seed: int, about: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shift, sample, assignment): k-means of about `about` windows drawn over all series; starting points of the mixture only."""
     share = min(1.0, about / max(1, data.agg(F.sum("n")).first()[0]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,18 +278,18 @@ def seeds(data: DataFrame, clusters: int, window: int, variates: int, seed: int,
     for _ in range(30):
         a = ((s**2).sum(1)[:, None] - 2 * s @ c.T + (c**2).sum(1)).argmin(1)
         c = np.array([s[a == k].mean(0) if (a == k).any() else c[k] for k in range(clusters)])
-    return shift, c
+    return shift, s, a
 
 
 def mixture_start(data: DataFrame, clusters: int, window: int, variates: int, seed: int, most: int = 100, tol: float = 1e-3, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """(shift, sums): a Gaussian mixture with full covariances, fitted on all rows, and the feature sums of the rows by most probable component."""
-    size = window * variates
-    shift, centres = seeds(data, clusters, window, variates, seed)
+    """(shift, sums): a Gaussian mixture with full covariances, and the feature sums of all rows by most probable component.
 
-    def nearest(rec: tuple) -> np.ndarray:
-        s = _stacked(rec, window, variates)
-        a = ((centres**2).sum(1) - 2 * s @ centres.T).argmin(1)
-        return ((a[:, None] == np.arange(clusters)).astype(float).T @ _features(s - shift)).ravel()
+    Expectation-maximisation runs on the seeds' bounded sample first, and goes on over all rows from
+    there, until the mean log-likelihood of all rows gains less than `tol`, `most` passes at most.
+    """
+    size = window * variates
+    shift, sample, a = seeds(data, clusters, window, variates, seed)
+    sample = sample - shift
 
     def logs(s: np.ndarray, weights: np.ndarray, means: np.ndarray, roots: np.ndarray) -> np.ndarray:
         out = np.empty((len(s), clusters))
@@ -273,24 +301,34 @@ def mixture_start(data: DataFrame, clusters: int, window: int, variates: int, se
         n, means, covs = _moments(sums, size)
         return np.log(np.maximum(n, 1e-12) / n.sum()), means, np.array([np.linalg.inv(np.linalg.cholesky(c + floor * np.eye(size))).T for c in covs])
 
-    sums, before = _summed(data, nearest).reshape(clusters, -1), -np.inf
-    for _ in range(most):
-        p = parameters(sums)
-
+    def softly(s: np.ndarray, features: np.ndarray, p: tuple) -> np.ndarray:
+        g = logs(s, *p)
+        top = g.max(1, keepdims=True)
+        e = np.exp(g - top)
+        t = e.sum(1, keepdims=True)
+        return np.append(((e / t).T @ features).ravel(), (top + np.log(t)).sum())
+
+    def climbed(sums: np.ndarray, step: Callable[[tuple], np.ndarray]) -> np.ndarray:
+        before = -np.inf
+        for _ in range(most):
+            got = step(parameters(sums))
+            sums = got[:-1].reshape(clusters, -1)
+            bound = got[-1] / sums[:, 0].sum()
+            if abs(bound - before) < tol:
+                break
+            before = bound
+        return sums
+
+    f = _features(sample)
+    sums = climbed((a[:, None] == np.arange(clusters)).astype(float).T @ f, lambda p: softly(sample, f, p))
+
+    def over_all(p: tuple) -> np.ndarray:
         def soft(rec: tuple) -> np.ndarray:
             s = _stacked(rec, window, variates) - shift
-            g = logs(s, *p)  # noqa: B023
-            top = g.max(1, keepdims=True)
-            e = np.exp(g - top)
-            t = e.sum(1, keepdims=True)
-            return np.append(((e / t).T @ _features(s)).ravel(), (top + np.log(t)).sum())
-
-        got = _summed(data, soft)
-        sums, bound = got[:-1].reshape(clusters, -1), got[-1] / got[:-1].reshape(clusters, -1)[:, 0].sum()
-        if abs(bound - before) < tol:
-            break
-        before = bound
-    p = parameters(sums)
+            return softly(s, _features(s), p)
+        return _summed(data, soft)
+
+    p = parameters(climbed(sums, over_all))
 
     def hard(rec: tuple) -> np.ndarray:
         s = _stacked(rec, window, variates) - shift
@@ -317,7 +355,7 @@ def _fixed_ends(data: DataFrame, model: Model, variates: int) -> DataFrame:
     return m.groupBy("subject_id").applyInPandas(chain, "subject_id string, chunk long, first int, last int, before int")
 
 
-def fit(obs: DataFrame, clusters: int, window: int, sparsity: float = 0.11, penalty: float = 400.0, iterations: int = 10, seed: int = 102, moved: int = 30, chunk: int = 8192, reach: int = 64) -> Model:
+def fit(obs: DataFrame, clusters: int, window: int, sparsity: float = 0.11, penalty: float = 400.0, iterations: int = 10, seed: int = 102, moved: int = 30, chunk: int = 8192) -> Model:
     """Fit on all rows of all subjects, from a Gaussian mixture, until no assignment changes, `iterations` at most.
 
     A cluster that runs empty takes the `moved` rows from the first row on that a cluster with the
@@ -327,12 +365,12 @@ def fit(obs: DataFrame, clusters: int, window: int, sparsity: float = 0.11, pena
     names = tuple(c for c in obs.columns if c not in ("subject_id", "obs_idx"))
     n = len(names)
     size = window * n
-    data = written(packed(obs, names, chunk, reach))
+    data = packed(obs, names, chunk, window)
     shift, sums = mixture_start(data, clusters, window, n, seed)
     digest = None
     for i in range(iterations):
         count, means, covs = _moments(sums, size)
-        inverses = np.array([sparse_inverse(c + 1e-6 * np.eye(size) if m > 1 else np.eye(size), n, sparsity, steps=1000, tol=1e-6) for m, c in zip(count, covs)])
+        inverses = sparse_inverses(np.array([c + 1e-6 * np.eye(size) if m > 1 else np.eye(size) for m, c in zip(count, covs)]), n, sparsity, steps=1000, tol=1e-6)
         model = Model(means + shift, inverses, window, penalty, float("nan"))
 
         def path(rec: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -375,41 +413,21 @@ def fit(obs: DataFrame, clusters: int, window: int, sparsity: float = 0.11, pena
     return model
 
 
-def predict(obs: DataFrame, model: Model, variates: tuple[str, ...], chunk: int = 8192, reach: int = 64) -> DataFrame:
+def predict(obs: DataFrame, model: Model, variates: tuple[str, ...], chunk: int = 8192) -> DataFrame:
     """`subject_id, obs_idx, cluster`: the best path of each subject under the model.
 
-    The window of a chunk's last rows reads on into the next chunk, at most `reach` positions far;
-    beyond it, as at a subject's end, it holds zeros.
+    A window past a subject's last row holds zeros.
     """
-    at = F.floor(F.col("obs_idx") / chunk)
-    both = F.when((at > 0) & (F.col("obs_idx") % chunk < reach), F.array(at, at - 1)).otherwise(F.array(at))
-    x = obs.select("subject_id", "obs_idx", *variates, F.explode(both).alias("chunk"), at.alias("own"))
-
-    def costs(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        g = g.sort_values("obs_idx")
-        s = stacked_windows(g[list(variates)].to_numpy(float), model.window)
-        mine = (g["own"] == g["chunk"]).to_numpy()
-        return g[mine], model.costs(s)[mine]
-
-    def ends(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        own, c = costs(g)
-        return pd.DataFrame({"subject_id": [key[0]], "chunk": [key[1]], "m": [path_costs(c, model.penalty).ravel()]}) if len(own) else pd.DataFrame({"subject_id": [], "chunk": [], "m": []})
-
-    def chain(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("chunk")
-        k = len(model.means)
-        e = chained_ends([np.asarray(m).reshape(k, k) for m in g["m"]], model.penalty)
-        return pd.DataFrame({"subject_id": key[0], "chunk": g["chunk"], "first": [a for a, _ in e], "last": [b for _, b in e]})
+    data = packed(obs, variates, chunk, model.window)
 
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        own, c = costs(g)
-        if not len(own):
-            return pd.DataFrame({"subject_id": [], "obs_idx": [], "cluster": []})
-        return pd.DataFrame({"subject_id": key[0], "obs_idx": own["obs_idx"], "cluster": best_path(c, model.penalty, int(own["first"].iloc[0]), int(own["last"].iloc[0]))})
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for rec in frame.itertuples(index=False):
+                a = best_path(model.costs(_stacked(rec, model.window, len(variates))), model.penalty, rec.first, rec.last)
+                yield pd.DataFrame({"subject_id": rec.subject_id, "obs_idx": np.frombuffer(rec.idx, np.int64), "cluster": a})
 
-    m = x.groupBy("subject_id", "chunk").applyInPandas(ends, "subject_id string, chunk long, m array<double>")
-    fixed = m.groupBy("subject_id").applyInPandas(chain, "subject_id string, chunk long, first int, last int")
-    return x.join(fixed, ["subject_id", "chunk"]).groupBy("subject_id", "chunk").applyInPandas(solve, "subject_id string, obs_idx long, cluster int")
+    fixed = _fixed_ends(data, model, len(variates))
+    return data.join(fixed, ["subject_id", "chunk"]).mapInPandas(solve, "subject_id string, obs_idx long, cluster int")
 
 
 def edges(spark: SparkSession, model: Model, zero: float = 2e-5) -> DataFrame:

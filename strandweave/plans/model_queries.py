@@ -12,7 +12,7 @@ from strandweave.functions import matrices
 from strandweave.operators import correlation, measures, quality, segments
 from strandweave.operators.describe import describe, entropy, min_max_scaled
 from strandweave.plans import views as V
-from strandweave.runtime import table, written
+from strandweave.runtime import scratch, table, written
 from strandweave.sources import tables as S
 from strandweave.sources.tables import VARIATES
 
@@ -84,14 +84,19 @@ def select_covered_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- correlations of segments, errors, tolerance
+def complete(spark: SparkSession, d: str) -> DataFrame:
+    """Observations with all variates, for correlations."""
+    return S.observations(spark, d, VARIATES)
+
+
 def _by_segment(spark: SparkSession, d: str) -> DataFrame:
-    return segments.interval_join(S.observations(spark, d), S.labels(spark, d).select("subject_id", "segment_id", "start_idx", "end_idx"))
+    return segments.interval_join(complete(spark, d), S.labels(spark, d).select("subject_id", "segment_id", "start_idx", "end_idx"))
 
 
-_JOINED = "j AS (SELECT o.*, s.segment_id FROM obs o JOIN seg s ON s.subject_id = o.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.end_idx)"
+_JOINED = "j AS (SELECT o.*, s.segment_id FROM obsf o JOIN seg s ON s.subject_id = o.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.end_idx)"
 
 
-@query(V.with_(V.OBS, V.SEG, V.PAT, _JOINED, V.spearman("j", "subject_id, segment_id"), f"x AS (SELECT subject_id, segment_id, n, {V.CORR} AS v FROM corr)") + f"""
+@query(V.with_(V.OBS_F, V.SEG, V.PAT, _JOINED, V.spearman("j", "subject_id, segment_id"), f"x AS (SELECT subject_id, segment_id, n, {V.CORR} AS v FROM corr)") + f"""
 SELECT x.subject_id, x.segment_id, n, {_three('v')},
   {', '.join(f"CASE WHEN abs(canonical[{i}]) >= 0.7 THEN abs(v[{i}]) >= 0.7 WHEN abs(canonical[{i}]) <= 0.2 THEN abs(v[{i}]) <= 0.2 ELSE false END AS ok_{i}" for i in (1, 2, 3))},
   round_even(round((abs(v[1]-canonical[1]) + abs(v[2]-canonical[2]) + abs(v[3]-canonical[3])) / 3, 9), 3) AS mae,
@@ -106,29 +111,33 @@ def recalculated_labels(spark: SparkSession, d: str) -> DataFrame:
     return listed(x, "v", "ok")
 
 
-@query(V.with_(V.OBS, V.SEG, _JOINED, V.pearson("j", "subject_id, segment_id")) + f"SELECT subject_id, segment_id, n, {_three('correlation', V.CORR)} FROM corr")
+@query(V.with_(V.OBS_F, V.SEG, _JOINED, V.pearson("j", "subject_id, segment_id")) + f"SELECT subject_id, segment_id, n, {_three('correlation', V.CORR)} FROM corr")
 def pearson_by_segment(spark: SparkSession, d: str) -> DataFrame:
     return listed(correlation.pearson(_by_segment(spark, d), ["subject_id", "segment_id"], VARIATES), "correlation")
 
 
-@query()
+_TAU = lambda a, b: f"CASE WHEN sum(abs(sign(x.{a}-y.{a}))) > 0 AND sum(abs(sign(x.{b}-y.{b}))) > 0 THEN sum(sign(x.{a}-y.{a}) * sign(x.{b}-y.{b})) / sqrt(sum(abs(sign(x.{a}-y.{a})))::DOUBLE * sum(abs(sign(x.{b}-y.{b})))::DOUBLE) ELSE 'nan'::DOUBLE END"
+
+
+@query(V.with_(V.OBS_F, V.SEG, _JOINED, f"n AS (SELECT subject_id, segment_id, count(*) AS n FROM j GROUP BY ALL), tau AS (SELECT x.subject_id, x.segment_id, {_TAU('iob', 'cob')} AS a, {_TAU('iob', 'ig')} AS b, {_TAU('cob', 'ig')} AS c FROM j x JOIN j y ON x.subject_id = y.subject_id AND x.segment_id = y.segment_id AND x.obs_idx < y.obs_idx GROUP BY ALL)",
+                f"t2 AS (SELECT subject_id, segment_id, n, coalesce(a, 'nan'::DOUBLE) AS a, coalesce(b, 'nan'::DOUBLE) AS b, coalesce(c, 'nan'::DOUBLE) AS c FROM n LEFT JOIN tau USING (subject_id, segment_id))") + f"SELECT subject_id, segment_id, n, {_three('correlation', V.CORR)} FROM t2")
 def kendall_by_segment(spark: SparkSession, d: str) -> DataFrame:
     return listed(correlation.kendall(_by_segment(spark, d), ["subject_id", "segment_id"], VARIATES), "correlation")
 
 
-@query(V.with_(V.OBS, V.spearman("obs", "subject_id")) + f"SELECT subject_id, n, {_three('correlation', V.CORR)} FROM corr")
+@query(V.with_(V.OBS_F, V.spearman("obsf", "subject_id")) + f"SELECT subject_id, n, {_three('correlation', V.CORR)} FROM corr")
 def spearman_by_subject(spark: SparkSession, d: str) -> DataFrame:
-    return listed(correlation.spearman(S.observations(spark, d), ["subject_id"], VARIATES, large_groups=True), "correlation")
+    return listed(correlation.spearman(complete(spark, d), ["subject_id"], VARIATES, large_groups=True), "correlation")
 
 
-@query(V.with_(V.OBS, V.SEG, "j AS (SELECT o.*, s.cluster_id FROM obs o JOIN seg s ON s.subject_id = o.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.end_idx)", V.spearman("j", "subject_id, cluster_id")) + f"SELECT subject_id, cluster_id, n, {_three('correlation', V.CORR)} FROM corr")
+@query(V.with_(V.OBS_F, V.SEG, "j AS (SELECT o.*, s.cluster_id FROM obsf o JOIN seg s ON s.subject_id = o.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.end_idx)", V.spearman("j", "subject_id, cluster_id")) + f"SELECT subject_id, cluster_id, n, {_three('correlation', V.CORR)} FROM corr")
 def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
     return listed(_centroids(spark, d), "correlation")
 
 
 def _centroids(spark: SparkSession, d: str) -> DataFrame:
     by = ["subject_id", "cluster_id"]
-    return correlation.spearman(quality.pooled(S.observations(spark, d), S.labels(spark, d), by, VARIATES), by, VARIATES, large_groups=True)
+    return correlation.spearman(quality.pooled(complete(spark, d), S.labels(spark, d), by, VARIATES), by, VARIATES, large_groups=True)
 
 
 @query(V.with_(V.SEG) + f"SELECT subject_id, cluster_id, count(*) AS n, {', '.join(V.r6(f'avg(achieved[{i}])', 3) + f' AS mean_{i}' for i in (1, 2, 3))} FROM seg GROUP BY ALL")
@@ -172,10 +181,10 @@ def achieved_by_pattern(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.with_(V.OBS, "g AS (SELECT subject_id, (us - lag(us) OVER (PARTITION BY subject_id ORDER BY us, obs_idx)) / 1e6::DOUBLE AS gap_s FROM obs WHERE us IS NOT NULL)") + f"SELECT subject_id, {V.describe('gap_s')} FROM g WHERE gap_s IS NOT NULL GROUP BY ALL")
 def time_gap_stats(spark: SparkSession, d: str) -> DataFrame:
-    return describe(segments.time_gaps(S.observations(spark, d, ())), ["subject_id"], "gap_s")
+    return describe(segments.time_gaps(S.observations(spark, d)), ["subject_id"], "gap_s")
 
 
-@query(V.with_(V.OBS, V.SEG, "l AS (SELECT unnest([10, 20, 40]) AS len)", "j AS (SELECT o.*, s.segment_id, l.len FROM seg s JOIN l ON s.length >= l.len JOIN obs o ON o.subject_id = s.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.start_idx + l.len - 1)",
+@query(V.with_(V.OBS_F, V.SEG, "l AS (SELECT unnest([10, 20, 40]) AS len)", "j AS (SELECT o.*, s.segment_id, l.len FROM seg s JOIN l ON s.length >= l.len JOIN obsf o ON o.subject_id = s.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.start_idx + l.len - 1)",
                 V.spearman("j", "len, subject_id, segment_id"), V.PAT, f"x AS (SELECT len, subject_id, segment_id, {V.CORR} AS v FROM corr)",
                 "e AS (SELECT len, (abs(v[1]-relaxed[1]) + abs(v[2]-relaxed[2]) + abs(v[3]-relaxed[3])) / 3 AS e FROM x JOIN seg USING (subject_id, segment_id) JOIN pat ON pat.pattern_id = seg.cluster_id)",
                 "f AS (SELECT len, round_even(round(e, 9), 3) AS e FROM e WHERE NOT isnan(e))") + f"SELECT len, {V.describe('e')} FROM f GROUP BY ALL")
@@ -183,18 +192,18 @@ def mae_by_length(spark: SparkSession, d: str) -> DataFrame:
     """Segments cut to their first 10, 20 and 40 positions, correlated anew."""
     s = S.labels(spark, d).withColumn("len", F.explode(F.array(F.lit(10), F.lit(20), F.lit(40)))).where("length >= len")
     cut = s.select("subject_id", "segment_id", "len", "start_idx", (F.col("start_idx") + F.col("len") - 1).alias("end_idx"))
-    x = correlation.spearman(segments.interval_join(S.observations(spark, d), cut), ["len", "subject_id", "segment_id"], VARIATES)
+    x = correlation.spearman(segments.interval_join(complete(spark, d), cut), ["len", "subject_id", "segment_id"], VARIATES)
     x = x.join(S.labels(spark, d).select("subject_id", "segment_id", "cluster_id"), ["subject_id", "segment_id"]).join(F.broadcast(S.patterns(spark, d).withColumnRenamed("pattern_id", "cluster_id")), "cluster_id")
     return describe(x.withColumn("e", C.mean_abs_error(F.col("correlation"), F.col("relaxed"))).where("not isnan(e)"), ["len"], "e")
 
 
-@query(V.with_(V.OBS, "e AS (SELECT subject_id, min(ig) AS a, max(ig) AS b FROM obs GROUP BY 1)", "x AS (SELECT subject_id, CASE WHEN b > a THEN (ig - a) / (b - a) ELSE 0 END AS v FROM obs JOIN e USING (subject_id))",
+@query(V.with_(V.OBS, "e AS (SELECT subject_id, min(ig) AS a, max(ig) AS b FROM obs GROUP BY 1)", "x AS (SELECT subject_id, CASE WHEN b > a THEN (ig - a) / (b - a) ELSE 0 END AS v FROM obs JOIN e USING (subject_id) WHERE ig IS NOT NULL)",
                 "h AS (SELECT subject_id, least(floor(v / (1.0::DOUBLE / 50)), 49) AS bin, count(*) AS n FROM x GROUP BY ALL)", "p AS (SELECT subject_id, n / sum(n) OVER (PARTITION BY subject_id) AS p FROM h)") + f"SELECT subject_id, {V.r6('-sum(p * log2(p))')} AS entropy FROM p GROUP BY 1")
 def entropy_of_scaled(spark: SparkSession, d: str) -> DataFrame:
     return entropy(min_max_scaled(S.observations(spark, d, ("ig",)).select("subject_id", "ig"), ["subject_id"], ["ig"]), ["subject_id"], "ig")
 
 
-@query(V.with_(V.OBS, "e AS (SELECT subject_id, min(iob) AS a, max(iob) AS b, min(cob) AS c, max(cob) AS d FROM obs GROUP BY 1)") + f"SELECT subject_id, obs_idx, {V.r6('-1 + CASE WHEN b > a THEN (iob - a) / (b - a) ELSE 0 END * 2')} AS iob, {V.r6('-1 + CASE WHEN d > c THEN (cob - c) / (d - c) ELSE 0 END * 2')} AS cob FROM obs JOIN e USING (subject_id)")
+@query(V.with_(V.OBS, "e AS (SELECT subject_id, min(iob) AS a, max(iob) AS b, min(cob) AS c, max(cob) AS d FROM obs GROUP BY 1)") + f"SELECT subject_id, obs_idx, {V.r6('-1 + CASE WHEN iob IS NULL THEN NULL WHEN b > a THEN (iob - a) / (b - a) ELSE 0 END * 2')} AS iob, {V.r6('-1 + CASE WHEN cob IS NULL THEN NULL WHEN d > c THEN (cob - c) / (d - c) ELSE 0 END * 2')} AS cob FROM obs JOIN e USING (subject_id)")
 def min_max_scaled_observations(spark: SparkSession, d: str) -> DataFrame:
     x = min_max_scaled(S.observations(spark, d).select("subject_id", "obs_idx", "iob", "cob"), ["subject_id"], ["iob", "cob"], -1.0, 1.0)
     return x.select("subject_id", "obs_idx", C.r6(F.col("iob")).alias("iob"), C.r6(F.col("cob")).alias("cob"))
@@ -209,7 +218,7 @@ def runs_to_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.with_(V.OBS) + f"SELECT subject_id, us // 60000000 * 60 AS bucket, {', '.join(f"{V.half_even(f'avg({c})')} AS {c}" for c in VARIATES)}, min(obs_idx) AS first_idx, max(obs_idx) AS last_idx, count(*) AS n FROM obs WHERE us IS NOT NULL GROUP BY ALL")
 def tumbling_minute_mean(spark: SparkSession, d: str) -> DataFrame:
-    return segments.tumbling_mean(S.observations(spark, d, ()), 60, VARIATES)
+    return segments.tumbling_mean(S.observations(spark, d), 60, VARIATES)
 
 
 @query(V.with_(V.OBS, V.SEG, "n AS (SELECT o.subject_id, o.us // 60000000 * 60 AS bucket, s.segment_id, count(*) AS shared, min(s.start_idx) AS st FROM obs o JOIN seg s ON s.subject_id = o.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.end_idx WHERE o.us IS NOT NULL GROUP BY ALL)") + "SELECT subject_id, bucket, segment_id, shared FROM n QUALIFY row_number() OVER (PARTITION BY subject_id, bucket ORDER BY shared DESC, st, segment_id) = 1")
@@ -281,15 +290,19 @@ def partition_agreement(spark: SparkSession, d: str) -> DataFrame:
     return quality.agreement(S.labels(spark, d), S.bad_labels(spark, d), ["clustering_desc"]).withColumn("jaccard", C.r6(C.ratio(F.col("agree"), F.col("n"))))
 
 
-def _silhouette_sql(rows: str, by: str, p: float) -> str:
-    return f"""pr AS (SELECT {', '.join('a.' + c for c in by.split(', '))}, a.row, a.c AS own, b.c AS other, avg({V.lp('a.v', 'b.v', p)}) AS d FROM {rows} a JOIN {rows} b ON {' AND '.join(f'a.{c} = b.{c}' for c in by.split(', '))} AND a.row <> b.row GROUP BY ALL),
+def _silhouette_sql(rows: str, by: str, dist: str) -> str:
+    """CTEs that end in `sw(<by>, swc)`; `dist` is the distance of a.v and b.v."""
+    return f"""pr AS (SELECT {', '.join('a.' + c for c in by.split(', '))}, a.row, a.c AS own, b.c AS other, avg({dist}) AS d FROM {rows} a JOIN {rows} b ON {' AND '.join(f'a.{c} = b.{c}' for c in by.split(', '))} AND a.row <> b.row GROUP BY ALL),
   pz AS (SELECT * FROM pr UNION ALL SELECT {by}, row, c, c, NULL FROM {rows}),
   ab AS (SELECT {by}, row, own, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM pz GROUP BY ALL),
   si AS (SELECT {by}, own, CASE WHEN b IS NULL THEN NULL WHEN a IS NULL THEN 0 WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM ab),
   sw AS (SELECT {by}, CASE WHEN count(*) > count(DISTINCT own) THEN round(avg(s) + 1e-9, 6) END AS swc FROM si GROUP BY ALL)"""
 
 
-@query(V.with_("r AS (SELECT 'all' AS g, vec_id AS row, label AS c, embedding::DOUBLE[] AS v FROM embeddings)", _silhouette_sql("r", "g", 5)) + "SELECT swc FROM sw")
+_L5 = V.lp("a.v", "b.v", 5)
+
+
+@query(V.with_("r AS (SELECT 'all' AS g, vec_id AS row, label AS c, embedding::DOUBLE[] AS v FROM embeddings)", _silhouette_sql("r", "g", _L5)) + "SELECT swc FROM sw")
 def silhouette_l5(spark: SparkSession, d: str) -> DataFrame:
     return quality.silhouette_index(table(spark, d, "embeddings").withColumn("g", F.lit("all")), ["g"], "vec_id", "label", "embedding").select("swc")
 
@@ -298,52 +311,112 @@ _BADROWS = "r AS (SELECT subject_id, clustering_desc, segment_id AS row, cluster
 
 
 def _bad_rows(spark: SparkSession, d: str) -> DataFrame:
-    ok = (F.size("achieved") == 3) & F.forall("achieved", lambda z: z.isNotNull() & ~F.isnan(z))
-    return S.bad_labels(spark, d).where("cluster_id is not null").where(ok)
+    return usable(S.bad_labels(spark, d))
 
 
-@query(V.with_(V.BAD, _BADROWS, _silhouette_sql("r", "subject_id, clustering_desc", 5)) + "SELECT * FROM sw")
+@query(V.with_(V.BAD, _BADROWS, _silhouette_sql("r", "subject_id, clustering_desc", _L5)) + "SELECT * FROM sw")
 def silhouette_by_partition(spark: SparkSession, d: str) -> DataFrame:
     return quality.silhouette_index(_bad_rows(spark, d), ["subject_id", "clustering_desc"], "segment_id", "cluster_id", "achieved")
 
 
-def _indices_sql(p: float) -> str:
-    m = lambda by, name: f"{name} AS (SELECT {by}, [avg(v[1]), avg(v[2]), avg(v[3])] AS m FROM r GROUP BY ALL)"
-    g = "subject_id, clustering_desc"
-    return ", ".join([m(f"{g}, c", "ce"), m(g, "ov"),
-        f"x AS (SELECT r.*, ce.m, ov.m AS o, {V.lp('r.v', 'ce.m', p)} AS d, {V.lp('r.v', 'ov.m', p)} AS da FROM r JOIN ce USING ({g}, c) JOIN ov USING ({g}))",
-        f"k AS (SELECT {g}, c, count(*) AS n, avg(d) AS s, sum(d) AS e, sum(d*d) AS e2, sum(da) AS e1, any_value(m) AS m, any_value(o) AS o FROM x GROUP BY ALL)",
-        f"t AS (SELECT {g}, count(*) AS k, sum(n) AS n, sum(n * pow({V.lp('m', 'o', p)}, 2)) AS b, sum(e2) AS e2, sum(e) AS e, sum(e1) AS e1 FROM k GROUP BY ALL)",
-        f"pc AS (SELECT a.subject_id, a.clustering_desc, a.c, a.s + b.s AS s, {V.lp('a.m', 'b.m', p)} AS d FROM k a JOIN k b ON a.subject_id = b.subject_id AND a.clustering_desc = b.clustering_desc AND a.c <> b.c)",
-        f"w AS (SELECT {g}, c, max(s / greatest(d, 1e-15)) AS r, max(d) AS d FROM pc GROUP BY ALL)", f"u AS (SELECT {g}, avg(r) AS dbi, max(d) AS d FROM w GROUP BY ALL)"])
+#: The whole benchmark: the truth under the name 'truth', and every degraded partition.
+_ALLROWS = f"""{_BADROWS}, allb AS (SELECT subject_id, 'truth' AS clustering_desc, segment_id, start_idx, end_idx, length, cluster_id, achieved, within, relaxed_mae FROM seg UNION ALL SELECT subject_id, clustering_desc, segment_id, start_idx, end_idx, length, cluster_id, achieved, within, relaxed_mae FROM bad),
+  ar AS (SELECT subject_id, clustering_desc, segment_id AS row, cluster_id AS c, achieved AS v FROM allb WHERE cluster_id IS NOT NULL AND achieved IS NOT NULL AND list_count(achieved) = 3 AND NOT list_contains(list_transform(achieved, lambda z: isnan(z)), true))"""
+TRUTH = "truth"
 
 
-@query(V.with_(V.BAD, _BADROWS, _indices_sql(1)) + """SELECT subject_id, clustering_desc, round(u.dbi, 4) AS dbi, round(CASE WHEN e2 * (k - 1) <> 0 THEN b * (n - k) / (e2 * (k - 1)) END, 4) AS vrc, round(CASE WHEN n * e <> 0 THEN pow(u.d * e1 / (n * e), 2) END, 4) AS pbm FROM t LEFT JOIN u USING (subject_id, clustering_desc) WHERE e > 1e-6""")
-def centroid_indices_by_partition(spark: SparkSession, d: str) -> DataFrame:
-    """Indices of the degraded partitions, with centroids that are rank correlations of the pooled observations.
+def all_partitions(spark: SparkSession, d: str) -> DataFrame:
+    c = ["subject_id", "clustering_desc", "segment_id", "start_idx", "end_idx", "length", "cluster_id", "achieved", "within", "relaxed_mae"]
+    return S.labels(spark, d).withColumn("clustering_desc", F.lit(TRUTH)).select(*c).unionByName(S.bad_labels(spark, d).select(*c))
 
-    The SQL still takes means of the reported vectors: its values are other quantities.
-    """
-    by = ["subject_id", "clustering_desc"]
-    r = _bad_rows(spark, d).select(*by, "cluster_id", F.col("achieved").alias("vec"))
-    o, b = S.observations(spark, d), S.bad_labels(spark, d).where("cluster_id is not null")
-    pooled = lambda keys, name: correlation.spearman(quality.pooled(o, b, keys, VARIATES), keys, VARIATES, large_groups=True).select(*keys, F.col("correlation").alias(name))
-    x = quality.centroid_indices(r, pooled([*by, "cluster_id"], "centroid"), pooled(by, "overall"), by, "cluster_id", "l1", spread=True)
-    return x.where("e > 1e-6").select(*by, *[F.round(c, 4).alias(c) for c in ("dbi", "vrc", "pbm")])
+
+def usable(segments_: DataFrame) -> DataFrame:
+    """Segments with a cluster and three finite correlations."""
+    return segments_.where("cluster_id is not null").where((F.size("achieved") == 3) & F.forall("achieved", lambda z: z.isNotNull() & ~F.isnan(z)))
+
+
+def _centres_sql(rows: str, names: tuple[str, ...]) -> str:
+    """CTEs that end in `ix(subject_id, clustering_desc, measure, dbi, vrc, pbm)`: centroids are rank correlations of pooled observations, the whole's that of all of a subject's."""
+    g = "subject_id, clustering_desc, measure"
+    by = lambda a, b: "CASE measure " + " ".join(f"WHEN '{n}' THEN {measure_sql(n, a, b)}" for n in names) + " END"
+    rank = V.spearman("po", "subject_id, clustering_desc, kc").replace("rk AS", "rkc AS").replace("corr AS", "corc AS").replace("FROM rk ", "FROM rkc ")
+    whole = V.spearman("obsf", "subject_id").replace("rk AS", "rko AS").replace("corr AS", "coro AS").replace("FROM rk ", "FROM rko ")
+    return ", ".join([
+        f"me AS (SELECT unnest([{', '.join(repr(n) for n in names)}]) AS measure)",
+        f"po AS (SELECT o.iob, o.cob, o.ig, s.subject_id, s.clustering_desc, s.cluster_id AS kc FROM allb s JOIN obsf o ON o.subject_id = s.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.end_idx WHERE s.cluster_id IS NOT NULL)", rank, whole,
+        f"ce AS (SELECT subject_id, clustering_desc, kc AS c, {V.CORR} AS m FROM corc)", f"ov AS (SELECT subject_id, {V.CORR} AS o FROM coro)",
+        f"x AS (SELECT r.*, measure, {by('r.v', 'ce.m')} AS d, {by('r.v', 'ov.o')} AS da, {by('ce.m', 'ov.o')} AS db FROM {rows} r JOIN ce USING (subject_id, clustering_desc, c) JOIN ov USING (subject_id) CROSS JOIN me)",
+        f"k AS (SELECT {g}, c, count(*) AS n, avg(d) AS s, sum(d) AS e, sum(d*d) AS e2, sum(da) AS e1, any_value(db) AS db FROM x GROUP BY ALL)",
+        f"t AS (SELECT {g}, count(*) AS k, sum(n) AS n, sum(n * db * db) AS b, sum(e2) AS e2, sum(e) AS e, sum(e1) AS e1 FROM k GROUP BY ALL)",
+        "u0 AS (SELECT k.*, ce.m FROM k JOIN ce USING (subject_id, clustering_desc, c))",
+        f"pc AS (SELECT a.subject_id, a.clustering_desc, a.measure, a.c, a.s + b.s AS s, {by('a.m', 'b.m').replace('CASE measure', 'CASE a.measure')} AS d FROM u0 a JOIN u0 b ON a.subject_id = b.subject_id AND a.clustering_desc = b.clustering_desc AND a.measure = b.measure AND a.c <> b.c)",
+        f"w AS (SELECT {g}, c, max(s / greatest(d, 1e-15)) AS r, max(d) AS d FROM pc GROUP BY ALL)", f"u AS (SELECT {g}, avg(r) AS dbi, max(d) AS d FROM w GROUP BY ALL)",
+        f"ix AS (SELECT {g}, round(u.dbi, 4) AS dbi, round(CASE WHEN e2 * (k - 1) <> 0 THEN b * (n - k) / (e2 * (k - 1)) END, 4) AS vrc, round(CASE WHEN n * e <> 0 THEN pow(u.d * e1 / (n * e), 2) END, 4) AS pbm FROM t LEFT JOIN u USING ({g}) WHERE e > 1e-6)"])
+
+
+#: The measures of the quality benchmark; the two matrix measures stand apart, as SQL can't express them.
+QUALITY = ("l1", "l1_ref", "l2", "l3", "l5", "l5_ref", "linf", "linf_dot")
+QUALITY_MATRIX = ("log_frobenius", "foerstner")
+BY = ["subject_id", "clustering_desc"]
+_ALL = V.with_(V.OBS_F, V.SEG, V.BAD, _ALLROWS)
+
+
+def centroid_quality(spark: SparkSession, d: str, partitions: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """`<BY>, measure, dbi, vrc, pbm`; cluster centroids are rank correlations of pooled observations, the whole's that of all observations of the subject."""
+    o = complete(spark, d)
+    keys = [*BY, "cluster_id"]
+    cen = correlation.spearman(quality.pooled(o, partitions.where("cluster_id is not null"), keys, VARIATES), keys, VARIATES, large_groups=True).select(*keys, F.col("correlation").alias("centroid"))
+    whole = correlation.spearman(o, ["subject_id"], VARIATES, large_groups=True).select("subject_id", F.col("correlation").alias("overall"))
+    x = quality.centroid_indices(usable(partitions).select(*keys, F.col("achieved").alias("vec")), written(cen), whole, BY, "cluster_id", names, over=["subject_id"])
+    return x.where("e > 1e-6").select(*BY, "measure", *[F.round(c, 4).alias(c) for c in ("dbi", "vrc", "pbm")])
+
+
+def _by_measure(spark: SparkSession, d: str, names: tuple[str, ...]) -> DataFrame:
+    p = written(all_partitions(spark, d))
+    s = quality.silhouettes_by_measure(usable(p), BY, "segment_id", "cluster_id", "achieved", names)
+    return s.join(centroid_quality(spark, d, p, names), [*BY, "measure"], "left")
+
+
+def _quality_sql(names: tuple[str, ...]) -> str:
+    dist = "CASE a.measure " + " ".join(f"WHEN '{n}' THEN {measure_sql(n, 'a.v', 'b.v')}" for n in names) + " END"
+    return _ALL + ", " + _centres_sql("ar", names) + ", am AS (SELECT ar.*, measure FROM ar CROSS JOIN me), " + _silhouette_sql("am", "subject_id, clustering_desc, measure", dist) + " SELECT sw.*, dbi, vrc, pbm FROM sw LEFT JOIN ix USING (subject_id, clustering_desc, measure)"
+
+
+def measure_sql(n: str, a: str = "a", b: str = "b") -> str:
+    m = V.measure(n, a, b)
+    return f"CASE WHEN list_dot_product({a}, {a}) = 0 OR list_dot_product({b}, {b}) = 0 THEN 'nan'::DOUBLE ELSE {m} END" if n == "cosine" else m
+
+
+@query(_quality_sql(QUALITY))
+def quality_by_measure(spark: SparkSession, d: str) -> DataFrame:
+    """Silhouette, DBI, VRC and PBM of the truth and of every degraded partition, by each measure that SQL can express."""
+    return _by_measure(spark, d, QUALITY)
 
 
 @query()
+def quality_by_matrix_measure(spark: SparkSession, d: str) -> DataFrame:
+    """As quality_by_measure, by the two matrix measures."""
+    return _by_measure(spark, d, QUALITY_MATRIX)
+
+
+@query(_ALL + ", " + _centres_sql("ar", ("l1",)) + " SELECT subject_id, clustering_desc, dbi, vrc, pbm FROM ix WHERE clustering_desc <> 'truth'")
+def centroid_indices_by_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Indices of the degraded partitions by L1."""
+    return centroid_quality(spark, d, written(S.bad_labels(spark, d)), ("l1",)).drop("measure")
+
+
+_TRUTH_SW = _silhouette_sql("tr", "subject_id, clustering_desc", V.lp("a.v", "b.v", 1))
+
+
+@query(_ALL + ", " + _centres_sql("ar", ("l1",)) + ", tr AS (SELECT * FROM ar WHERE clustering_desc = 'truth'), " + _TRUTH_SW + " SELECT subject_id, swc, dbi, vrc, pbm FROM sw LEFT JOIN ix USING (subject_id, clustering_desc)")
 def quality_of_truth(spark: SparkSession, d: str) -> DataFrame:
-    """Indices of the true segmentation, with centroids that are rank correlations of the pooled observations."""
-    r = S.labels(spark, d).select("subject_id", "segment_id", "cluster_id", F.col("achieved").alias("vec"))
-    cen = _centroids(spark, d).select("subject_id", "cluster_id", F.col("correlation").alias("centroid"))
-    all_ = correlation.spearman(S.observations(spark, d), ["subject_id"], VARIATES, large_groups=True).select("subject_id", F.col("correlation").alias("overall"))
-    x = quality.centroid_indices(r, cen, all_, ["subject_id"], "cluster_id", "l1")
-    s = quality.silhouette_index(r, ["subject_id"], "segment_id", "cluster_id", "vec", "l1")
-    return x.join(s, "subject_id", "left").select("subject_id", "swc", *[C.r6(F.col(c), 3).alias(c) for c in ("dbi", "vrc", "pbm")])
+    """Indices of the true segmentation by L1."""
+    t = S.labels(spark, d).withColumn("clustering_desc", F.lit(TRUTH))
+    s = quality.silhouette_index(usable(t), BY, "segment_id", "cluster_id", "achieved", "l1")
+    return s.join(centroid_quality(spark, d, t, ("l1",)), BY, "left").drop("clustering_desc", "measure")
 
 
-@query(V.with_(V.SEG, V.BAD, _AGREE, _BADROWS, _silhouette_sql("r", "subject_id, clustering_desc", 5), f"""sm AS (SELECT subject_id, clustering_desc, count(DISTINCT cluster_id) AS n_patterns, count(*) AS n_segments, sum(length)::BIGINT AS n_observations, {V.r6('avg(relaxed_mae)')} AS mae,
+@query(V.with_(V.SEG, V.BAD, _AGREE, _BADROWS, _silhouette_sql("r", "subject_id, clustering_desc", _L5), f"""sm AS (SELECT subject_id, clustering_desc, count(DISTINCT cluster_id) AS n_patterns, count(*) AS n_segments, sum(length)::BIGINT AS n_observations, {V.r6('avg(relaxed_mae)')} AS mae,
   count(*) FILTER (WHERE NOT coalesce(within[1] AND within[2] AND within[3], false)) AS n_outside FROM bad GROUP BY ALL)""",
   "wr AS (SELECT b.subject_id, b.clustering_desc, count(*) FILTER (WHERE b.cluster_id IS DISTINCT FROM s.cluster_id) AS n_wrong, sum(abs(b.end_idx - s.end_idx))::BIGINT AS n_shifted FROM bad b JOIN seg s USING (subject_id, segment_id) GROUP BY ALL)")
   + f"SELECT sm.*, n_wrong, n_shifted, {V.r6('agree / n')} AS jaccard, swc FROM sm LEFT JOIN wr USING (subject_id, clustering_desc) LEFT JOIN ag USING (subject_id, clustering_desc) LEFT JOIN sw USING (subject_id, clustering_desc)")
@@ -353,12 +426,12 @@ def partition_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
     by = ["subject_id", "clustering_desc"]
-    b, t = S.bad_labels(spark, d), S.labels(spark, d)
+    b, t = written(S.bad_labels(spark, d)), S.labels(spark, d)  # read by each part
     sm = b.groupBy(*by).agg(F.count_distinct("cluster_id").alias("n_patterns"), F.count(F.lit(1)).alias("n_segments"), F.sum("length").alias("n_observations"), C.r6(F.avg("relaxed_mae")).alias("mae"), F.count_if(~C.all_true(F.col("within"))).alias("n_outside"))
     truth = t.select("subject_id", "segment_id", F.col("cluster_id").alias("_c"), F.col("end_idx").alias("_e"))
     wr = b.join(truth, ["subject_id", "segment_id"]).groupBy(*by).agg(F.count_if(~F.col("cluster_id").eqNullSafe(F.col("_c"))).alias("n_wrong"), F.sum(F.abs(F.col("end_idx") - F.col("_e"))).alias("n_shifted"))
     ag = quality.agreement(t, b, ["clustering_desc"]).select(*by, C.r6(C.ratio(F.col("agree"), F.col("n"))).alias("jaccard"))
-    sw = quality.silhouette_index(_bad_rows(spark, d), by, "segment_id", "cluster_id", "achieved")
+    sw = quality.silhouette_index(usable(b), by, "segment_id", "cluster_id", "achieved")
     return sm.join(wr, by, "left").join(ag, by, "left").join(sw, by, "left")
 
 
@@ -369,11 +442,6 @@ def _pattern_sql(names: tuple[str, ...]) -> str:
     return base + ", pd AS (" + " UNION ALL ".join(f"SELECT subject_id, segment_id, cluster_id, pattern_id, level, '{n}' AS measure, {V.r6(measure_sql(n))} AS d FROM pb" for n in names) + ")"
 
 
-def measure_sql(n: str) -> str:
-    m = V.measure(n, "a", "b")
-    return f"CASE WHEN list_dot_product(a, a) = 0 OR list_dot_product(b, b) = 0 THEN 'nan'::DOUBLE ELSE {m} END" if n == "cosine" else m
-
-
 _PD = V.with_(V.SEG, V.PAT, _pattern_sql(measures.MEASURES))
 _NORM = ", ex AS (SELECT measure, min(d) AS a, max(d) AS b FROM pd WHERE NOT isnan(d) GROUP BY 1), nm AS (SELECT pd.* EXCLUDE (d), round(coalesce((d - a) / nullif(b - a, 0), 0) + 1e-9, 3) AS d FROM pd JOIN ex USING (measure))"
 _LEVELS = _NORM + f", ls AS (SELECT measure, level, {V.describe('CASE WHEN NOT isnan(d) THEN d END', 3)} FROM nm GROUP BY ALL)"
@@ -435,14 +503,18 @@ def _entropy_sql(by: str, name: str) -> str:
 
 
 _CRIT = _CI + _entropy_sql("", "eo") + _entropy_sql("level", "el") + _SCORES + f""", cr AS (SELECT measure, 'level0_mean' AS criterion, mean AS value FROM ls WHERE level = 0 UNION ALL SELECT measure, 'rate', {V.r6('avg(round(abs(diff) + 1e-9, 6))')} FROM ci GROUP BY 1 UNION ALL SELECT measure, 'entropy', v FROM eo
-  UNION ALL SELECT measure, 'level_entropy', {V.r6('avg(v)')} FROM el GROUP BY 1 UNION ALL SELECT measure, 'f1', {V.r6('f1')} FROM sc UNION ALL SELECT measure, 'odd', count(*) FILTER (WHERE NOT isfinite(d)) FROM pd GROUP BY 1)"""
+  UNION ALL SELECT measure, 'level_entropy', {V.r6('avg(v)')} FROM el GROUP BY 1 UNION ALL SELECT measure, 'f1', {V.r6('f1')} FROM sc UNION ALL SELECT measure, 'all_lower', bool_and(diff + {_Z} * se < 0)::INT FROM ci GROUP BY 1 UNION ALL SELECT measure, 'odd', count(*) FILTER (WHERE NOT isfinite(d)) FROM pd GROUP BY 1)"""
+
+
+def _criteria(spark: SparkSession, d: str, names: tuple[str, ...]) -> DataFrame:
+    with scratch(measures.pattern_distances(S.labels(spark, d), S.patterns_to_model(spark, d), names)) as x:
+        return measures.criteria(x, ["measure"])
 
 
 @query(_PD + _CRIT + " SELECT * FROM cr")
 def measure_criteria(spark: SparkSession, d: str) -> DataFrame:
-    """Of all ranked measures; the SQL leaves out three of them and the criterion all_lower."""
-    x = measures.pattern_distances(S.labels(spark, d), S.patterns_to_model(spark, d), measures.RANKED)
-    return measures.criteria(written(x), ["measure"])  # read by every criterion
+    """Of all measures that SQL can express."""
+    return _criteria(spark, d, measures.MEASURES)
 
 
 _RANK = _CRIT + ", rn AS (SELECT measure, criterion, value, (dense_rank() OVER (PARTITION BY criterion ORDER BY CASE WHEN criterion IN ('level0_mean', 'level_entropy') THEN value ELSE -value END))::INT AS rank FROM cr WHERE criterion <> 'odd')"
@@ -464,6 +536,13 @@ def best_measures(spark: SparkSession, d: str) -> DataFrame:
     return measures.best_labels(measures.ranks(measure_criteria(spark, d)), ["criterion"])
 
 
+@query()
+def all_measure_average_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """With the two matrix measures, whose criteria SQL can't express."""
+    a = measures.ranks(_criteria(spark, d, measures.RANKED)).groupBy("measure").agg(C.r6(F.avg("rank"), 3).alias("average_rank"))
+    return quality.ranked_groups(a.withColumn("_g", F.lit(1)), ["_g"], "average_rank", "place").drop("_g")
+
+
 @query()
 def matrix_distances(spark: SparkSession, d: str) -> DataFrame:
     """Foerstner and log-Frobenius distances of every segment to its pattern, and whether its vector makes a valid matrix."""

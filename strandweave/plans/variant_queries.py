@@ -10,7 +10,7 @@ from strandweave.operators import measures, segments
 from strandweave.operators.describe import describe
 from strandweave.plans import model_queries as M
 from strandweave.plans import views as V
-from strandweave.plans.evaluation_queries import _INDEX, _SUM, _index
+from strandweave.plans.evaluation_queries import _INDEX, _SUM, INDICES, _index
 from strandweave.runtime import table
 from strandweave.sources import tables as S
 
@@ -38,9 +38,9 @@ def jaccard_by_place(spark: SparkSession, d: str) -> DataFrame:
     return describe(s.withColumn("place", F.row_number().over(w)), ["place"], "jaccard")
 
 
-@query(_INDEX + " SELECT subject_id, max(r) FILTER (WHERE index = 'swc') AS swc, max(r) FILTER (WHERE index = 'mae') AS mae, max(r) FILTER (WHERE index = 'n_outside') AS n_outside FROM ix GROUP BY 1")
+@query(_INDEX + " SELECT subject_id, " + ", ".join(f"max(r) FILTER (WHERE index = '{c}') AS {c}" for c in INDICES) + " FROM ix GROUP BY 1")
 def index_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).groupBy("subject_id").pivot("index", ["swc", "mae", "n_outside", "dbi", "vrc", "pbm"]).agg(F.max("r"))
+    return _index(spark, d).groupBy("subject_id").pivot("index", list(INDICES)).agg(F.max("r"))
 
 
 @query(V.with_(V.SEG) + ", v AS (SELECT DISTINCT subject_id, coalesce(stage, 'none') AS stage, completeness FROM subjects)" + f" SELECT stage, {', '.join(V.r6(f'''avg(relaxed_mae) FILTER (WHERE completeness = '{c}')''') + f' AS {c}' for c in ('complete', 'partial', 'sparse'))} FROM seg JOIN v USING (subject_id) GROUP BY 1")
@@ -64,7 +64,7 @@ def top_and_bottom_measures(spark: SparkSession, d: str) -> DataFrame:
     return measures.top_and_bottom(M.measure_average_ranks(spark, d), F.col("average_rank"), "measure", 3)
 
 
-@query(V.with_(V.OBS, "t AS (SELECT subject_id, make_timestamp(us) AS ts, ig FROM obs WHERE us IS NOT NULL)") + f"SELECT hour(ts) AS hour, isodow(ts) AS weekday, week(ts) AS week, month(ts) AS month, year(ts) AS year, count(*) AS n, {V.r6('avg(ig)')} AS ig FROM t GROUP BY ALL")
+@query(V.with_(V.OBS, "t AS (SELECT subject_id, make_timestamp(us) AS ts, ig FROM obs WHERE us IS NOT NULL AND ig IS NOT NULL)") + f"SELECT hour(ts) AS hour, isodow(ts) AS weekday, week(ts) AS week, month(ts) AS month, year(ts) AS year, count(*) AS n, {V.r6('avg(ig)')} AS ig FROM t GROUP BY ALL")
 def calendar_means(spark: SparkSession, d: str) -> DataFrame:
     x = S.observations(spark, d, ("ig",)).where("us is not null").withColumn("ts", F.timestamp_micros("us"))
     part = lambda n, f: F.extract(F.lit(f), F.col("ts")).cast("long").alias(n)
@@ -72,7 +72,7 @@ def calendar_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _windows(seconds: int, most_gap_s: int) -> str:
-    return V.with_(V.OBS, f"g AS (SELECT *, us // {seconds}000000 * {seconds} AS bucket, us - lag(us) OVER (PARTITION BY subject_id, us // {seconds}000000 ORDER BY us, obs_idx) AS gap FROM obs WHERE us IS NOT NULL)") + f"""SELECT subject_id, bucket, count(*) AS n, {V.r6('min(ig)')} AS min, {V.r6('max(ig)')} AS max, {V.r6('avg(ig)')} AS mean, {V.r6('stddev_samp(ig)')} AS std FROM g GROUP BY subject_id, bucket HAVING coalesce(max(gap), 0) <= {most_gap_s}000000"""
+    return V.with_(V.OBS, f"g AS (SELECT *, us // {seconds}000000 * {seconds} AS bucket, us - lag(us) OVER (PARTITION BY subject_id, us // {seconds}000000 ORDER BY us, obs_idx) AS gap FROM obs WHERE us IS NOT NULL AND ig IS NOT NULL)") + f"""SELECT subject_id, bucket, count(*) AS n, {V.r6('min(ig)')} AS min, {V.r6('max(ig)')} AS max, {V.r6('avg(ig)')} AS mean, {V.r6('stddev_samp(ig)')} AS std FROM g GROUP BY subject_id, bucket HAVING coalesce(max(gap), 0) <= {most_gap_s}000000"""
 
 
 def _aggregated(spark: SparkSession, d: str, seconds: int, most_gap_s: int) -> DataFrame:
@@ -97,7 +97,7 @@ def hourly_aggregates(spark: SparkSession, d: str) -> DataFrame:
                 "h AS (SELECT least(floor(gap / (p95 / 20)), 19)::BIGINT AS bin, count(*) AS n FROM g, p WHERE gap <= p95 AND gap >= 0 GROUP BY 1)") + "SELECT bin, n FROM h")
 def gap_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Gaps up to their 95th percentile in 20 bins."""
-    g = segments.time_gaps(S.observations(spark, d, ()))
+    g = segments.time_gaps(S.observations(spark, d))
     p = g.agg(F.percentile("gap_s", 0.95).alias("p95"))  # one row
     x = g.join(F.broadcast(p)).withColumn("bin", F.when((F.col("gap_s") >= 0) & (F.col("gap_s") <= F.col("p95")), F.least(F.floor(F.col("gap_s") / (F.col("p95") / 20)), F.lit(19))))
     return x.where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
@@ -113,7 +113,7 @@ def rescaled_labels(spark: SparkSession, d: str) -> DataFrame:
     return x.select("subject_id", "segment_id", "cluster_id", (e - F.col("length")).alias("start_idx"), (e - 1).alias("end_idx"), "length")
 
 
-@query(V.with_(V.OBS, V.SEG, M._JOINED, V.pearson("j", "subject_id, segment_id"), "b AS (SELECT unnest(['iob-cob', 'iob-ig', 'cob-ig']) AS pair, abs(unnest([a, b, c])) AS r FROM corr)")
+@query(V.with_(V.OBS_F, V.SEG, M._JOINED, V.pearson("j", "subject_id, segment_id"), "b AS (SELECT unnest(['iob-cob', 'iob-ig', 'cob-ig']) AS pair, abs(unnest([a, b, c])) AS r FROM corr)")
        + "SELECT pair, CASE WHEN isnan(r) THEN 'none' WHEN r < 0.1 THEN 'no' WHEN r < 0.3 THEN 'slight' WHEN r < 0.7 THEN 'moderate' ELSE 'strong' END AS band, count(*) AS n FROM (SELECT pair, round(r, 9) AS r FROM b) GROUP BY ALL")
 def correlation_bands(spark: SparkSession, d: str) -> DataFrame:
     from strandweave.operators.correlation import _corr

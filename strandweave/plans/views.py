@@ -12,10 +12,12 @@ def r6(x: str, digits: int = 6) -> str:
     return f"round(({x}) + 1e-9, {digits})"
 
 
+#: Keys once each, values that are not finite as nulls; `_F` is the part with all three values.
 OBS = """obs AS (
-  SELECT subject_id, obs_idx, max(epoch_us(try_cast(datetime AS timestamptz))) AS us, max(iob) AS iob, max(cob) AS cob, max(ig) AS ig FROM observations
-  WHERE isfinite(iob) AND isfinite(cob) AND isfinite(ig) AND subject_id IS NOT NULL AND obs_idx IS NOT NULL GROUP BY subject_id, obs_idx
+  SELECT subject_id, obs_idx, max(epoch_us(try_cast(datetime AS timestamptz))) AS us, max(iob) FILTER (WHERE isfinite(iob)) AS iob, max(cob) FILTER (WHERE isfinite(cob)) AS cob, max(ig) FILTER (WHERE isfinite(ig)) AS ig
+  FROM observations WHERE subject_id IS NOT NULL AND obs_idx IS NOT NULL GROUP BY subject_id, obs_idx
 )"""
+OBS_F = OBS + ", obsf AS (SELECT * FROM obs WHERE iob IS NOT NULL AND cob IS NOT NULL AND ig IS NOT NULL)"
 _NUM = "CASE WHEN {c}::VARCHAR <> 'nan' THEN round({c}::DOUBLE, 6) END AS {c}"
 SEG = f"""seg AS (
   SELECT subject_id, segment_id, start_idx, end_idx, length, cluster_id, {vec('correlation_to_model')} AS model, {vec('correlation_achieved')} AS achieved,
@@ -23,10 +25,11 @@ SEG = f"""seg AS (
   FROM (SELECT DISTINCT * FROM segment_labels)
 )"""
 BAD = f"""bad AS (
-  SELECT subject_id, clustering_desc, segment_id, min(start_idx) AS start_idx, min(coalesce(end_idx, start_idx + length - 1)) AS end_idx, min(length) AS length, min(cluster_id) AS cluster_id,
-    min({vec('correlation_achieved')}) AS achieved, min({FLAG.format(c='correlation_achieved_with_tolerance')}) AS within,
-    min(CASE WHEN mae::VARCHAR <> 'nan' THEN round(mae::DOUBLE, 6) END) AS mae, min(CASE WHEN relaxed_mae::VARCHAR <> 'nan' THEN round(relaxed_mae::DOUBLE, 6) END) AS relaxed_mae
-  FROM bad_labels GROUP BY subject_id, clustering_desc, segment_id
+  SELECT subject_id, clustering_desc, segment_id, start_idx, e AS end_idx, length, cluster_id, {vec('correlation_achieved')} AS achieved, {FLAG.format(c='correlation_achieved_with_tolerance')} AS within,
+    {_NUM.format(c='mae')}, {_NUM.format(c='relaxed_mae')}
+  FROM (SELECT *, coalesce(end_idx, start_idx + length - 1) AS e FROM bad_labels)
+  QUALIFY row_number() OVER (PARTITION BY subject_id, clustering_desc, segment_id ORDER BY start_idx NULLS FIRST, e NULLS FIRST, length NULLS FIRST, cluster_id NULLS FIRST, mae NULLS FIRST, relaxed_mae NULLS FIRST,
+    correlation_achieved NULLS FIRST, correlation_to_model NULLS FIRST, correlation_achieved_with_tolerance NULLS FIRST) = 1
 )"""
 PAT = f"""pat AS (SELECT pattern_id, {vec('canonical_pattern')} AS canonical, {vec('relaxed_pattern')} AS relaxed, regularisation, is_ideal = 'Yes' AS ideal FROM pattern_catalogue)"""
 
@@ -90,3 +93,11 @@ def half_even(x: str) -> str:
     """Half-even to three decimals."""
     k = f"(round({x}, 9) * 1000)"
     return f"CASE WHEN abs({k} - floor({k}) - 0.5) < 1e-5 THEN 2 * round({k} / 2) ELSE round({k}) END / 1000"
+
+
+def t_two_sided(t: str, df: str) -> str:
+    """Two-sided p of Student's t with whole degrees of freedom, by the finite series of the angle atan(t / sqrt(df))."""
+    angle = f"atan(abs({t}) / sqrt({df}::DOUBLE))"
+    even = f"sin({angle}) * coalesce(list_sum(list_transform(range(0, ({df} // 2)::BIGINT), lambda j: coalesce(list_product(list_transform(range(1, j + 1), lambda i: (2 * i - 1) / (2.0::DOUBLE * i))), 1) * pow(cos({angle}), 2 * j))), 0)"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, (({df} - 1) // 2)::BIGINT), lambda j: coalesce(list_product(list_transform(range(1, j + 1), lambda i: 2 * i / (2.0::DOUBLE * i + 1))), 1) * pow(cos({angle}), 2 * j + 1))), 0))"
+    return f"(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END)"

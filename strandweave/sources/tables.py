@@ -23,27 +23,32 @@ BAD_LABELS = T.StructType([LABELS.fields[0], T.StructField("clustering_desc", T.
 PARTITIONS = ("split", "completeness", "stage")
 
 
-def observations(spark: SparkSession, d: str, needed: tuple[str, ...] = VARIATES) -> DataFrame:
-    """`subject_id, obs_idx, us, iob, cob, ig` once per key, of keys where all `needed` variates are finite; others may be null.
+def observations(spark: SparkSession, d: str, needed: tuple[str, ...] = ()) -> DataFrame:
+    """`subject_id, obs_idx, us, iob, cob, ig` once per key, of keys where all `needed` variates are finite.
 
-    `us` is null where the time is unknown. Re-sent rows carry the same values; the largest stands.
+    Values that are not finite are null, each variate for itself; `us` is null where the time is
+    unknown. Re-sent rows carry the same values; the largest stands. Rows without a key are left out.
     """
-    o = table(spark, d, "observations").select("subject_id", "obs_idx", instant_us("datetime").alias("us"), *[finite(F.col(v)).alias(v) for v in VARIATES])
+    o = table(spark, d, "observations", OBSERVATIONS).select("subject_id", "obs_idx", instant_us("datetime").alias("us"), *[finite(F.col(v)).alias(v) for v in VARIATES])
     o = o.where(" and ".join(f"{c} is not null" for c in ("subject_id", "obs_idx", *needed)))
     return o.groupBy("subject_id", "obs_idx").agg(F.max("us").alias("us"), *[F.max(v).alias(v) for v in VARIATES])
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
     """Segments once each, with `model`, `achieved` array<double> and `within` array<boolean>; mae as double, NaN as null."""
-    return _parsed(table(spark, d, "segment_labels").distinct())
+    return _parsed(table(spark, d, "segment_labels", LABELS).distinct())
 
 
 def bad_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Degraded segments, one row per key; a null end is start + length - 1; of re-sent rows the smallest errors stand."""
-    b = _parsed(table(spark, d, "bad_labels"))
+    """Degraded segments, one reported row per key; a null end is start + length - 1.
+
+    Of rows sent again, the first stands whole, in order of bounds, cluster, errors and vectors (nulls first).
+    """
+    b = table(spark, d, "bad_labels", BAD_LABELS)
     k = ["subject_id", "clustering_desc", "segment_id"]
     b = b.withColumn("end_idx", F.coalesce("end_idx", F.col("start_idx") + F.col("length") - 1))
-    return b.groupBy(*k).agg(*[F.min(c).alias(c) for c in b.columns if c not in k])
+    rest = ["start_idx", "end_idx", "length", "cluster_id", "mae", "relaxed_mae", "correlation_achieved", "correlation_to_model", "correlation_achieved_with_tolerance"]
+    return _parsed(b.groupBy(*k).agg(F.min(F.struct(*rest)).alias("_r")).select(*k, "_r.*"))
 
 
 def _parsed(df: DataFrame) -> DataFrame:

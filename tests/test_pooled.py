@@ -15,7 +15,7 @@ def _spearman(x: pd.DataFrame) -> np.ndarray:
 
 
 def test_partition_indices_take_pooled_centroids(spark):
-    o = S.observations(spark, D).toPandas()
+    o = S.observations(spark, D, S.VARIATES).toPandas()
     b = M._bad_rows(spark, D).toPandas()
     got = M.centroid_indices_by_partition(spark, D).toPandas().set_index(["subject_id", "clustering_desc"])
     every = S.bad_labels(spark, D).where("cluster_id is not null").toPandas()
@@ -32,7 +32,7 @@ def test_partition_indices_take_pooled_centroids(spark):
         sigma = {c: np.mean([np.abs(np.array(v) - cen[c]).sum() for v in x.achieved]) for c, x in g.groupby("cluster_id")}
         dbi = np.mean([max((sigma[c] + sigma[k]) / max(np.abs(cen[c] - cen[k]).sum(), 1e-15) for k in cen if k != c) for c in cen])
         assert abs(got.loc[key, "dbi"] - dbi) <= 1e-4
-        all_ = _spearman(cut(e))
+        all_ = _spearman(own[["iob", "cob", "ig"]])  # the whole is all of the subject's data
         n, k = len(g), len(cen)
         between = sum((g.cluster_id == c).sum() * np.abs(cen[c] - all_).sum() ** 2 for c in cen)
         within = sum(np.abs(np.array(r.achieved) - cen[r.cluster_id]).sum() ** 2 for r in g.itertuples())

@@ -134,7 +134,7 @@ def _measured(df: DataFrame, measures: tuple[str, ...], **pairs: tuple[str, str]
     return df.withColumn("_m", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), *[distance(m)(F.col(a), F.col(b)).alias(n) for n, (a, b) in pairs.items()]) for m in measures]))).select("*", "_m.*").drop("_m")
 
 
-def centroid_indices(rows: DataFrame, centroids: DataFrame, overall: DataFrame, by: list[str], cluster: str, measures: tuple[str, ...] = ("l5",), least: float = 1e-15, over: list[str] | None = None) -> DataFrame:
+def centroid_indices(rows: DataFrame, centroids: DataFrame, overall: DataFrame, by: list[str], cluster: str, measures: str | tuple[str, ...] = ("l5",), least: float = 1e-15, over: list[str] | None = None) -> DataFrame:
     """`<by>, measure, dbi, vrc, pbm, e` from rows (`<by>, cluster, vec`), cluster centroids (`<by>, cluster, centroid`) and the whole's centroid (`<over>, overall`).
 
     Centroids at distance 0 count as `least` apart. PBM divides by the number of rows. An index that
@@ -143,6 +143,7 @@ def centroid_indices(rows: DataFrame, centroids: DataFrame, overall: DataFrame,
     summed distance of rows to their centroids: where it is 0 but for rounding, VRC and PBM are noise.
     """
     over = by if over is None else over
+    measures = (measures,) if isinstance(measures, str) else measures
     x = rows.join(centroids, [*by, cluster]).join(overall, over)
     x = _measured(x, measures, d_own=("vec", "centroid"), d_all=("vec", "overall"), d_between=("centroid", "overall"))
     g = [*by, "measure"]

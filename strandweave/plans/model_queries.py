@@ -511,38 +511,56 @@ def _criteria(spark: SparkSession, d: str, names: tuple[str, ...]) -> DataFrame:
         return measures.criteria(x, ["measure"])
 
 
+_RANK = _CRIT + ", rn AS (SELECT measure, criterion, value, (dense_rank() OVER (PARTITION BY criterion ORDER BY CASE WHEN criterion IN ('level0_mean', 'level_entropy') THEN value ELSE -value END))::INT AS rank FROM cr WHERE criterion <> 'odd')"
+
+
+def _averaged(criteria: DataFrame) -> DataFrame:
+    a = measures.ranks(criteria).groupBy("measure").agg(C.r6(F.avg("rank"), 3).alias("average_rank"))
+    return quality.ranked_groups(a.withColumn("_g", F.lit(1)), ["_g"], "average_rank", "place").drop("_g")
+
+
 @query(_PD + _CRIT + " SELECT * FROM cr")
-def measure_criteria(spark: SparkSession, d: str) -> DataFrame:
-    """Of all measures that SQL can express."""
+def column_measure_criteria(spark: SparkSession, d: str) -> DataFrame:
+    """Of all measures that SQL can express; the queries below rank those, `measure_...` all."""
     return _criteria(spark, d, measures.MEASURES)
 
 
-_RANK = _CRIT + ", rn AS (SELECT measure, criterion, value, (dense_rank() OVER (PARTITION BY criterion ORDER BY CASE WHEN criterion IN ('level0_mean', 'level_entropy') THEN value ELSE -value END))::INT AS rank FROM cr WHERE criterion <> 'odd')"
+@query(_PD + _RANK + " SELECT * FROM rn")
+def column_measure_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return measures.ranks(column_measure_criteria(spark, d))
 
 
-@query(_PD + _RANK + " SELECT * FROM rn")
+@query(_PD + _RANK + f", av AS (SELECT measure, {V.r6('avg(rank)', 3)} AS average_rank FROM rn GROUP BY 1) SELECT measure, average_rank, (dense_rank() OVER (ORDER BY average_rank))::INT AS place FROM av")
+def column_measure_average_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return _averaged(column_measure_criteria(spark, d))
+
+
+@query(_PD + _RANK + " SELECT criterion, string_agg(measure, ',' ORDER BY measure) AS best FROM rn WHERE rank = 1 GROUP BY 1")
+def best_column_measures(spark: SparkSession, d: str) -> DataFrame:
+    return measures.best_labels(measures.ranks(column_measure_criteria(spark, d)), ["criterion"])
+
+
+@query()
+def measure_criteria(spark: SparkSession, d: str) -> DataFrame:
+    """With the two matrix measures."""
+    return _criteria(spark, d, measures.RANKED)
+
+
+@query()
 def measure_ranks(spark: SparkSession, d: str) -> DataFrame:
     return measures.ranks(measure_criteria(spark, d))
 
 
-@query(_PD + _RANK + f", av AS (SELECT measure, {V.r6('avg(rank)', 3)} AS average_rank FROM rn GROUP BY 1) SELECT measure, average_rank, (dense_rank() OVER (ORDER BY average_rank))::INT AS place FROM av")
+@query()
 def measure_average_ranks(spark: SparkSession, d: str) -> DataFrame:
-    a = measures.ranks(measure_criteria(spark, d)).groupBy("measure").agg(C.r6(F.avg("rank"), 3).alias("average_rank"))
-    return quality.ranked_groups(a.withColumn("_g", F.lit(1)), ["_g"], "average_rank", "place").drop("_g")
+    return _averaged(measure_criteria(spark, d))
 
 
-@query(_PD + _RANK + " SELECT criterion, string_agg(measure, ',' ORDER BY measure) AS best FROM rn WHERE rank = 1 GROUP BY 1")
+@query()
 def best_measures(spark: SparkSession, d: str) -> DataFrame:
     return measures.best_labels(measures.ranks(measure_criteria(spark, d)), ["criterion"])
 
 
-@query()
-def all_measure_average_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """With the two matrix measures, whose criteria SQL can't express."""
-    a = measures.ranks(_criteria(spark, d, measures.RANKED)).groupBy("measure").agg(C.r6(F.avg("rank"), 3).alias("average_rank"))
-    return quality.ranked_groups(a.withColumn("_g", F.lit(1)), ["_g"], "average_rank", "place").drop("_g")
-
-
 @query()
 def matrix_distances(spark: SparkSession, d: str) -> DataFrame:
     """Foerstner and log-Frobenius distances of every segment to its pattern, and whether its vector makes a valid matrix."""

@@ -60,7 +60,13 @@ _COUNTS = M._PD + M._RANK + ", av AS (SELECT measure, round(avg(rank) + 1e-9, 3)
 
 
 @query(_COUNTS + " SELECT (SELECT string_agg(measure, ',' ORDER BY a, measure) FROM (SELECT * FROM av ORDER BY a, measure LIMIT 3)) AS top, (SELECT string_agg(measure, ',' ORDER BY a DESC, measure DESC) FROM (SELECT * FROM av ORDER BY a DESC, measure DESC LIMIT 3)) AS bottom")
+def top_and_bottom_column_measures(spark: SparkSession, d: str) -> DataFrame:
+    return measures.top_and_bottom(M.column_measure_average_ranks(spark, d), F.col("average_rank"), "measure", 3)
+
+
+@query()
 def top_and_bottom_measures(spark: SparkSession, d: str) -> DataFrame:
+    """With the two matrix measures."""
     return measures.top_and_bottom(M.measure_average_ranks(spark, d), F.col("average_rank"), "measure", 3)
 
 

@@ -6,13 +6,14 @@ the trailing bits quantise random projections ever more finely, so that close ve
 with different strings. Sorted by string, all vectors with a common prefix are one stretch.
 
 A query descends to its longest prefix and ascends to the shortest stretch that holds at least
-`least` vectors; each tree ascends on its own, which spares a round between trees. Vectors of one
-stretch are answered together as a matrix product. No stretch is capped: one that no longer prefix
-divides is searched whole, in blocks.
-
-How it scales: rows go by range of (tree, string), which Spark samples, so partitions stay even
-whatever the data's clusters; a task holds at most `buffer` rows at a time. Work per vector is
-bounded by trees x leaf, not by the number of rows.
+`least` vectors. The trees are passed one after the other with what the query knows so far, so all
+ascend to the same size, and a later tree adds only what is nearer than the k-th so far. Vectors of
+one stretch are answered together as a matrix product.
+
+How it scales: rows go to partitions by the range of their string, cut at quantiles of the strings of
+the sample, so partitions stay even whatever the data's clusters; a task holds about two buffers of
+rows. A run of equal strings longer than that is searched in portions; other trees bring its parts
+together. Work per vector is bounded by trees x leaf, not by the number of rows.
 """
 
 from __future__ import annotations
@@ -53,6 +54,12 @@ def hash_strings(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray,
     return bits.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
+def cuts(sample: np.ndarray, tree: tuple, parts: int) -> np.ndarray:
+    """Strings that cut the sample into `parts` even ranges."""
+    h = np.sort(hash_strings(sample, tree)) if len(sample) else np.zeros(0, np.int64)
+    return h[(np.arange(1, parts) * len(h)) // parts] if len(h) else h
+
+
 def stretches(h: np.ndarray, leaf: int, least: int) -> list[tuple[int, int, int, int]]:
     """(first, end) of queries and (first, end) of their candidates in a sorted array of strings."""
     out, todo = [], [(0, len(h), 0)]
@@ -72,45 +79,23 @@ def stretches(h: np.ndarray, leaf: int, least: int) -> list[tuple[int, int, int,
     return out
 
 
-def nearest(x: np.ndarray, parts: list[tuple[int, int, int, int]], k: int, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query rows, candidate rows [q, k], exact distances) of each block of queries; a missing candidate is -1."""
-    for a, b, lo, hi in parts:
-        c = x[lo:hi]
-        mean = c.mean(0)
-        small = (c - mean).astype(np.float32)
-        sq = (small * small).sum(1)
-        keep = min(k + 6, hi - lo - 1)
-        if keep < 1:
-            continue
-        for i in range(a, b, rows):
-            j = min(i + rows, b)
-            q = small[i - lo : j - lo]
-            d = sq[None] - 2 * (q @ small.T)
-            d[np.arange(j - i), np.arange(i - lo, j - lo)] = np.inf
-            near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep < hi - lo else np.argsort(d, axis=1)[:, :keep]
-            exact = np.sqrt(((c[near] - x[i:j, None, :]) ** 2).sum(2))
-            yield np.arange(i, j), near + lo, exact
+def buffered(batches: Iterator, columns: Callable, buffer: int) -> Iterator[tuple]:
+    """Arrays in order of the strings (the first), of about `buffer` rows; cut where strings differ most early, equal ones at the buffer's end."""
+    held: list[tuple] = []
+    rows = 0
 
+    def joined() -> tuple:
+        return held[0] if len(held) == 1 else tuple(np.concatenate(p) for p in zip(*held))
 
-def buffered(batches: Iterator, columns: Callable, buffer: int) -> Iterator[tuple]:
-    """Arrays of one tree each, in order of the strings, of about `buffer` rows; cut where strings differ most early."""
-    held = None
     for batch in batches:
-        new = columns(batch)
-        held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
-        while True:
-            tree, h = held[0], held[1]
-            if not len(tree):
-                break
-            end = int(np.searchsorted(tree, tree[0], side="right"))
-            if end == len(tree):
-                if len(tree) < 2 * buffer:
-                    break
-                gaps = h[buffer // 2 + 1 : len(h)] ^ h[buffer // 2 : len(h) - 1]
-                if not gaps.any():
-                    break
-                end = buffer // 2 + 1 + int(np.argmax(gaps))
-            yield tuple(p[:end] for p in held)
-            held = tuple(p[end:] for p in held)
-    if held is not None and len(held[0]):
-        yield held
+        held.append(columns(batch))
+        rows += len(held[-1][0])
+        while rows >= 2 * buffer:
+            all_ = joined()
+            h = all_[0]
+            gaps = h[buffer // 2 + 1 :] ^ h[buffer // 2 : -1]
+            end = buffer // 2 + 1 + int(np.argmax(gaps)) if gaps.any() else buffer
+            yield tuple(p[:end] for p in all_)
+            held, rows = [tuple(p[end:] for p in all_)], rows - end
+    if rows:
+        yield joined()

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import bpe, language, linkage, mixing, oracles, percentiles, runs, similar
-from strandweave.llm.vectors import usable_vectors
+from strandweave.llm import bpe, language, linkage, mixing, oracles, percentiles, runs, similar, vectors
 from strandweave.operators.gridding import DAY_S, instant_us
 from strandweave.runtime import table, written
 
@@ -52,7 +51,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return similar.nearest_vectors(usable_vectors(table(spark, d, "result_labels")))
+    labels = table(spark, d, "result_labels")
+    return similar.nearest_vectors(vectors.packed_texts(labels), size=labels.count(), drawn=_drawn(spark, labels))
+
+
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of p4_neighbours: the ids divisible by 100 against all vectors by brute force."""
+    v = vectors.packed_texts(table(spark, d, "result_labels"))
+    truth = similar.exact_neighbours(v, v.where("vec_id % 100 = 0"))
+    return similar.recall(p4_neighbours(spark, d).where("vec_id % 100 = 0"), truth)
+
+
+def _drawn(spark: SparkSession, labels: DataFrame):  # noqa: ANN202
+    """The sample that a forest is fitted on: 2,000 vectors, or 40 for each partition."""
+    return vectors.drawn_texts(labels, max(2000, 40 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    labels = table(spark, d, "result_labels")
+    return linkage.similarity_clusters(vectors.packed_texts(labels), size=labels.count(), drawn=_drawn(spark, labels))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,15 +77,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    people, clusters = linkage.similarity_clusters(usable_vectors(table(spark, d, "result_labels")))
-    return people.join(clusters.where("size >= 5").select("first_vec_id"), "first_vec_id").where("vec_id != first_vec_id").select("first_vec_id", "vec_id")
+    return _clusters(spark, d)[0].where("size >= 5 and vec_id != first_vec_id").select("first_vec_id", "vec_id")
 
 
 def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Each cluster with its size, spread, most typical segments and the cluster_id most often reported for it."""
-    labels = table(spark, d, "result_labels")
-    people, clusters = linkage.similarity_clusters(usable_vectors(labels))
-    told = labels.where("vec_id is not null").groupBy("vec_id").agg(F.min("cluster_id").alias("cluster_id"))
+    people, clusters = _clusters(spark, d)
+    told = table(spark, d, "result_labels").where("vec_id is not null").groupBy("vec_id").agg(F.min("cluster_id").alias("cluster_id"))
     votes = people.join(told, "vec_id", "left").groupBy("first_vec_id", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
     most = votes.where("cluster_id is not null").groupBy("first_vec_id").agg(F.max(F.struct("n", (-F.col("cluster_id")).alias("c"))).alias("m"))
     return clusters.join(most, "first_vec_id", "left").select(
@@ -108,6 +123,7 @@ QUERIES = {
     "p3_runs": p3_runs,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p4_recall": p4_recall,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p6_ids": p6_ids,

@@ -2,8 +2,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandweave.llm import hash_forest as H
-from strandweave.llm.linkage import merged, similarity_clusters
-from strandweave.llm.similar import near_pairs, nearest_vectors
+from strandweave.llm.linkage import contracted, distances, linked, similarity_clusters
+from strandweave.llm.similar import exact_neighbours, near_pairs, nearest_vectors, recall
+from strandweave.llm import vectors as V
 from strandweave.llm.vectors import usable_vectors
 
 SCHEMA = "vec_id long, vec array<double>"
@@ -42,6 +43,23 @@ def test_neighbours_against_brute_force(spark):
     assert all(abs(d[i, j] - v) < 1e-12 for (i, j), v in hit.items()) and len(got) == 10 * len(x)
 
 
+def test_exact_neighbours_and_recall(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(300, 4)), 2)
+    x[200:] = x[:100]
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    df = frame(spark, x)
+    got = {(r.vec_id, r["rank"]): (r.other_id, r.distance) for r in exact_neighbours(df, df.where("vec_id % 10 = 0"), 5, portion=7).collect()}
+    assert len(got) == 150
+    for i in range(0, 300, 10):
+        want = sorted((round(v, 9), j) for j, v in enumerate(d[i]))[:5]
+        assert [(round(got[i, k + 1][1], 9), got[i, k + 1][0]) for k in range(5)] == want
+    found = nearest_vectors(df, 5)
+    assert recall(found, exact_neighbours(df, df, 5)).first().recall == 1.0
+    assert exact_neighbours(df, df.limit(0)).count() == 0
+
+
 def test_copies_ties_and_small_collections(spark):
     x = [[0.0, 0.0]] * 30 + [[1.0, 0.0], [3.0, 0.0]]
     got = {}
@@ -54,12 +72,62 @@ def test_copies_ties_and_small_collections(spark):
     assert sorted(map(tuple, near_pairs(nearest_vectors(frame(spark, [[0.0], [0.05], [1.0]], [5, 3, 9]))).collect())) == [(3, 5)]
 
 
-def test_merging_is_average_linkage():
+def average_linkage(d, limit, n):
+    """One pair at a time, the nearest first."""
+    groups = [[i] for i in range(len(d))]
+    mean = lambda a, b: sum(n[i] * n[j] * d[i, j] for i in a for j in b) / (sum(n[i] for i in a) * sum(n[j] for j in b))
+    while len(groups) > 1:
+        v, i, j = min((mean(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if v > limit:
+            break
+        groups[i] += groups.pop(j)
+    out = np.empty(len(d), int)
+    for g in groups:
+        out[g] = min(g)
+    return out
+
+
+def test_linkage_equals_brute_force_where_groups_touch():
     rng = np.random.default_rng(2)
-    x = np.vstack([c + 0.05 * rng.normal(size=(20, 5)) for c in 2 * rng.normal(size=(6, 5))])
-    key, n, norm, mean, owner = merged(np.arange(120), np.ones(120), (x * x).sum(1), x, 0.8)
-    assert sorted(n) == [20] * 6 and (owner == np.arange(120) // 20 * 20).all()
-    assert np.allclose(mean[np.argsort(key)], x.reshape(6, 20, 5).mean(1))
+    for spread in (0.1, 0.3, 0.6, 1.0):
+        x = np.vstack([c + spread * rng.normal(size=(9, 3)) for c in rng.normal(size=(5, 3))])
+        n = rng.integers(1, 4, len(x))
+        assert (linked(distances(x), n, 0.8) == average_linkage(distances(x), 0.8, n)).all()
+
+
+def test_contracted():
+    x = np.array([[0.0], [5.0], [0.7], [1.4], [5.1], [9.0], [2.1]])
+    assert contracted(x, 0.8).tolist() == [0, 1, 0, 0, 1, 5, 0]
+
+
+def test_packing_is_exact():
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.integers(-900, 900, (5, 6)) / 1000, rng.integers(-9000, 9000, (4, 6)) / 10000, rng.normal(size=(3, 6)), [[1e300, -0.0, 5e-324, 1, 2, 3]]])
+    assert (V.unpacked(V.packed(x)) == x).all() and len(V.packed(x)[0].as_py()) == 13 and V.unpacked(V.packed(x).slice(7, 4)).tolist() == x[7:11].tolist()
+    assert V.fingerprints(np.array([[0.0, 1.0]])).equals(V.fingerprints(np.array([[-0.0, 1.0]])))
+
+
+def clustered(spark, x, **kw):
+    people, _ = similarity_clusters(frame(spark, x), **kw)
+    own = {r.vec_id: r.first_vec_id for r in people.collect()}
+    return np.array([own[i] for i in range(len(x))])
+
+
+def test_touching_groups_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(np.vstack([c + 0.25 * rng.normal(size=(12, 3)) for c in rng.normal(size=(8, 3))]), 3)
+    assert (clustered(spark, x) == average_linkage(distances(x), 0.8, np.ones(len(x)))).all()
+
+
+def test_components_beyond_the_bound(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([c + 0.03 * rng.normal(size=(k, 6)) for c, k in zip(3 * rng.normal(size=(4, 6)), (300, 90, 5, 1))])
+    x = np.vstack([x, x[:2]])
+    d = distances(x) <= 0.8
+    people, clusters = similarity_clusters(frame(spark, x), bound=40, leaf=64)
+    assert all(r.first_vec_id == int(np.flatnonzero(d[r.vec_id])[0]) and r.size == d[r.vec_id].sum() for r in people.collect())
+    c = {r.first_vec_id: r for r in clusters.collect()}
+    assert sorted(r["size"] for r in c.values()) == [1, 5, 90, 302] and all(len(r.typical) == min(3, r["size"]) for r in c.values())
 
 
 def test_clusters(spark):

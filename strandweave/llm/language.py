@@ -5,9 +5,14 @@ linear support vector machines between families, then to a language of that fami
 one machines between its members. The machines see the words, their ends and their letter triples;
 a word's share in all of them is computed once per worker, so a sentence costs a sum over its words.
 
-Training takes a bounded sample of labelled documents (`per_language` of each, by hash of the id);
-labels may be wrong: a second fit leaves out the sentences that the first contradicts. Everything
-else covers every document and its whole text.
+Junk is a family of its own: the machines learn it from words that stand outside prose in the sampled
+documents, from shuffled letters and from repetitions.
+
+Training takes a bounded sample of labelled documents (`per_language` of each, by hash of the id) and of
+their sentences (`per_label` of each language, by hash, from anywhere in the texts). Labels may be wrong:
+a second fit leaves out the sentences that the first contradicts. Confidence is the chance of a right
+label at a margin, fitted on sentences that the machines have not seen. Everything else covers every
+document and its whole text.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.bpe import Index, portions
-from strandweave.llm.mixing import language_of
+from strandweave.llm.labels import language_of
 from strandweave.llm.prose import WORD, sentences
 
 # The languages by family.
 FAMILIES = {"germanic": ("de", "en", "nl"), "romance": ("es", "fr", "it", "pt"), "slavic": ("pl", "ru")}
+NONE = "none"
 SPACE = 1 << 16
 
 
@@ -70,6 +76,8 @@ def fitted(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray,
 
 
 class Model:
+    per_family = 3600  #: sentences of a family that a machine between families sees at most
+
     def __init__(self, families: dict[str, tuple[str, ...]]) -> None:
         self.families = families
         self.langs = [x for m in families.values() for x in m]
@@ -79,9 +87,9 @@ class Model:
             self.pairs += [(("l", a), ("l", b)) for a, b in combinations(m, 2)]
         self.family_of = {x: f for f, m in families.items() for x in m}
         self.weights = np.zeros((len(self.pairs), SPACE + 1))
-        self.lexicon: dict[str, int] = {}
+        self.scale = (3.0, 0.0)
 
-    def fit(self, texts: list[list[str]], labels: list[str]) -> None:
+    def fit(self, texts: list[list[str]], labels: list[str], steps: int = 60) -> None:
         """texts: the words of each sentence."""
         words = Words()
         at = words.of([w for t in texts for w in t])
@@ -97,19 +105,35 @@ class Model:
         for k, ((kind, a), (_, b)) in enumerate(self.pairs):
             of = fam if kind == "f" else lab
             use = (of == a) | (of == b)
+            if kind == "f":  # families have several languages: their machines see every second or third sentence
+                for x in (a, b):
+                    own = np.flatnonzero(of == x)
+                    if len(own) > self.per_family:
+                        use[own] = np.arange(len(own)) % -(-len(own) // self.per_family) == 0
             if not (of[use] == a).any() or not (of[use] == b).any():
                 self.weights[k, -1] = 1.0 if (of == a).any() else -1.0
                 continue
             place = np.cumsum(use) - 1
             pick = use[frow]
-            self.weights[k] = fitted(place[frow[pick]], cols[pick], vals[pick], np.where(of[use] == a, 1.0, -1.0))
-        for k, lang in enumerate(self.langs):
-            own = [t for t, x in zip(texts, labels) if x == lang]
-            seen = Counter(w for t in own for w in set(t))
-            least = max(3, len(own) // 1000)
-            for w, n in seen.items():
-                if n >= least:
-                    self.lexicon[w] = self.lexicon.get(w, 0) | 1 << k
+            self.weights[k] = fitted(place[frow[pick]], cols[pick], vals[pick], np.where(of[use] == a, 1.0, -1.0), steps)
+
+    def calibrate(self, margins: np.ndarray, right: np.ndarray) -> None:
+        """Fit scale and shift of the logistic curve from margin to the chance of being right: penalised likelihood, by gradient steps with halving."""
+        x = np.stack([margins, np.ones(len(margins))], 1)
+        prior = np.array([3.0, 0.0])
+
+        def loss(w: np.ndarray) -> float:
+            z = x @ w
+            return float((np.logaddexp(0, z) - right * z).mean() + 1e-3 * ((w - prior) ** 2).sum())
+
+        w, rate = prior.copy(), 1.0
+        for _ in range(500):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g = x.T @ (p - right) / len(x) + 2e-3 * (w - prior)
+            while rate > 1e-9 and loss(w - rate * g) > loss(w):
+                rate /= 2
+            w, rate = w - rate * g, rate * 1.5
+        self.scale = (max(0.1, float(w[0])), float(w[1]))
 
 
 class Judge:
@@ -123,10 +147,15 @@ class Judge:
     def forget(self) -> None:
         self.index = Index()
         self.score = np.zeros((0, len(self.m.pairs)), np.float32)
-        self.size, self.mask = np.zeros(0), np.zeros(0, np.int64)
+        self.size = np.zeros(0)
 
-    def judged(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language number, confidence, share of words that the language's lexicon knows) of each non-empty sentence."""
+    def judged(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(language number, confidence) of each non-empty sentence."""
+        lang, margin = self.margins(texts)
+        a, b = self.m.scale
+        return lang, 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
+
+    def margins(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.most:
             self.forget()
         flat = [w for t in texts for w in t]
@@ -138,7 +167,6 @@ class Judge:
             cols = np.array([c for x in f for c in x])
             self.score = np.concatenate([self.score, np.add.reduceat(self.w[cols], np.cumsum(size) - size, axis=0)])
             self.size = np.concatenate([self.size, size])
-            self.mask = np.concatenate([self.mask, np.array([self.m.lexicon.get(w, 0) for w in new], np.int64)])
         n = np.array([len(t) for t in texts])
         starts = np.cumsum(n) - n
         s = np.add.reduceat(self.score[at], starts, axis=0) / np.sqrt(np.add.reduceat(self.size[at], starts))[:, None] + self.m.weights[:, -1]
@@ -150,8 +178,7 @@ class Judge:
                 best, conf = self.voted(s[own], "l", list(members))
                 lang[own] = [self.m.langs.index(members[b]) for b in best]
                 sure[own] = np.minimum(sure[own], conf)
-        known = np.add.reduceat((self.mask[at] >> np.repeat(lang, n)) & 1, starts) / n
-        return lang, 1 / (1 + np.exp(-3 * sure)), known
+        return lang, sure
 
     def voted(self, s: np.ndarray, kind: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(winner, its least margin) of the machines between the names; most votes, then the larger sum."""
@@ -174,58 +201,105 @@ def words_of(sentence: str) -> list[str]:
     return WORD.findall(sentence.lower())
 
 
-def trained(docs: DataFrame, aliases: DataFrame, per_language: int = 150, least_words: int = 5) -> Model:
-    """A model from at most 2 x `per_language` labelled documents of each language."""
-    lab = docs.where("text is not null and length(text) > 200").select("doc_id", language_of("lang", aliases).alias("code"), "text").where("code is not null")
-    counts = {r["code"]: r["count"] for r in docs.where("doc_id is not null").select(language_of("lang", aliases).alias("code")).groupBy("code").count().collect() if r["code"]}
-    model = Model({f: tuple(x for x in m if x in counts) for f, m in FAMILIES.items() if any(x in counts for x in m)})
-    if not model.langs:
-        return model
+def junk(outside: list[str], inside: list[str], n: int, seed: int = 3) -> list[list[str]]:
+    """n made-up sentences that are no language: words from outside prose, shuffled letters, repetitions, random signs and letters."""
+    rng = np.random.default_rng(seed)
+    outside, inside = outside or inside, inside or outside
+    signs = "".join(map(chr, range(33, 127)))
+    letters = sorted({c for w in inside for c in w})
+    pick = lambda pool, k: [pool[j] for j in rng.integers(0, len(pool), k)]
+    out = []
+    for i in range(n if outside else 0):
+        size = int(rng.integers(3, 25))
+        match i % 6:
+            case 0 | 1:
+                t = pick(outside, size)
+            case 2:
+                t = ["".join(np.array(list(w))[rng.permutation(len(w))]) for w in pick(inside, size)]
+            case 3:
+                t = pick(pick(outside, int(rng.integers(1, 4))), size)
+            case 4:
+                t = words_of("".join(pick(signs, int(rng.integers(20, 300)))))
+            case _:
+                few = pick(letters, int(rng.integers(4, 30)))
+                t = ["".join(pick(few, int(rng.integers(1, 10)))) for _ in range(size)]
+        out.append(t or pick(outside, size))
+    return out
+
+
+def trained(docs: DataFrame, aliases: DataFrame, per_language: int = 150, per_label: int = 2400, least_words: int = 5) -> Model:
+    """A model from at most 2 x `per_language` labelled documents, and `per_label` sentences of them, of each language."""
+    code = language_of("lang", aliases).alias("code")
+    counts = {r["code"]: r["count"] for r in docs.where("doc_id is not null").select(code).groupBy("code").count().collect() if r["code"]}
+    families = {f: tuple(x for x in m if x in counts) for f, m in FAMILIES.items() if any(x in counts for x in m)}
+    if not families:
+        return Model({})
+    langs = [x for m in families.values() for x in m]
     share = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1.0, 1.5 * per_language / n)))])
-    u = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    rows = lab.where(u < share[F.col("code")]).select("doc_id", "code", "text").limit(2 * per_language * len(model.langs)).collect()
-    rows.sort(key=lambda r: (r["code"], zlib.crc32(str(r["doc_id"]).encode())))
+    h = F.xxhash64(F.lit(17), F.col("doc_id"))
+    u = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
+    lab = docs.where("text is not null and text != ''").select("doc_id", code, "text", h.alias("h"), u.alias("u")).where(F.col("code").isin(langs))
+    rows = lab.where(F.col("u") < share[F.col("code")]).orderBy("h", "doc_id").limit(2 * per_language * len(langs)).collect()
     taken: Counter = Counter()
-    texts, labels = [], []
+    found: dict[str, list[tuple[int, list[str]]]] = {x: [] for x in langs}
+    outside: list[str] = []
     for r in rows:
         taken[r["code"]] += 1
-        if taken[r["code"]] > 2 * per_language or r["code"] not in model.langs:
+        if taken[r["code"]] > 2 * per_language:
             continue
         own = [w for w in map(words_of, sentences(r["text"])) if len(w) >= least_words]
-        texts += own[:12]
-        labels += [r["code"]] * len(own[:12])
+        found[r["code"]] += [(zlib.crc32(f"{r['doc_id']} {i}".encode()), w) for i, w in enumerate(own)]
+        rest = Counter(words_of(r["text"]))
+        rest.subtract(w for t in own for w in t)
+        outside += sorted(rest.elements())
+    texts, labels, order = [], [], []
+    for x in langs:
+        for key, w in sorted(found[x])[:per_label]:
+            texts.append(w)
+            labels.append(x)
+            order.append(key)
     if not texts:
         return Model({})
-    model.fit(texts, labels)
-    lang, _, _ = Judge(model).judged(texts)
-    agree = [i for i, x in enumerate(labels) if model.langs[lang[i]] == x]
-    again = Model(model.families)
-    again.fit([texts[i] for i in agree], [labels[i] for i in agree])
-    return again
+    bad = junk(outside, [w for t in texts[:: max(1, len(texts) // 20_000)] for w in t], len(texts) // len(langs))
+    texts, labels, order = texts + bad, labels + [NONE] * len(bad), order + list(range(len(bad)))
+    families = {**families, NONE: (NONE,)}
+    held = np.array(order) % 5 == 0
+    part = lambda use: ([t for t, y in zip(texts, use) if y], [x for x, y in zip(labels, use) if y])
+    first = Model(families)
+    first.fit(*part(~held & (np.array(order) % 2 == 0)))
+    lang, _ = Judge(first).judged(texts)
+    agree = np.array([first.langs[k] == x for k, x in zip(lang, labels)])
+    model = Model(families)
+    model.fit(*part(agree & ~held))
+    if held.any():
+        t, x = part(held)
+        lang, margin = Judge(model).margins(t)
+        model.calibrate(margin, np.array([model.langs[k] == y for k, y in zip(lang, x)], float))
+    return model
 
 
 _JUDGES: dict[int, Judge] = {}
 
 
-def languages(docs: DataFrame, model: Model, least_words: int = 3, least_known: float = 0.3) -> DataFrame:
+def languages(docs: DataFrame, model: Model, least_words: int = 3) -> DataFrame:
     """`doc_id, lang, main_lang, confidence, n_words, langs, lang_words, seg_langs, seg_words, seg_confidence` of each row.
 
-    `n_words` counts the words of prose in sentences that a language claims: of at least
-    `least_words` words, of which the language's lexicon knows at least the share `least_known`;
-    what no language claims is junk. `main_lang` has more than half of these words, else it is null.
+    `n_words` counts the words of prose in sentences of at least `least_words` words that a language
+    claims; what the machines give to no language is junk. `main_lang` has more than half of these words, else it is null.
     `confidence` is the share-weighted confidence of the main language's sentences. The seg_ arrays
     hold the stretches of sentences in one language, in order. `lang` is passed on.
 
     Defined cases: null, empty and proseless texts have 0 words, null main language and confidence,
     and empty arrays; repeated rows come out repeatedly; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size but for its lexicon, which the sample bounds
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of fixed size
     names = ["doc_id", "lang", "main_lang", "confidence", "n_words", "langs", "lang_words", "seg_langs", "seg_words", "seg_confidence"]
 
-    def of(n_docs: int, doc: list[int], n: list[int], lang: np.ndarray, conf: np.ndarray, known: np.ndarray) -> list[list]:
+    def of(n_docs: int, doc: list[int], n: list[int], lang: np.ndarray, conf: np.ndarray) -> list[list]:
         segs: list[list[list]] = [[] for _ in range(n_docs)]
-        for i, words, k, c, ok in zip(doc, n, lang.tolist(), conf.tolist(), (known >= least_known).tolist()):
-            if ok:
+        tags = shared.value.langs
+        for i, words, k, c in zip(doc, n, lang.tolist(), conf.tolist()):
+            if tags[k] != NONE:
                 s = segs[i]
                 if s and s[-1][0] == k:
                     s[-1][1] += words
@@ -240,15 +314,11 @@ def languages(docs: DataFrame, model: Model, least_words: int = 3, least_known:
             all_ = sum(total.values())
             main = next((k for k, w in total.items() if 2 * w > all_), None)
             sure = None if main is None else round(sum(c for k, _, c in s if k == main) / all_, 6)
-            tags = model_langs()
             order = sorted(total, key=lambda k: (-total[k], k))
             for c, v in zip(cols, (None if main is None else tags[main], sure, all_, [tags[k] for k in order], [total[k] for k in order], [tags[k] for k, _, _ in s], [w for _, w, _ in s], [round(c / w, 6) for _, w, c in s])):
                 c.append(v)
         return cols
 
-    def model_langs() -> list[str]:
-        return shared.value.langs
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         judge = _JUDGES.get(id(m))
@@ -265,8 +335,8 @@ def languages(docs: DataFrame, model: Model, least_words: int = 3, least_known:
                         if len(w) >= least_words:
                             doc.append(k)
                             texts.append(w)
-                lang, conf, known = judge.judged(texts) if texts and m.langs else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-                cols = of(j - i, doc if len(lang) else [], [len(w) for w in texts], lang, conf, known)
+                lang, conf = judge.judged(texts) if texts and m.langs else (np.zeros(0, np.int64), np.zeros(0))
+                cols = of(j - i, doc if len(lang) else [], [len(w) for w in texts], lang, conf)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=names)
 
     key = docs.schema["doc_id"].dataType.simpleString()

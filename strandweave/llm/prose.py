@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-TAGGED = re.compile(r"<!--.*?-->|<ref\b[^<>]*/>|<(ref|math|nowiki|table|sup|sub|gallery|noinclude|includeonly|code|pre)\b[^<>]*>.*?</\1\s*>", re.S | re.I)
-TAG = re.compile(r"</?[a-zA-Z!][^<>\n]{0,300}>")
+PAIRED = re.compile(r"<(/?)(ref|math|nowiki|table|sup|sub|gallery|noinclude|includeonly|code|pre)\b[^<>]*>", re.I)
+TAG = re.compile(r"</?[a-zA-Z!][^<>\n]*>")
 INNER = re.compile(r"\{\{\{?[^{}]*\}?\}\}")
 SPACED = re.compile(r"\[\[[^\[\]|]*:[^\[\]]*\]\]")
 LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
@@ -15,10 +15,41 @@ END = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def untagged(text: str) -> str:
+    """The text without comments and without what stands between paired tags; one pass, however many tags stay open."""
+    if "<!--" in text:
+        first, *rest = text.split("<!--")
+        text = first + "".join(" " + r.split("-->", 1)[1] if "-->" in r else "<!--" + r for r in rest)
+    tags = list(PAIRED.finditer(text))
+    ends: dict[str, list] = {}
+    for t in tags:
+        if t[1]:
+            ends.setdefault(t[2].lower(), []).append(t)
+    out, at = [], 0
+    nexts = {name: iter(own) for name, own in ends.items()}
+    close = {name: next(own) for name, own in nexts.items()}
+    for t in tags:
+        if t[1] or t.start() < at:
+            continue
+        name = t[2].lower()
+        if name == "ref" and t[0].endswith("/>"):
+            end = t.end()
+        else:
+            c = close.get(name)
+            while c is not None and c.start() < t.end():
+                c = close[name] = next(nexts[name], None)
+            if c is None:
+                continue
+            end = c.end()
+        out += [text[at : t.start()], " "]
+        at = end
+    return TAG.sub(" ", "".join(out) + text[at:])
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of the prose: no templates, tables, references, headings, categories, redirects or title."""
     if "<" in text:
-        text = TAG.sub(" ", TAGGED.sub(" ", text))
+        text = untagged(text)
     while "{{" in text:
         shorter = INNER.sub(" ", text)
         if shorter == text:

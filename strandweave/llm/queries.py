@@ -94,7 +94,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents"))
 
 
-def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), table(spark, d, "lang_aliases"))
 
 
@@ -106,6 +106,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_mix(spark, d)[1])
 
 
+def p7_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of languages and topics, wanted and reached."""
+    return _rounded(_mix(spark, d)[2])
+
+
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return language.languages(docs, language.trained(docs, table(spark, d, "lang_aliases")))
@@ -129,6 +134,7 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
+    "p7_marginals": p7_marginals,
     "p8_found": p8_found,
     "p8_languages": p8_languages,
 }

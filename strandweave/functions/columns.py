@@ -137,6 +137,14 @@ def two_strong(v: Column) -> Column:
     return F.size(F.filter(v, lambda x: F.abs(x) == 1)) == 2
 
 
+def relaxed(v: Column) -> Column:
+    """A vector of three with exactly two strong elements (of size 1): the first strong one by 0.71, the second by 0.70; null for others."""
+    a, b, c = (F.element_at(v, i) for i in (1, 2, 3))
+    strong = lambda x: F.abs(x) == 1
+    out = F.array(F.when(strong(a), 0.71 * a).otherwise(a), F.when(strong(b), F.when(strong(a), 0.70).otherwise(0.71) * b).otherwise(b), F.when(strong(c), 0.70 * c).otherwise(c))
+    return F.when(two_strong(v), F.transform(out, lambda x: F.round(x, 6)))
+
+
 def histogram_bin(x: Column, lo: float, hi: float, n: int) -> Column:
     """0-based bin of n equal bins on [lo, hi]; hi falls in the last; outside and non-finite values in none."""
     return F.when((x >= lo) & (x <= hi), F.least(F.floor((x - lo) / ((hi - lo) / n)), F.lit(n - 1)))

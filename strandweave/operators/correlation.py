@@ -18,9 +18,10 @@ def _corr(a: str, b: str) -> Column:
     return F.when((va > 0) & (vb > 0), F.covar_pop(a, b) / F.sqrt(va * vb)).otherwise(float("nan"))
 
 
-def pearson(df: DataFrame, by: list[str], columns: tuple[str, ...]) -> DataFrame:
-    """`<by>, n, correlation array<double>` in order of the upper triangle, cut to three decimals."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[trunc3(_corr(a, b)) for a, b in combinations(columns, 2)]).alias("correlation"))
+def pearson(df: DataFrame, by: list[str], columns: tuple[str, ...], digits: int | None = 3) -> DataFrame:
+    """`<by>, n, correlation array<double>` in order of the upper triangle, cut to three decimals, or whole without digits."""
+    cut = trunc3 if digits == 3 else lambda c: c
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[cut(_corr(a, b)) for a, b in combinations(columns, 2)]).alias("correlation"))
 
 
 def average_ranks(df: DataFrame, by: list[str], columns: tuple[str, ...]) -> DataFrame:

@@ -11,16 +11,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandweave.functions.numeric import PHI, matrix_of
+from strandweave.functions.numeric import matrix_of, normal_cdf
 
 SHORT, LONG = (15, 20, 30, 60), (120, 300, 480)
-START = "2017-06-23T00:00:00"
+START = "2017-06-23T00:00:00Z"
 
 
 def segment_lengths(n: int, rng: np.random.Generator, unit: int = 60, short: tuple[int, ...] = SHORT, long: tuple[int, ...] = LONG) -> np.ndarray:
     """Three quarters short and one quarter long durations, each in near-equal numbers, shuffled."""
-    n_long = n // 4
+    n_long = n - round(3 * n / 4)
     pick = lambda kinds, k: np.resize(rng.permutation(np.array(kinds)), k)
     out = np.concatenate([pick(short, n - n_long), pick(long, n_long)]) * unit
     return rng.permutation(out)
@@ -50,6 +51,15 @@ def correlated(normal: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return normal @ (q * np.sqrt(np.maximum(w, 0))).T
 
 
+def cholesky_correlated(data: np.ndarray, vector: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
+    """Columns given the covariances that the vector and their own deviations make; a matrix that is not positive definite gets the ridge once."""
+    sd = data.std(axis=0)
+    cov = matrix_of(vector) * np.outer(sd, sd)
+    if not (np.linalg.eigvalsh(cov) > 0).all():
+        cov = cov + ridge * np.eye(len(cov))
+    return data @ np.linalg.cholesky(cov).T
+
+
 def gev_quantile(u: np.ndarray, c: float, loc: float, scale: float) -> np.ndarray:
     y = -np.log(u)
     return loc + scale * ((1 - y**c) / c if abs(c) > 1e-12 else -np.log(y))
@@ -70,7 +80,7 @@ def stages(length: int, vector: np.ndarray, seed: int, margins: dict) -> dict[st
     """The raw, correlated and non-normal values of one segment, each rounded to three decimals."""
     raw = np.random.default_rng(seed).normal(size=(length, 3))
     cor = np.round(correlated(raw, vector), 3)
-    u = np.clip(np.vectorize(PHI.cdf)(cor), 1e-9, 1 - 1e-9)
+    u = np.clip(normal_cdf(cor), 1e-9, 1 - 1e-9)
     non = np.stack([gev_quantile(u[:, 0], *margins["iob"]), negative_binomial_quantile(u[:, 1], *margins["cob"]), gev_quantile(u[:, 2], *margins["ig"])], 1)
     return {"raw": np.round(raw, 3), "correlated": cor, "nonnormal": np.round(non, 3)}
 
@@ -78,7 +88,7 @@ def stages(length: int, vector: np.ndarray, seed: int, margins: dict) -> dict[st
 def generated_segments(
     spark: SparkSession, patterns: DataFrame, n_subjects: int, n_segments: int, seed: int, unit: int = 1, margins: dict | None = None,
 ) -> DataFrame:
-    """`subject_id, segment_id, pattern_id, stage, obs_idx, second, iob, cob, ig` of n_subjects x n_segments segments in three stages."""
+    """`subject_id, segment_id, pattern_id, stage, obs_idx, second, iob, cob, ig, datetime` of n_subjects x n_segments segments in three stages."""
     margins = margins or {"iob": (0.05, 2.0, 1.5), "cob": (1.2, 0.08), "ig": (-0.1, 120.0, 35.0)}
     known = {r["pattern_id"]: list(r["relaxed"]) for r in patterns.collect()}  # the catalogue, 27 rows at most
     rows = []
@@ -97,4 +107,5 @@ def generated_segments(
                 for name, x in stages(r.length, np.asarray(r.vec, float), r.seed, margins).items():
                     yield pd.DataFrame({"subject_id": r.subject_id, "segment_id": r.segment_id, "pattern_id": r.pattern_id, "stage": name, "obs_idx": idx, "second": idx, "iob": x[:, 0], "cob": x[:, 1], "ig": x[:, 2]})
 
-    return plan.repartition("subject_id", "segment_id").mapInPandas(run, "subject_id string, segment_id int, pattern_id int, stage string, obs_idx long, second long, iob double, cob double, ig double")
+    return plan.repartition("subject_id", "segment_id").mapInPandas(run, "subject_id string, segment_id int, pattern_id int, stage string, obs_idx long, second long, iob double, cob double, ig double").withColumn(
+        "datetime", F.timestamp_seconds(F.unix_seconds(F.lit(START).cast("timestamp")) + F.col("second")))

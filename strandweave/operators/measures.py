@@ -64,7 +64,8 @@ def level_intervals(stats: DataFrame, by: list[str], alpha: float = 0.05, n_leve
 def nearest_patterns(distances: DataFrame, by: list[str]) -> DataFrame:
     """For each segment and measure the nearest pattern, ties to the smaller id: 1-nearest-neighbour prediction."""
     best = F.min(F.struct(F.col("d"), F.col("pattern_id")))
-    return distances.where("not isnan(d)").groupBy(*by, "subject_id", "segment_id", "cluster_id").agg(best.alias("b")).select(*by, "subject_id", "segment_id", "cluster_id", F.col("b.pattern_id").alias("predicted"), F.col("b.d").alias("d"))
+    keys = list(dict.fromkeys([*by, "subject_id", "segment_id", "cluster_id"]))
+    return distances.where("not isnan(d)").groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.pattern_id").alias("predicted"), F.col("b.d").alias("d"))
 
 
 def classification_scores(predicted: DataFrame, by: list[str], truth: str = "cluster_id", guess: str = "predicted") -> DataFrame:

@@ -110,6 +110,43 @@ def wrong_clusters(segments: DataFrame, by: list[str], n: int | Column, clusters
     return segments.withColumn("_k", F.row_number().over(w)).withColumn("cluster_id", F.when(F.col("_k") <= n, other).otherwise(F.col("cluster_id"))).drop("_k")
 
 
+def chosen_counts(most: Column, n: int) -> Column:
+    """At most n - 1 numbers below `most`, in order of their hash, and `most` itself, ascending."""
+    some = F.when(most > 1, F.slice(F.array_sort(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(most - 1, F.lit(1)).cast("long")), lambda v: F.struct(portable_hash(v).alias("h"), v.alias("v")))), 1, n - 1))
+    some = F.transform(F.coalesce(some, F.array().cast("array<struct<h:bigint,v:bigint>>")), lambda x: x["v"])
+    return F.array_sort(F.array_append(some, most.cast("long")))
+
+
+def degraded(segments: DataFrame, n: int = 22, leave: int = 100) -> DataFrame:
+    """Three strategies of up to n partitions for each subject: clusters made wrong, boundaries shifted, and both.
+
+    How many segments get a wrong cluster, and by how many positions boundaries move, rises from
+    partition to partition; the last changes all segments, or moves by the shortest length less
+    `leave`, at least `leave`. Which, and to what, goes by hash. The ids of clusters are few (a catalogue).
+    """
+    by = ["subject_id", "clustering_desc"]
+    size = segments.groupBy("subject_id").agg(chosen_counts(F.count(F.lit(1)), n).alias("k"), chosen_counts(F.greatest(F.min("length") - leave, F.lit(leave)), n).alias("s"))
+    one = lambda name, k, s, p: F.struct(F.concat(F.lit(name), p.cast("string")).alias("clustering_desc"), p.cast("long").alias("_p"), k.alias("_k"), s.alias("_shift"))
+    zero = F.lit(0).cast("long")
+    specs = F.concat(
+        F.transform("k", lambda v, i: one("wrong-clusters-", v, zero, i)), F.transform("s", lambda v, i: one("shifted-end-idx-", zero, v, i)),
+        F.filter(F.transform("k", lambda v, i: one("shifted-and-wrong-cluster-", v, F.get("s", i), i)), lambda z: z["_shift"].isNotNull()))
+    ids = segments.groupBy().agg(F.array_sort(F.collect_set("cluster_id")).alias("_ids"))  # one row
+    x = segments.drop("length").join(size.select("subject_id", F.explode(specs).alias("x")).select("subject_id", "x.*"), "subject_id").join(F.broadcast(ids))
+    w = Window.partitionBy(*by).orderBy(F.pmod((F.col("segment_id") + 1).cast("long") * 7919 + F.col("_p") * 104729, F.lit(10007)), "segment_id")
+    at, many = F.array_position("_ids", F.col("cluster_id")), F.size("_ids")
+    other = F.get("_ids", ((at + F.pmod((F.col("segment_id") + 1).cast("long") * 7919 + F.col("_p") * 31, F.lit(10007)) % (many - 1)) % many).cast("int"))
+    x = x.withColumn("_h", F.row_number().over(w)).withColumn("cluster_id", F.when((F.col("_h") <= F.col("_k")) & (at > 0) & (many > 1), other).otherwise(F.col("cluster_id")))
+    out = shifted(x, by, F.col("_shift"))
+    return out.select(*by, "segment_id", "cluster_id", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), F.col("length").cast("long").alias("length"))
+
+
+def run_summary(runs: DataFrame, by: list[str]) -> DataFrame:
+    """`<by>, value, times_used, n_observations, mean_length, min_length, max_length, n_of_one` of runs."""
+    n = F.col("length")
+    return runs.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("times_used"), F.sum(n).alias("n_observations"), F.round(F.avg(n) + 1e-9, 3).alias("mean_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.count_if(n == 1).alias("n_of_one"))
+
+
 def reduced(segments: DataFrame, keep: Column) -> DataFrame:
     """The kept segments laid end to end: new bounds, with `old_start_idx` for moving the data along."""
     x = segments.where(keep)

@@ -475,3 +475,18 @@ def centralities(e: DataFrame) -> DataFrame:
         return pd.DataFrame({"cluster": key[0], "node": nodes, "degree": [len(near[v]) for v in nodes], "closeness": [round(close[v], 6) for v in nodes], "betweenness": [round(between[v] / 2, 6) for v in nodes]})
 
     return e.groupBy("cluster").applyInPandas(run, "cluster int, node int, degree int, closeness double, betweenness double")
+
+
+def temporal_centralities(e: DataFrame) -> DataFrame:
+    """`step, node, degree, closeness, betweenness` with each cluster as a step of time, and the means over all steps (step null); a node without edges in a step counts 0."""
+    c = centralities(e)
+    steps, nodes = c.select(F.col("cluster").alias("step")).distinct(), c.select("node").distinct()  # clusters and nodes: tens each
+    x = steps.join(F.broadcast(nodes)).join(c.withColumnRenamed("cluster", "step"), ["step", "node"], "left").na.fill(0, ["degree", "closeness", "betweenness"])
+    names = ("degree", "closeness", "betweenness")
+    over = x.groupBy("node").agg(*[F.round(F.avg(n), 6).alias(n) for n in names]).select(F.lit(None).cast("int").alias("step"), "node", *names)
+    return x.select("step", "node", *[F.col(n).cast("double").alias(n) for n in names]).unionByName(over)
+
+
+def transitions(assigned: DataFrame) -> DataFrame:
+    """`cluster, first_idx, last_idx, n` of each subject's positions by cluster: the index sets as counts and bounds, never as lists."""
+    return assigned.groupBy("subject_id", "cluster").agg(F.min("obs_idx").alias("first_idx"), F.max("obs_idx").alias("last_idx"), F.count(F.lit(1)).alias("n"))

@@ -127,21 +127,3 @@ def correlation_bands(spark: SparkSession, d: str) -> DataFrame:
     x = x.select(F.explode("x").alias("x")).select("x.pair", "x.r")
     band = F.when(F.isnan("r"), "none").when(F.col("r") < 0.1, "no").when(F.col("r") < 0.3, "slight").when(F.col("r") < 0.7, "moderate").otherwise("strong")
     return x.groupBy("pair", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
-
-
-#: (strategy, segments relabelled, positions shifted) of each degraded partition.
-SPECS = tuple((f"wrong-clusters-{i}", k, 0) for i, k in enumerate((1, 3, 6))) + tuple((f"shifted-end-idx-{i}", 0, k) for i, k in enumerate((5, 20, 60))) + tuple((f"shifted-and-wrong-cluster-{i}", k, s) for i, (k, s) in enumerate(((1, 5), (3, 20), (6, 60))))
-
-
-@query()
-def degraded_partitions(spark: SparkSession, d: str) -> DataFrame:
-    """All strategies in one pass over the labels: boundaries shifted, some segments given another cluster."""
-    return degraded(S.labels(spark, d).select("subject_id", "segment_id", "start_idx", "end_idx", "cluster_id"))
-
-
-def degraded(labels: DataFrame) -> DataFrame:
-    by = ["subject_id", "clustering_desc"]
-    specs = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(s).alias("s")) for n, k, s in SPECS])
-    x = labels.withColumn("_s", F.explode(specs)).select("*", F.col("_s.n").alias("clustering_desc"), F.col("_s.k").alias("n_wrong"), F.col("_s.s").alias("shift")).drop("_s")
-    ids = F.array(*[F.lit(r[0]) for r in labels.select("cluster_id").where("cluster_id is not null").distinct().orderBy("cluster_id").collect()])  # the catalogue's ids, 27 at most
-    return segments.wrong_clusters(segments.shifted(x, by, F.col("shift")), by, F.col("n_wrong"), ids)

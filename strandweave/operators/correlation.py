@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import trunc3
+from strandweave.operators.describe import cumulative_counts
 
 
 def _corr(a: str, b: str) -> Column:
@@ -27,14 +28,12 @@ def pearson(df: DataFrame, by: list[str], columns: tuple[str, ...], digits: int
 def average_ranks(df: DataFrame, by: list[str], columns: tuple[str, ...]) -> DataFrame:
     """Columns replaced by their average ranks within the group.
 
-    Per column, values are counted first (map-side), ranked by cumulative counts, and looked up; ties
-    shrink the ranked table. Rows without a null in any column are expected.
+    Per column, values are counted first (map-side), ranked by cumulative counts in pieces of a group,
+    and looked up; ties shrink the ranked table. Rows without a null in any column are expected.
     """
     out = df
     for c in columns:
-        counts = df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n"))
-        upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select(*by, c, (upto - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}"))
+        ranks = cumulative_counts(df, by, c).select(*by, c, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}"))
         out = out.join(ranks, [*by, c])
     return out.select(*by, *[F.col(f"_r_{c}").alias(c) for c in columns])
 

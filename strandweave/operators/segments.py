@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.operators.describe import same_keys
+
 BLOCK = 256
 
 
@@ -23,11 +25,33 @@ def interval_join(obs: DataFrame, segments: DataFrame, how: str = "inner", block
     return o.join(s, on, how).drop("_b0", "_b", "_s")
 
 
-def runs_to_segments(df: DataFrame, by: list[str], order: list[str], value: str, position: str) -> DataFrame:
-    """Runs of equal values in order: `<by>, segment_id, value, start_idx, end_idx, length`."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    x = df.withColumn("_new", (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("int"))
-    x = x.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+def numbered(df: DataFrame, by: list[str], chunk: Column, order: list[str], name: str) -> DataFrame:
+    """Adds the 0-based number of each row in its group's order. `chunk` must rise with the order; rows are numbered within a chunk, and chunks add the counts before them."""
+    x = df.withColumn("_c", chunk)
+    n = x.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_base", F.sum("_n").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    x = same_keys(x.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_c").orderBy(*order))), n, [*by, "_c"])
+    return x.withColumn(name, (F.col("_k") + F.col("_base") - 1).cast("long")).drop("_c", "_k", "_base")
+
+
+def runs_to_segments(df: DataFrame, by: list[str], order: list[str], value: str, position: str, chunk: Column | None = None) -> DataFrame:
+    """Runs of equal values in order: `<by>, segment_id, value, start_idx, end_idx, length`.
+
+    `chunk` must rise with the order: a group is then worked on chunk by chunk, and only the last
+    value and the number of runs of each chunk pass between them. Without it a group is one window.
+    """
+    x = df.select(*by, *[c for c in dict.fromkeys([*order, value, position]) if c not in by], (F.lit(0) if chunk is None else chunk).alias("_c"))
+    w = Window.partitionBy(*by, "_c").orderBy(*order)
+    last = x.groupBy(*by, "_c").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_l"))
+    last = last.select(*by, "_c", F.lag("_l").over(Window.partitionBy(*by).orderBy("_c")).alias("_b"))
+    x = same_keys(x, last, [*by, "_c"])
+    first = F.row_number().over(w) == 1
+    before = F.when(first, F.col("_b")).otherwise(F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    x = x.withColumn("_new", (before.isNull() | ~before["v"].eqNullSafe(F.col(value))).cast("int"))
+    x = x.withColumn("_in", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = x.groupBy(*by, "_c").agg(F.max("_in").alias("_t"))
+    n = n.withColumn("_base", F.sum("_t").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).drop("_t")
+    x = same_keys(x, n, [*by, "_c"]).withColumn("_run", F.col("_in") + F.col("_base") - 1)
     return x.groupBy(*by, F.col("_run").alias("segment_id")).agg(F.min(value).alias("value"), F.min(position).alias("start_idx"), F.max(position).alias("end_idx"), F.count(F.lit(1)).alias("length"))
 
 
@@ -156,6 +180,9 @@ def reduced(segments: DataFrame, keep: Column) -> DataFrame:
 
 
 def time_gaps(obs: DataFrame, by: str = "subject_id") -> DataFrame:
-    """Seconds between successive observations of known time, without the first."""
-    w = Window.partitionBy(by).orderBy("us", "obs_idx")
-    return obs.where("us is not null").select(by, ((F.col("us") - F.lag("us").over(w)) / 1e6).alias("gap_s")).where("gap_s is not null")
+    """Seconds between successive observations of known time, without the first; days are worked on apart, and each takes the last time of the day with rows before it."""
+    x = obs.where("us is not null").select(by, "us", "obs_idx", F.floor(F.col("us") / 86_400_000_000).alias("_d"))
+    inside = x.select(by, (F.col("us") - F.lag("us").over(Window.partitionBy(by, "_d").orderBy("us", "obs_idx"))).alias("g"))
+    days = x.groupBy(by, "_d").agg(F.min("us").alias("a"), F.max("us").alias("b"))
+    between = days.select(by, (F.col("a") - F.lag("b").over(Window.partitionBy(by).orderBy("_d"))).alias("g"))
+    return inside.unionByName(between).where("g is not null").select(by, (F.col("g") / 1e6).alias("gap_s"))

@@ -181,7 +181,7 @@ def achieved_by_pattern(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.with_(V.OBS, "g AS (SELECT subject_id, (us - lag(us) OVER (PARTITION BY subject_id ORDER BY us, obs_idx)) / 1e6::DOUBLE AS gap_s FROM obs WHERE us IS NOT NULL)") + f"SELECT subject_id, {V.describe('gap_s')} FROM g WHERE gap_s IS NOT NULL GROUP BY ALL")
 def time_gap_stats(spark: SparkSession, d: str) -> DataFrame:
-    return describe(segments.time_gaps(S.observations(spark, d)), ["subject_id"], "gap_s")
+    return describe(segments.time_gaps(S.observations(spark, d)), ["subject_id"], "gap_s", large=True)
 
 
 @query(V.with_(V.OBS_F, V.SEG, "l AS (SELECT unnest([10, 20, 40]) AS len)", "j AS (SELECT o.*, s.segment_id, l.len FROM seg s JOIN l ON s.length >= l.len JOIN obsf o ON o.subject_id = s.subject_id AND o.obs_idx BETWEEN s.start_idx AND s.start_idx + l.len - 1)",
@@ -212,8 +212,9 @@ def min_max_scaled_observations(spark: SparkSession, d: str) -> DataFrame:
 # ---- windows, resampling, variants
 @query("SELECT user_id, segment_id::BIGINT AS segment_id, min(event_type) AS value, min(i)::BIGINT AS start_idx, max(i)::BIGINT AS end_idx, count(*) AS length FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS segment_id FROM (SELECT *, row_number() OVER w - 1 AS i, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY ALL")
 def runs_to_segments(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("i", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long"))
-    return segments.runs_to_segments(e, ["user_id"], ["ts", "event_id"], "event_type", "i")
+    day = F.to_date("ts")
+    e = segments.numbered(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], day, ["ts", "event_id"], "i")
+    return segments.runs_to_segments(e, ["user_id"], ["ts", "event_id"], "event_type", "i", day)
 
 
 @query(V.with_(V.OBS) + f"SELECT subject_id, us // 60000000 * 60 AS bucket, {', '.join(f"{V.half_even(f'avg({c})')} AS {c}" for c in VARIATES)}, min(obs_idx) AS first_idx, max(obs_idx) AS last_idx, count(*) AS n FROM obs WHERE us IS NOT NULL GROUP BY ALL")
@@ -235,8 +236,8 @@ def _bucket_segments(spark: SparkSession, d: str) -> DataFrame:
   f AS (SELECT *, CASE WHEN lag(segment_id) OVER (PARTITION BY subject_id ORDER BY idx) IS DISTINCT FROM segment_id THEN 1 ELSE 0 END AS new FROM i), g AS (SELECT *, sum(new) OVER (PARTITION BY subject_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - 1 AS run FROM f)
 SELECT subject_id, run::BIGINT AS segment_id, min(segment_id) AS value, min(idx)::BIGINT AS start_idx, max(idx)::BIGINT AS end_idx, count(*) AS length FROM g GROUP BY subject_id, run""")
 def resampled_labels(spark: SparkSession, d: str) -> DataFrame:
-    b = _bucket_segments(spark, d).withColumn("idx", (F.row_number().over(Window.partitionBy("subject_id").orderBy("bucket")) - 1).cast("long"))
-    return segments.runs_to_segments(b, ["subject_id"], ["idx"], "segment_id", "idx")
+    b = segments.numbered(_bucket_segments(spark, d), ["subject_id"], F.floor(F.col("bucket") / 86400), ["bucket"], "idx")
+    return segments.runs_to_segments(b, ["subject_id"], ["idx"], "segment_id", "idx", F.floor(F.col("idx") / 4096))
 
 
 def _sparse(drop: float) -> str:
@@ -365,9 +366,10 @@ def centroid_quality(spark: SparkSession, d: str, partitions: DataFrame, names:
     """`<BY>, measure, dbi, vrc, pbm`; cluster centroids are rank correlations of pooled observations, the whole's that of all observations of the subject."""
     o = complete(spark, d)
     keys = [*BY, "cluster_id"]
-    cen = correlation.spearman(quality.pooled(o, partitions.where("cluster_id is not null"), keys, VARIATES), keys, VARIATES, large_groups=True).select(*keys, F.col("correlation").alias("centroid"))
+    with scratch(quality.pooled(o, partitions.where("cluster_id is not null"), keys, VARIATES)) as pooled:  # read for each variate
+        cen = written(correlation.spearman(pooled, keys, VARIATES, large_groups=True).select(*keys, F.col("correlation").alias("centroid")))
     whole = correlation.spearman(o, ["subject_id"], VARIATES, large_groups=True).select("subject_id", F.col("correlation").alias("overall"))
-    x = quality.centroid_indices(usable(partitions).select(*keys, F.col("achieved").alias("vec")), written(cen), whole, BY, "cluster_id", names, over=["subject_id"])
+    x = quality.centroid_indices(usable(partitions).select(*keys, F.col("achieved").alias("vec")), cen, whole, BY, "cluster_id", names, over=["subject_id"])
     return x.where("e > 1e-6").select(*BY, "measure", *[F.round(c, 4).alias(c) for c in ("dbi", "vrc", "pbm")])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandweave.functions import columns as C
 from strandweave.functions import names as N
 from strandweave.operators import assess, correlation, measures, quality, segments
-from strandweave.operators.describe import describe
+from strandweave.operators.describe import describe, exact_percentiles
 from strandweave.plans import model_queries as M
 from strandweave.plans import views as V
 from strandweave.runtime import table, written
@@ -231,7 +231,7 @@ def variant_summary(spark: SparkSession, d: str) -> DataFrame:
        + f"SELECT subject_id, {V.r6('step')} AS step_s, CASE WHEN step >= 86400 THEN floor(step / 86400)::BIGINT || 'D' WHEN step >= 3600 THEN floor(step / 3600)::BIGINT || 'h' WHEN step >= 60 THEN floor(step / 60)::BIGINT || 'min' ELSE floor(step)::BIGINT || 's' END AS code FROM m")
 def frequency_codes(spark: SparkSession, d: str) -> DataFrame:
     """The median time step of each subject and its code: whole days, hours, minutes or seconds."""
-    g = segments.time_gaps(S.observations(spark, d)).groupBy("subject_id").agg(F.percentile("gap_s", 0.5).alias("step"))
+    g = exact_percentiles(segments.time_gaps(S.observations(spark, d)), ["subject_id"], "gap_s", (0.5,)).select("subject_id", F.get("q", F.lit(0)).alias("step"))
     return g.select("subject_id", C.r6(F.col("step")).alias("step_s"), N.frequency_code(F.col("step")).alias("code"))
 
 

@@ -155,7 +155,7 @@ def ticc_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def clusterer_labels(assigned: DataFrame, obs: DataFrame) -> DataFrame:
     """`subject_id, segment_id, cluster_id, start_idx, end_idx, length, achieved` from `subject_id, obs_idx, cluster`."""
-    runs = segments.runs_to_segments(assigned, ["subject_id"], ["obs_idx"], "cluster", "obs_idx").withColumnRenamed("value", "cluster_id")
+    runs = segments.runs_to_segments(assigned, ["subject_id"], ["obs_idx"], "cluster", "obs_idx", F.floor(F.col("obs_idx") / 8192)).withColumnRenamed("value", "cluster_id")
     v = correlation.spearman(segments.interval_join(obs, runs.select("subject_id", "segment_id", "start_idx", "end_idx")), ["subject_id", "segment_id"], VARIATES)
     return runs.join(v.select("subject_id", "segment_id", F.col("correlation").alias("achieved")), ["subject_id", "segment_id"], "left")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import columns as C
 from strandweave.operators import measures, segments
-from strandweave.operators.describe import describe
+from strandweave.operators.describe import describe, exact_percentiles
 from strandweave.plans import model_queries as M
 from strandweave.plans import views as V
 from strandweave.plans.evaluation_queries import _INDEX, _SUM, INDICES, _index
@@ -104,7 +104,7 @@ def hourly_aggregates(spark: SparkSession, d: str) -> DataFrame:
 def gap_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Gaps up to their 95th percentile in 20 bins."""
     g = segments.time_gaps(S.observations(spark, d))
-    p = g.agg(F.percentile("gap_s", 0.95).alias("p95"))  # one row
+    p = exact_percentiles(g, [], "gap_s", (0.95,)).select(F.get("q", F.lit(0)).alias("p95"))  # one row
     x = g.join(F.broadcast(p)).withColumn("bin", F.when((F.col("gap_s") >= 0) & (F.col("gap_s") <= F.col("p95")), F.least(F.floor(F.col("gap_s") / (F.col("p95") / 20)), F.lit(19))))
     return x.where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 

@@ -155,3 +155,32 @@ def test_blocks_and_shapes():
     assert a.tolist() == [0.5] and b.tolist() == [0.0]
     with pytest.raises(ValueError):
         numeric.upper_halves(np.eye(2), np.eye(3))
+
+
+def test_exact_percentiles_and_ranks_in_pieces(spark):
+    from strandweave.operators.correlation import average_ranks, ranked
+    from strandweave.operators.describe import describe, exact_percentiles
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-6, 6, 300), np.zeros(20), np.repeat(3.25, 30), [5e-324, -5e-324, 1e300, -1e300]])
+    df = spark.createDataFrame([("a" if i % 3 else None, float(x)) for i, x in enumerate(v)] + [("one", 2.0), ("none", None)], "k string, v double")
+    got = {r.k: r.q for r in exact_percentiles(df, ["k"], "v", (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    for k in ("a", None):
+        own = np.array([x for i, x in enumerate(v) if (i % 3 > 0) == (k == "a")])
+        assert got[k] == pytest.approx(np.percentile(own, [0, 25, 50, 90, 100]).tolist(), rel=1e-12)
+    assert got["one"] == [2.0] * 5 and "none" not in got
+    one, two = (sorted(map(str, describe(df.where("abs(v) < 1e3 or v is null"), ["k"], "v", large=large).collect())) for large in (False, True))
+    assert one == two
+    some = df.where("k = 'a'")
+    assert sorted(r.v for r in average_ranks(some, ["k"], ("v",)).collect()) == sorted(r.v for r in ranked(some, ["k"], ("v",)).collect())
+
+
+def test_runs_over_chunks(spark):
+    rng = np.random.default_rng(12)
+    rows = [("a" if i % 5 else "b", i, [None, "x", "x", "y"][rng.integers(4)]) for i in range(300)] + [("c", 500, None), ("c", 501, None)]
+    df = spark.createDataFrame(rows, "k string, i long, v string")
+    whole = sorted(map(str, segments.runs_to_segments(df, ["k"], ["i"], "v", "i").collect()))
+    for size in (1, 7, 64):
+        assert sorted(map(str, segments.runs_to_segments(df, ["k"], ["i"], "v", "i", F.floor(F.col("i") / size)).collect())) == whole
+    n = {(r.k, r.i): r.n for r in segments.numbered(df, ["k"], F.floor(F.col("i") / 9), ["i"], "n").collect()}
+    for k in "abc":
+        assert [n[x, i] for x, i in sorted(n) if x == k] == list(range(sum(x == k for x, _ in n)))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.functions.columns import distance, histogram_bin, interval_relation, minus, r6, ratio, total
+from strandweave.functions.columns import histogram_bin, interval_relation, minus, r6, ratio, total
 from strandweave.functions.numeric import adjusted_critical
 from strandweave.operators.describe import describe
+from strandweave.operators.quality import block_distances
 from strandweave.runtime import scratch, written
 
 MEASURES = ("l1", "l2", "l3", "l5", "l10", "l50", "l100", "linf", "l1_ref", "l2_ref", "l3_ref", "l5_ref", "l10_ref", "l50_ref", "l100_ref", "linf_ref", "l1_dot", "l2_dot", "linf_dot", "cosine")
@@ -28,16 +32,36 @@ def level_sets(patterns: DataFrame) -> DataFrame:
 
 
 def pattern_distances(labels: DataFrame, patterns: DataFrame, measures: tuple[str, ...] = MEASURES) -> DataFrame:
-    """`subject_id, segment_id, cluster_id, pattern_id, level, measure, d`: every segment against every pattern of the (fixed, small) catalogue."""
-    known = patterns.select("pattern_id", F.col("relaxed").alias("_p"), F.col("canonical").alias("_pc"))
-    own = patterns.select(F.col("pattern_id").alias("cluster_id"), F.col("canonical").alias("_c"))
-    all_ = known.groupBy().agg(F.sort_array(F.collect_list(F.struct("pattern_id", "_p", "_pc"))).alias("_all"))
-    x = labels.join(F.broadcast(own), "cluster_id").join(F.broadcast(all_), how="inner").withColumn("_k", F.explode("_all"))
-    level = total(F.transform(minus(F.col("_c"), F.col("_k._pc")), lambda v: F.bround(v, 0))).cast("int")
-    a, b = F.col("achieved"), F.col("_k._p")
-    ds = F.array(*[F.struct(F.lit(m).alias("measure"), r6(distance(m)(a, b)).alias("d")) for m in measures])
-    return x.select("subject_id", "segment_id", "cluster_id", F.col("_k.pattern_id").alias("pattern_id"), level.alias("level"), F.explode(ds).alias("m")).select(
-        "subject_id", "segment_id", "cluster_id", "pattern_id", "level", "m.measure", "m.d")
+    """`subject_id, segment_id, cluster_id, pattern_id, level, measure, d`: every segment against every pattern of the (fixed, small) catalogue.
+
+    Segments whose cluster is not in the catalogue are left out; a null or incomplete vector has null
+    distances. All measures of a batch are computed at once as matrices: expressions on arrays would be
+    interpreted element by element.
+    """
+    rows = patterns.select("pattern_id", "canonical", "relaxed").orderBy("pattern_id").collect()  # the catalogue: 27 rows at most
+    ids = np.array([r["pattern_id"] for r in rows])
+    relaxed, canonical = (np.array([r[c] for r in rows], float).reshape(len(rows), -1) for c in ("relaxed", "canonical"))
+    levels = np.rint(np.abs(canonical[:, None] - canonical[None])).sum(2).astype(int)
+    place = {int(v): i for i, v in enumerate(ids)}
+    names = ["subject_id", "segment_id", "cluster_id", "pattern_id", "level", "measure", "d"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f = f[f["cluster_id"].isin(place.keys())]
+            if not len(f):
+                continue
+            whole = np.array([v is not None and len(v) == relaxed.shape[1] and not any(x is None for x in v) for v in f["achieved"]])
+            a = np.full((len(f), relaxed.shape[1]), np.nan)
+            if whole.any():
+                a[whole] = np.array([np.asarray(v, float) for v in f["achieved"][whole]])
+            n = len(ids)
+            base = {c: np.repeat(f[c].to_numpy(), n) for c in names[:3]}
+            level = levels[[place[int(c)] for c in f["cluster_id"]]].ravel()
+            for m in measures:
+                yield pd.DataFrame({**base, "pattern_id": np.tile(ids, len(f)), "level": level, "measure": m, "d": block_distances(a, relaxed, m).ravel(), "_ok": np.repeat(whole, n)})
+
+    x = labels.select("subject_id", "segment_id", F.col("cluster_id").cast("int"), "achieved").mapInPandas(run, "subject_id string, segment_id int, cluster_id int, pattern_id int, level int, measure string, d double, _ok boolean")
+    return x.select(*names[:-1], r6(F.when(F.col("_ok"), F.coalesce("d", F.lit(float("nan"))))).alias("d"))  # Arrow gives NaN back as null
 
 
 def normalised(distances: DataFrame, by: list[str]) -> DataFrame:

@@ -41,7 +41,9 @@ def block_distances(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
     if measure == "log_frobenius":
         return np.linalg.norm(matrix_logs(a)[:, None] - matrix_logs(b)[None], axis=(2, 3))
     if measure == "foerstner":
-        return np.stack([foerstner_batch(np.broadcast_to(row, b.shape), b) for row in a]) if len(a) else np.empty((0, len(b)))
+        step = max(1, 50_000 // max(1, len(b)))
+        parts = [foerstner_batch(np.repeat(a[i : i + step], len(b), axis=0), np.tile(b, (len(a[i : i + step]), 1))) for i in range(0, len(a), step)]
+        return np.concatenate(parts).reshape(len(a), len(b)) if parts else np.empty((0, len(b)))
     name, _, kind = measure.partition("_")
     if kind == "ref":
         far = lambda x: lp_block(x, np.full((1, x.shape[1]), 1 / math.sqrt(x.shape[1])), name)[:, 0]

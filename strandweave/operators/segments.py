@@ -34,25 +34,29 @@ def numbered(df: DataFrame, by: list[str], chunk: Column, order: list[str], name
     return x.withColumn(name, (F.col("_k") + F.col("_base") - 1).cast("long")).drop("_c", "_k", "_base")
 
 
-def runs_to_segments(df: DataFrame, by: list[str], order: list[str], value: str, position: str, chunk: Column | None = None) -> DataFrame:
+def runs_to_segments(df: DataFrame, by: list[str], order: list[str], value: str, position: str | None, chunk: Column | None = None) -> DataFrame:
     """Runs of equal values in order: `<by>, segment_id, value, start_idx, end_idx, length`.
 
-    `chunk` must rise with the order: a group is then worked on chunk by chunk, and only the last
-    value and the number of runs of each chunk pass between them. Without it a group is one window.
+    Bounds are values of `position`, or 0-based numbers in order without it. `chunk` must rise with the
+    order: a group is then worked on chunk by chunk, and only the last value and counts of each chunk
+    pass between them. Without it a group is one window.
     """
-    x = df.select(*by, *[c for c in dict.fromkeys([*order, value, position]) if c not in by], (F.lit(0) if chunk is None else chunk).alias("_c"))
+    x = df.select(*by, *[c for c in dict.fromkeys([*order, value, *([position] if position else [])]) if c not in by], (F.lit(0) if chunk is None else chunk).alias("_c"))
     w = Window.partitionBy(*by, "_c").orderBy(*order)
-    last = x.groupBy(*by, "_c").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_l"))
-    last = last.select(*by, "_c", F.lag("_l").over(Window.partitionBy(*by).orderBy("_c")).alias("_b"))
+    over = Window.partitionBy(*by).orderBy("_c")
+    so_far = over.rowsBetween(Window.unboundedPreceding, 0)
+    last = x.groupBy(*by, "_c").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_l"), F.count(F.lit(1)).alias("_n"))
+    last = last.select(*by, "_c", F.lag("_l").over(over).alias("_b"), (F.sum("_n").over(so_far) - F.col("_n")).alias("_from"))
+    x = x.withColumn("_k", F.row_number().over(w)).withColumn("_p", F.lag(F.struct(F.col(value).alias("v"))).over(w))
     x = same_keys(x, last, [*by, "_c"])
-    first = F.row_number().over(w) == 1
-    before = F.when(first, F.col("_b")).otherwise(F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    before = F.when(F.col("_k") == 1, F.col("_b")).otherwise(F.col("_p"))
     x = x.withColumn("_new", (before.isNull() | ~before["v"].eqNullSafe(F.col(value))).cast("int"))
-    x = x.withColumn("_in", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    n = x.groupBy(*by, "_c").agg(F.max("_in").alias("_t"))
-    n = n.withColumn("_base", F.sum("_t").over(Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).drop("_t")
-    x = same_keys(x, n, [*by, "_c"]).withColumn("_run", F.col("_in") + F.col("_base") - 1)
-    return x.groupBy(*by, F.col("_run").alias("segment_id")).agg(F.min(value).alias("value"), F.min(position).alias("start_idx"), F.max(position).alias("end_idx"), F.count(F.lit(1)).alias("length"))
+    x = x.withColumn("_in", F.sum("_new").over(Window.partitionBy(*by, "_c").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.col(position) if position else (F.col("_from") + F.col("_k") - 1).cast("long")
+    # runs within chunks first, which are few; then they join over chunks
+    r = x.groupBy(*by, "_c", "_in").agg(F.min(value).alias("value"), F.min(at).alias("s"), F.max(at).alias("e"), F.count(F.lit(1)).alias("n"), F.sum("_new").alias("_new"))
+    r = r.withColumn("segment_id", F.sum("_new").over(Window.partitionBy(*by).orderBy("_c", "_in").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return r.groupBy(*by, "segment_id").agg(F.min("value").alias("value"), F.min("s").alias("start_idx"), F.max("e").alias("end_idx"), F.sum("n").alias("length"))
 
 
 def exploded(segments: DataFrame, *keep: str) -> DataFrame:

@@ -212,9 +212,7 @@ def min_max_scaled_observations(spark: SparkSession, d: str) -> DataFrame:
 # ---- windows, resampling, variants
 @query("SELECT user_id, segment_id::BIGINT AS segment_id, min(event_type) AS value, min(i)::BIGINT AS start_idx, max(i)::BIGINT AS end_idx, count(*) AS length FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS segment_id FROM (SELECT *, row_number() OVER w - 1 AS i, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY ALL")
 def runs_to_segments(spark: SparkSession, d: str) -> DataFrame:
-    day = F.to_date("ts")
-    e = segments.numbered(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], day, ["ts", "event_id"], "i")
-    return segments.runs_to_segments(e, ["user_id"], ["ts", "event_id"], "event_type", "i", day)
+    return segments.runs_to_segments(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", None, F.to_date("ts"))
 
 
 @query(V.with_(V.OBS) + f"SELECT subject_id, us // 60000000 * 60 AS bucket, {', '.join(f"{V.half_even(f'avg({c})')} AS {c}" for c in VARIATES)}, min(obs_idx) AS first_idx, max(obs_idx) AS last_idx, count(*) AS n FROM obs WHERE us IS NOT NULL GROUP BY ALL")
@@ -236,8 +234,8 @@ def _bucket_segments(spark: SparkSession, d: str) -> DataFrame:
   f AS (SELECT *, CASE WHEN lag(segment_id) OVER (PARTITION BY subject_id ORDER BY idx) IS DISTINCT FROM segment_id THEN 1 ELSE 0 END AS new FROM i), g AS (SELECT *, sum(new) OVER (PARTITION BY subject_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - 1 AS run FROM f)
 SELECT subject_id, run::BIGINT AS segment_id, min(segment_id) AS value, min(idx)::BIGINT AS start_idx, max(idx)::BIGINT AS end_idx, count(*) AS length FROM g GROUP BY subject_id, run""")
 def resampled_labels(spark: SparkSession, d: str) -> DataFrame:
-    b = segments.numbered(_bucket_segments(spark, d), ["subject_id"], F.floor(F.col("bucket") / 86400), ["bucket"], "idx")
-    return segments.runs_to_segments(b, ["subject_id"], ["idx"], "segment_id", "idx", F.floor(F.col("idx") / 4096))
+    b = _bucket_segments(spark, d).withColumnRenamed("segment_id", "value")
+    return segments.runs_to_segments(b, ["subject_id"], ["bucket"], "value", None, F.floor(F.col("bucket") / 86400))
 
 
 def _sparse(drop: float) -> str:

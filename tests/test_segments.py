@@ -112,12 +112,17 @@ def test_toeplitz_fit_sees_all_subjects(spark):
 
 
 def test_degraded_partitions_tile_and_relabel(spark):
-    from strandweave.plans.variant_queries import SPECS, degraded
-    seg = [("a", i, 100 * i, 100 * i + 99, i % 4) for i in range(8)]
-    df = spark.createDataFrame(seg, "subject_id string, segment_id int, start_idx int, end_idx int, cluster_id int")
-    rows = degraded(df).collect()
-    own = {i: c for _, i, _, _, c in seg}
-    for name, k, s in SPECS:
+    seg = [("a", i, 100 * i, 100 * i + 99, i % 4, 100) for i in range(8)]
+    df = spark.createDataFrame(seg, "subject_id string, segment_id int, start_idx int, end_idx int, cluster_id int, length int")
+    rows = segments.degraded(df, n=5, leave=20).collect()
+    own = {i: c for _, i, _, _, c, _ in seg}
+    moves = []
+    for name in {r.clustering_desc for r in rows}:
         p = sorted((r for r in rows if r.clustering_desc == name), key=lambda r: r.start_idx)
         assert sum(r.length for r in p) == 800 and p[0].start_idx == 0 and p[-1].end_idx == 799
-        assert sum(r.cluster_id != own[r.segment_id] for r in p) == k and (p[1].start_idx - 100 == s)
+        moved = p[1].start_idx - 100
+        assert all(r.start_idx - 100 * r.segment_id == moved for r in p[1:])
+        wrong = sum(r.cluster_id != own[r.segment_id] for r in p)
+        assert (moved == 0) == name.startswith("wrong-clusters") and (wrong == 0) == name.startswith("shifted-end-idx")
+        moves.append(moved)
+    assert len(moves) == 15 and max(moves) == 80

@@ -42,6 +42,8 @@ WITH b AS (
 ORACLES = {
     "p1_ig_by_day": _IG + f"SELECT subject_id, day, count(*) AS n, {_percentiles('v')} FROM c GROUP BY ALL",
     "p1_ig_joined_days": _IG + f"SELECT subject_id, count(*) AS n, {_percentiles('v')} FROM c GROUP BY ALL",
+    "p1_ig_exact": _IG + f", f AS (SELECT subject_id, day, ig AS v FROM o WHERE isfinite(ig)) SELECT subject_id, day, count(*) AS n, {_percentiles('v')} FROM f GROUP BY ALL",
+    "p1_ig_error": _IG + "SELECT count(*) AS n_groups, count(*) * 6 AS n_compared, true AS within FROM (SELECT DISTINCT subject_id, day FROM o WHERE isfinite(ig))",
     "p1_labels": f"""
 WITH l AS (
   SELECT DISTINCT subject_id, clustering_desc, segment_id, u.grouping, u.key, u.measure, u.value

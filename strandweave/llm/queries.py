@@ -32,6 +32,21 @@ def p1_ig_joined_days(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(percentiles.select_percentiles(percentiles.merged_states(_ig_states(spark, d), ["subject_id"]), ["subject_id"], mantissa_bits=DIGITS))
 
 
+def p1_ig_exact(spark: SparkSession, d: str) -> DataFrame:
+    """As p1_ig_by_day with whole mantissas: exact."""
+    o = table(spark, d, "observations").select("subject_id", "obs_idx", F.floor(instant_us("datetime") / (DAY_S * 1_000_000)).alias("day"), "ig").where("day is not null").distinct()
+    return _rounded(percentiles.select_percentiles(written(percentiles.digit_state(o, ["subject_id", "day"], "ig", 52)), ["subject_id", "day"], mantissa_bits=52, digit_bits=16))
+
+
+def p1_ig_error(spark: SparkSession, d: str) -> DataFrame:
+    """The stated bound against exact percentiles: groups, percentiles compared, and whether all lie within 2**-(DIGITS + 1) of the exact value."""
+    names = [c for c in p1_ig_by_day(spark, d).columns if c.startswith("p")]
+    exact = p1_ig_exact(spark, d).select("subject_id", "day", *[F.col(c).alias(f"e_{c}") for c in names])
+    x = percentiles.matched(p1_ig_by_day(spark, d), exact, ["subject_id", "day"])
+    off = F.greatest(*[F.abs(F.col(c) - F.col(f"e_{c}")) - F.abs(F.col(f"e_{c}")) * 2.0 ** -(DIGITS + 1) for c in names])
+    return x.agg(F.count(F.lit(1)).alias("n_groups"), (F.count(F.lit(1)) * len(names)).alias("n_compared"), F.bool_and(off <= 2e-6).alias("within"))
+
+
 def p1_labels(spark: SparkSession, d: str) -> DataFrame:
     """mae and length by cluster_id and by clustering_desc, exactly; each reported value of a segment counts once."""
     b = table(spark, d, "bad_labels").select("subject_id", "clustering_desc", "segment_id", "cluster_id", F.col("mae").cast("double").alias("mae"), F.col("length").cast("double").alias("length"))
@@ -123,6 +138,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_ig_by_day": p1_ig_by_day,
     "p1_ig_joined_days": p1_ig_joined_days,
+    "p1_ig_exact": p1_ig_exact,
+    "p1_ig_error": p1_ig_error,
     "p1_labels": p1_labels,
     "p3_found": p3_found,
     "p3_runs": p3_runs,

@@ -33,6 +33,10 @@ def powered(x: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
+#: Measures that depend on the order of their two vectors: the row that comes first is the first.
+ONE_WAY = ("foerstner",)
+
+
 def block_distances(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
     """Distances between all rows of two matrices, by any measure of `columns.DISTANCES` and the two matrix measures."""
     if measure == "cosine":
@@ -97,7 +101,10 @@ def cluster_distances(df: DataFrame, by: list[str], row: str, cluster: str, vec:
                 if rec[-3]:  # the other half of the symmetric block
                     sides.append(([r["_row"] for r in right], [r["_c"] for r in right], *hot(own), True))
                 for measure in measures:
-                    d = np.where(same, 0, block_distances(a, b, measure))
+                    d = block_distances(a, b, measure)
+                    if measure in ONE_WAY:
+                        d = np.where(np.array(rows)[:, None] < np.array([r["_row"] for r in right])[None], d, block_distances(b, a, measure).T)
+                    d = np.where(same, 0, d)
                     for rows_, own_, kinds_, h, turned in sides:
                         total, n = (d.T if turned else d) @ h, ((~same).T if turned else ~same) @ h
                         for k, other_ in enumerate(kinds_):

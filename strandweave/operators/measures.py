@@ -60,7 +60,8 @@ def pattern_distances(labels: DataFrame, patterns: DataFrame, measures: tuple[st
             for m in measures:
                 yield pd.DataFrame({**base, "pattern_id": np.tile(ids, len(f)), "level": level, "measure": m, "d": block_distances(a, relaxed, m).ravel(), "_ok": np.repeat(whole, n)})
 
-    x = labels.select("subject_id", "segment_id", F.col("cluster_id").cast("int"), "achieved").mapInPandas(run, "subject_id string, segment_id int, cluster_id int, pattern_id int, level int, measure string, d double, _ok boolean")
+    tasks = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes hundreds: small inputs must not end in one task
+    x = labels.select("subject_id", "segment_id", F.col("cluster_id").cast("int"), "achieved").repartition(tasks, "subject_id", "segment_id").mapInPandas(run, "subject_id string, segment_id int, cluster_id int, pattern_id int, level int, measure string, d double, _ok boolean")
     return x.select(*names[:-1], r6(F.when(F.col("_ok"), F.coalesce("d", F.lit(float("nan"))))).alias("d"))  # Arrow gives NaN back as null
 
 

@@ -126,3 +126,11 @@ def test_degraded_partitions_tile_and_relabel(spark):
         assert (moved == 0) == name.startswith("wrong-clusters") and (wrong == 0) == name.startswith("shifted-end-idx")
         moves.append(moved)
     assert len(moves) == 15 and max(moves) == 80
+
+
+def test_wrong_clusters_of_large_segment_ids(spark):
+    ids = [5, 271_172, 900_000, 2**31 - 2]  # times 7919 they pass 32 bits
+    df = spark.createDataFrame([("a", i, 1 + i % 3) for i in ids], "subject_id string, segment_id int, cluster_id int")
+    got = {r.segment_id: r.cluster_id for r in segments.wrong_clusters(df, ["subject_id"], 3, F.array(*map(F.lit, (1, 2, 3)))).collect()}
+    first = sorted(ids, key=lambda i: ((i + 1) * 7919 % 10007, i))[:3]
+    assert got == {i: (1 + i % 3) % 3 + 1 if i in first else 1 + i % 3 for i in ids}

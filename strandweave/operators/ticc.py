@@ -264,7 +264,9 @@ def seeds(data: DataFrame, clusters: int, window: int, variates: int, seed: int,
             for rec in frame.itertuples(index=False):
                 s = _stacked(rec, window, variates)
                 rng = np.random.default_rng(zlib.crc32(f"{seed} {rec.subject_id} {rec.chunk}".encode()))
-                yield pd.DataFrame({"id": rec.subject_id, "chunk": rec.chunk, "s": list(s[rng.random(len(s)) < share])})
+                s = s[rng.random(len(s)) < share]
+                if len(s):  # Arrow takes no empty column of lists
+                    yield pd.DataFrame({"id": rec.subject_id, "chunk": rec.chunk, "s": list(s)})
 
     got = data.mapInPandas(run, "id string, chunk long, s array<double>").collect()
     s = np.array([r.s for r in sorted(got, key=lambda r: (r.id, r.chunk))])

@@ -134,3 +134,10 @@ def test_wrong_clusters_of_large_segment_ids(spark):
     got = {r.segment_id: r.cluster_id for r in segments.wrong_clusters(df, ["subject_id"], 3, F.array(*map(F.lit, (1, 2, 3)))).collect()}
     first = sorted(ids, key=lambda i: ((i + 1) * 7919 % 10007, i))[:3]
     assert got == {i: (1 + i % 3) % 3 + 1 if i in first else 1 + i % 3 for i in ids}
+
+
+def test_toeplitz_seeds_where_chunks_draw_nothing(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(f"s{i % 200}", i // 200, float(u), float(v)) for i, (u, v) in enumerate(rng.normal(size=(1000, 2)))], "subject_id string, obs_idx long, a double, b double")
+    _, s, a = ticc.seeds(ticc.packed(df, ("a", "b"), 64, 2), 2, 2, 2, 1, about=60)  # most of the 200 chunks draw no window
+    assert 20 < len(s) < 120 and len(a) == len(s)

@@ -128,7 +128,8 @@ _INDEX = V.with_(V.OBS_F) + _SUM.replace("WITH ", ", ", 1) + ", " + M._ALLROWS.s
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
     """Internal indices against Jaccard."""
-    s = M.summary(spark, d).join(M.centroid_indices_by_partition(spark, d), BY, "left")
+    b = written(S.bad_labels(spark, d))
+    s = M.summary(spark, d, b).join(M.centroid_quality(spark, d, b, ("l1",)).drop("measure"), BY, "left")
     return written(inference.index_correlations(s, ["subject_id"], list(INDICES), "jaccard"))
 
 

@@ -163,16 +163,21 @@ class Encoder:
         live = tok >= 0
         self.word_ids.add(tok[live].astype(np.int32), np.add.reduceat(live, ends - size).astype(np.int64) if n else size)
 
-    def encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, where each text's begin, and the end), each text by its words."""
+    def cut_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words, where each text's begin, and the end)."""
         cut = [self.find_plain(t) if self.plain(t) else self.find(t) for t in texts]
         flat = [w for ws in cut for w in ws]
         at = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
         if new := self.words.taken():
             self.learn_words(new)
-        ids, done = self.word_ids.joined(at)
         first = np.zeros(len(cut) + 1, np.int64)
         np.cumsum([len(ws) for ws in cut], out=first[1:])
+        return at, first
+
+    def encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's begin, and the end), each text by its words."""
+        at, first = self.cut_words(texts)
+        ids, done = self.word_ids.joined(at)
         return ids, done[first]
 
     def learn_pieces(self, pieces: list[str]) -> None:
@@ -188,8 +193,8 @@ class Encoder:
         ids, done = self.encode_words(own)
         self.piece_ids.add(ids, np.diff(done))
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, offsets of each text); a null or empty text has none."""
+    def looked_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(numbers of the pieces, where each text's begin, and the end, texts that must be cut whole)."""
         if len(self.pieces) > self.most_pieces:
             self.forget()
         pieces: list[str] = []
@@ -212,7 +217,24 @@ class Encoder:
         odd = np.where(white, (before > 0) | (lead > 1) | (follows > 1), (before + lead > 2) & (before > 0))
         bad = np.unique(np.searchsorted(first, np.flatnonzero(odd), side="right") - 1)
         marked = [i for i, t in enumerate(texts) if t and FIRST in t]
-        bad = sorted({*bad.tolist(), *marked})
+        return at, first, sorted({*bad.tolist(), *marked})
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """The number of ids of each text."""
+        at, first, bad = self.looked_up(texts)
+        done = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(self.piece_ids.size[at], out=done[1:])
+        out = np.diff(done[first])
+        if bad:
+            at, first = self.cut_words([texts[i] for i in bad])
+            done = np.zeros(len(at) + 1, np.int64)
+            np.cumsum(self.word_ids.size[at], out=done[1:])
+            out[bad] = np.diff(done[first])
+        return out
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, offsets of each text); a null or empty text has none."""
+        at, first, bad = self.looked_up(texts)
         known = len(self.piece_ids.size)
         if bad:
             ids, done = self.encode_words([texts[i] for i in bad])
@@ -265,19 +287,3 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["key", "ids"])
 
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
-
-
-def token_counts(docs: DataFrame, columns: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The named columns and `n_tokens` of each row."""
-    sc = docs.sparkSession.sparkContext
-    ranks = sc.broadcast(read_ranks(vocabulary))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks, vocabulary)
-        for b in batches:
-            for i, j in portions(b.column(0)):
-                _, offsets = enc.encode(b.column(0).slice(i, j - i).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[1:]], pa.array(np.diff(offsets))], names=[*columns, "n_tokens"])
-
-    return docs.select(F.col(text).cast("string").alias("_text"), *columns).mapInArrow(run, f"{schema}, n_tokens long")

@@ -1,16 +1,17 @@
 """Mixing sources to target weights.
 
-Documents are counted in tokens, their language is that of their prose (see `language`), their topic a
-cluster of the words they use (see `topics`). Iterative proportional fitting rakes the token weights of the
+Documents are counted in tokens, their language is that of their prose (see `tallies`), their topic a
+cluster of the words they use (see `topics`). Languages are told by counts over all labelled documents,
+and topics are fitted to all documents that may be used. Iterative proportional fitting rakes the token weights of the
 cells source x language x topic to the target shares of the sources, keeping the languages' and
 topics' shares of the collection as far as the sources allow; within a source no cell goes beyond
 its allowed repeats. Documents are then sampled by the calibrated weight of their cell: whole
 repeats are certain, and the fraction is drawn by a hash of the id under one threshold per source,
 chosen so that the source's tokens come out at their target.
 
-How it scales: texts pass once, through the tokenizer, to one small row each; all else reads those.
-Only cells (sources x languages x topics) and a histogram of fixed size per source come to the
-driver. Ranks are needed within a source's boundary bin alone, never within a whole source.
+How it scales: labelled texts pass once to be counted; then the texts pass once, through the tokenizer,
+to one small row each; all else reads those. Only sums of fixed size for languages and topics, cells
+(sources x languages x topics) and a histogram of fixed size per source come to the driver. Ranks are needed within a source's boundary bin alone, never within a whole source.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.llm import language
-from strandweave.llm.bpe import VOCABULARY, token_counts
+from strandweave.llm.bpe import VOCABULARY
 from strandweave.llm.labels import language_of  # noqa: F401
-from strandweave.llm.topics import Topics, annotated
-from strandweave.runtime import written
+from strandweave.llm.tallies import tallied
+from strandweave.llm.topics import Topics, described
+from strandweave.runtime import scratch, written
 
 BINS, REACH = 2048, 8.0
 
@@ -85,9 +86,9 @@ def mixed(
     spec = {r["s"]: (max(r["w"], 0.0), max(r["r"], 0)) for r in rows}
     names = sorted(spec)
     source = F.lower(F.trim("source"))
-    model = language.trained(docs, aliases)
-    d = annotated(docs.where(source.isin(names)).select("doc_id", source.alias("source"), "text"), model, Topics.fitted(docs, model))
-    sized = written(token_counts(d, ["doc_id", "source", "lang_code", "topic"], vocabulary=vocabulary).where("n_tokens > 0"))
+    d = described(docs.where(source.isin(names)).select("doc_id", source.alias("source"), "text"), tallied(docs, aliases), vocabulary)
+    with scratch(d.where("n_tokens > 0")) as d:
+        sized = written(Topics.fitted(d).labelled(d))
     cells = sized.groupBy("source", "lang_code", "topic").agg(F.sum("n_tokens").alias("n")).orderBy("source", "lang_code", "topic").collect()
     weight = np.array([spec[s][0] for s in names], float)
     repeats = np.array([spec[s][1] for s in names], float)

@@ -2,65 +2,85 @@
 
 Words are hashed into a vector of logarithmic counts; the mean of the document's language is taken off,
 so that clusters do not merely repeat the languages, and what is left is compared by its direction.
-The centres are those of spherical k-means on a bounded sample; every document then goes to its nearest.
+Means and centres are those of all documents: spherical k-means whose rounds pass over the packed
+vectors of all of them, and of which only sums of fixed size come to the driver.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.bpe import portions
-from strandweave.llm.language import NONE, Judge, Model, words_of
-from strandweave.llm.prose import sentences
+from strandweave.llm.bpe import VOCABULARY, encoder, portions, read_ranks
+from strandweave.llm.tallies import Speaker, Tallies, packed, summed
 
 DIMS = 1024
+ONE = 2.0**30  # sums are of whole parts
+_SPEAKERS: dict[int, tuple[object, Speaker]] = {}
 
 
-class Hashes(dict):
-    """Hashes of words, remembered within a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = zlib.crc32(word.encode("utf-8", "replace")) % DIMS
-        return h
-
-
-_HASHES = Hashes()
-
-
-def spoken(texts: list[str | None], judge: Judge) -> tuple[list[str], np.ndarray]:
-    """(language with most words of prose of each text, logarithmic counts of the hashed words of its sentences); `und` and zeros where no language claims any."""
-    doc, own = [], []
-    for k, t in enumerate(texts):
-        for w in map(words_of, sentences(t)) if t else ():
-            if len(w) >= 3:
-                doc.append(k)
-                own.append(w)
-    names = ["und"] * len(texts)
-    counts = np.zeros((len(texts), DIMS))
-    langs = judge.m.langs
-    if not own or not langs:
-        return names, counts
-    lang, _ = judge.margins(own)
-    at, size = np.array(doc), np.array([len(w) for w in own])
-    n = np.bincount(at * len(langs) + lang, size, minlength=len(texts) * len(langs)).reshape(-1, len(langs))
-    n[:, [k for k, x in enumerate(langs) if x == NONE]] = 0
-    best = np.where(n.max(1) > 0, n.argmax(1), -1)
-    names = [langs[k] if k >= 0 else "und" for k in best.tolist()]
-    kept = np.flatnonzero(lang == best[at])
-    words = [w for k in kept.tolist() for w in own[k]]
-    if words:
-        h = np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
-        counts = np.log1p(np.bincount(np.repeat(at[kept], size[kept]) * DIMS + h, minlength=len(texts) * DIMS).reshape(-1, DIMS))
-    return names, counts
+def described(docs: DataFrame, tallies: Tallies, vocabulary: str = VOCABULARY) -> DataFrame:
+    """`doc_id, source, lang_code, n_tokens, dims, counts` of documents `doc_id, source, text`, which pass once; `dims` (16 bits each)
+    are the classes of words that the prose in the main language uses and `counts` (32 bits each) how often. Without prose the language is `und`."""
+    sc = docs.sparkSession.sparkContext
+    ranks, shared = sc.broadcast(read_ranks(vocabulary)), sc.broadcast((tallies.langs, tallies.weights()))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        if id(model) not in _SPEAKERS:
+            _SPEAKERS.clear()
+            _SPEAKERS[id(model)] = (model, Speaker(*model, DIMS))
+        speaker, enc = _SPEAKERS[id(model)][1], encoder(ranks, vocabulary)
+        for b in batches:
+            for i, j in portions(b.column(2)):
+                texts = b.column(2).slice(i, j - i).to_pylist()
+                names, at, dims, counts = speaker.described(texts)
+                pack = lambda x, size: pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(x)])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(names, pa.string()), pa.array(enc.counts(texts)), pack(dims, 2), pack(counts, 4)],
+                    names=["doc_id", "source", "lang_code", "n_tokens", "dims", "counts"])
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).mapInArrow(
+        run, f"doc_id {key}, source string, lang_code string, n_tokens long, dims binary, counts binary")
+
+
+@dataclass
+class Vectors:
+    """Rows of logarithmic counts of a portion of documents, and their languages; all have a value."""
+
+    logs: np.ndarray
+    lang: np.ndarray
+
+
+_LOGS = np.log1p(np.arange(4096)).astype(np.float32)
+
+
+def rows(langs: list[str], lang: pa.Array, dims: pa.Array, counts: pa.Array, most: int = 500) -> Iterator[Vectors]:
+    """Portions of documents, each in the place of the one before."""
+    place = np.zeros(most * DIMS, np.float32)
+    lang = np.asarray(pc.index_in(lang, pa.array(langs, lang.type)).to_numpy(zero_copy_only=False), np.int64)
+    for i in range(0, len(lang), most):
+        at, dim = flat(dims.slice(i, most), np.uint16)
+        n, count = len(at) - 1, flat(counts.slice(i, most), np.uint32)[1]
+        held = np.repeat(np.arange(n) * DIMS, np.diff(at)) + dim
+        place[held] = _LOGS[count] if count.max(initial=0) < len(_LOGS) else np.log1p(count)
+        yield Vectors(place[: n * DIMS].reshape(n, DIMS), lang[i : i + n])
+        place[held] = 0
+
+
+def flat(packed: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(where the numbers of each row begin, and the end; the numbers) of rows of packed numbers."""
+    _, offsets, data = packed.buffers()
+    at = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    size = np.dtype(kind).itemsize
+    return (at - at[0]) // size, np.frombuffer(data[int(at[0]) : int(at[-1])], kind) if at[-1] > at[0] else np.zeros(0, kind)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -69,52 +89,93 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Topics:
-    means: dict[str, np.ndarray]
+    langs: list[str]
+    means: np.ndarray
     centres: np.ndarray
 
     @classmethod
-    def fitted(cls, docs: DataFrame, model: Model, k: int = 12, sample: int = 800, seed: int = 9) -> Topics:
-        """From at most `sample` documents, drawn by hash of the id."""
-        rows = docs.where("text is not null and text != ''").select("doc_id", "text", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h")).orderBy("h", "doc_id").limit(sample).collect()
-        names, counts = spoken([r["text"] for r in rows], Judge(model))
-        use = [i for i, x in enumerate(names) if x != "und"]
-        names, counts = [names[i] for i in use], counts[use]
-        tags = np.array(names, object)
-        out = cls({x: unit(counts[tags == x].mean(0)) for x in sorted(set(names))}, np.zeros((0, DIMS)))
-        if use:
-            x = out.directions(names, counts)
-            rng = np.random.default_rng(seed)
-            centres = x[rng.permutation(len(x))[:k]]
-            for _ in range(25):
-                a = (x @ centres.T).argmax(1)
-                centres = unit(np.array([x[a == i].sum(0) if (a == i).any() else centres[i] for i in range(len(centres))]))
-            out.centres = centres
+    def fitted(cls, docs: DataFrame, k: int = 12, rounds: int = 25, seed: int = 9, least_gain: float = 1e-4) -> Topics:
+        """From all documents (as `described`) that have a language.
+
+        The first centres are the documents with the smallest hashes of their ids; rounds end when the mean cosine
+        gains less than `least_gain` of itself. A centre that no document is nearest to stays.
+        """
+        spoken = docs.where("length(dims) > 0").select("lang_code", "dims", "counts")
+        langs = sorted(r["lang_code"] for r in spoken.select("lang_code").distinct().collect())
+        out = cls(langs, np.zeros((len(langs), DIMS)), np.zeros((0, DIMS)))
+        if not langs:
+            return out
+
+        def counted(v: Vectors) -> dict[int, np.ndarray]:
+            return {0: np.rint((of_each(v.lang, len(langs)) @ v.logs) * ONE).astype(np.int64).ravel()}
+
+        out.means = unit(passed(spoken, langs, counted)[0].reshape(-1, DIMS).astype(float))
+        first = docs.where("length(dims) > 0").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").select("lang_code", "dims", "counts").limit(k).collect()
+        v = next(rows(langs, *(pa.array([x if isinstance(x, str) else bytes(x) for x in c]) for c in zip(*first))))
+        out.centres = unit(unit(v.logs) - out.means[v.lang])
+        was = 0.0
+        for _ in range(rounds):
+            sums = passed(spoken, langs, out.sums)
+            total = sums[1].reshape(-1, DIMS) / ONE
+            out = cls(langs, out.means, np.where(total.any(1)[:, None], unit(total), out.centres))
+            now = sums[0][0] / sums[0][1]
+            if now - was <= least_gain * now:
+                break
+            was = now
         return out
 
-    def directions(self, names: list[str], counts: np.ndarray) -> np.ndarray:
-        zero = np.zeros(DIMS)
-        return unit(unit(counts) - np.array([self.means.get(x, zero) for x in names]).reshape(-1, DIMS))
-
-    def of(self, names: list[str], counts: np.ndarray) -> list[str]:
-        if not len(self.centres):
-            return ["none"] * len(names)
-        best = (self.directions(names, counts) @ self.centres.T).argmax(1)
-        return ["none" if x == "und" else f"topic-{i:02d}" for x, i in zip(names, best.tolist())]
-
-
-def annotated(docs: DataFrame, model: Model, topics: Topics) -> DataFrame:
-    """`doc_id, source, lang_code, topic, text` of documents `doc_id, source, text`; without prose the language is `und`, the topic `none`."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, topics))  # of fixed size
+    def nearest(self, v: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(nearest centre of the direction of each row of unit length less its language's mean, cosine, what makes the row and the mean that direction)."""
+        k = len(self.centres)
+        size = 1 / np.sqrt(np.einsum("ij,ij->i", v.logs, v.logs).astype(float))
+        near = (v.logs @ np.concatenate([self.centres, self.means]).astype(np.float32).T) * size[:, None]
+        mean = near[np.arange(len(near)), k + v.lang]
+        length = np.sqrt(np.maximum(2 - 2 * mean, 0))  # both are of length 1
+        inverse = np.divide(1.0, length, out=np.zeros_like(length), where=length > 1e-3)
+        cosine = (near[:, :k] - (self.means @ self.centres.T)[v.lang]) * inverse[:, None]
+        best = cosine.argmax(1)
+        return best, cosine[np.arange(len(best)), best], size * inverse, inverse
+
+    def sums(self, v: Vectors) -> dict[int, np.ndarray]:
+        """0: sum of cosines and number of rows; 1: sums of the directions nearest to each centre."""
+        best, cosine, scale, inverse = self.nearest(v)
+        k, n = len(self.centres), len(self.langs)
+        total = of_each(best, k, scale) @ v.logs - np.bincount(best * n + v.lang, inverse, minlength=k * n).reshape(k, n) @ self.means
+        return {0: np.array([round(cosine.sum() * ONE), round(len(best) * ONE)]), 1: np.rint(total * ONE).astype(np.int64).ravel()}
+
+    def labelled(self, docs: DataFrame) -> DataFrame:
+        """`doc_id, source, lang_code, topic, n_tokens` of documents as `described`; without prose the topic is `none`."""
+        shared = docs.sparkSession.sparkContext.broadcast(self)  # of fixed size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            topics = shared.value
+            for b in batches:
+                best = [topics.nearest(v)[0] for v in rows(topics.langs, *(c.filter(pc.greater(pc.binary_length(b.column(4)), 0)) for c in (b.column(2), b.column(4), b.column(5))))]
+                names = np.full(b.num_rows, "none", object)
+                names[np.asarray(pc.binary_length(b.column(4))) > 0] = [f"topic-{x:02d}" for y in best for x in y.tolist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(names, pa.string()), b.column(3)], names=["doc_id", "source", "lang_code", "topic", "n_tokens"])
+
+        key = docs.schema["doc_id"].dataType.simpleString()
+        return docs.select("doc_id", "source", "lang_code", "n_tokens", "dims", "counts").mapInArrow(
+            run, f"doc_id {key}, source string, lang_code string, topic string, n_tokens long")
+
+
+def of_each(group: np.ndarray, n: int, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """The matrix that sums rows by group."""
+    out = np.zeros((n, len(group)), np.float32)
+    out[group, np.arange(len(group))] = weight
+    return out
+
+
+def passed(spoken: DataFrame, langs: list[str], sums: Callable[[Vectors], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """Sums over all rows `lang_code, dims, counts`, which go through in portions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, topics = shared.value
-        judge = Judge(model)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, j in portions(b.column(2)):
-                names, counts = spoken(b.column(2).slice(i, j - i).to_pylist(), judge)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(names, pa.string()), pa.array(topics.of(names, counts), pa.string()), b.column(2).slice(i, j - i)],
-                    names=["doc_id", "source", "lang_code", "topic", "text"])
+            for v in rows(langs, *b.columns):
+                for k, x in sums(v).items():
+                    total[k] = total[k] + x if k in total else x
+        yield packed(total)
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, source string, lang_code string, topic string, text string")
+    return summed(spoken.mapInArrow(run, "k int, v binary"))

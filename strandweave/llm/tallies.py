@@ -146,8 +146,8 @@ class Speaker(Prose):
         return [self.langs[i] if i >= 0 else "und" for i in best.tolist()], offsets, (held % self.dims).astype(np.uint16), cells[held].astype(np.uint32)
 
 
-def summed(df: DataFrame) -> dict[int, np.ndarray]:
-    """The sums of whole numbers `v` (64 bits each, packed) of each `k`, added up in tasks: one row of each comes to the driver."""
+def summed(df: DataFrame, few: bool = False) -> dict[int, np.ndarray]:
+    """The sums of whole numbers `v` (64 bits each, packed) of each `k`, added up in tasks: one row of each comes to the driver; of a few tasks, what each has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -157,7 +157,11 @@ def summed(df: DataFrame) -> dict[int, np.ndarray]:
                 total[k] = total[k] + v if k in total else v
         yield packed(total)
 
-    return {r["k"]: np.frombuffer(r["v"], np.int64) for r in df.repartition("k").mapInArrow(run, "k int, v binary").collect()}
+    out: dict[int, np.ndarray] = {}
+    for k, v in (df if few else df.repartition("k").mapInArrow(run, "k int, v binary")).collect():
+        v = np.frombuffer(v, np.int64)
+        out[k] = out[k] + v if k in out else v
+    return out
 
 
 def packed(total: dict[int, np.ndarray]) -> pa.RecordBatch:

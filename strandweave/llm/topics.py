@@ -21,6 +21,7 @@ from strandweave.llm.bpe import VOCABULARY, encoder, portions, read_ranks
 from strandweave.llm.tallies import Speaker, Tallies, packed, summed
 
 DIMS = 1024
+PER_TASK = 40_000  # documents of a task in a pass, at least
 ONE = 2.0**30  # sums are of whole parts
 _SPEAKERS: dict[int, tuple[object, Speaker]] = {}
 
@@ -101,6 +102,8 @@ class Topics:
         gains less than `least_gain` of itself. A centre that no document is nearest to stays.
         """
         spoken = docs.where("length(dims) > 0").select("lang_code", "dims", "counts")
+        tasks = max(1, -(-docs.count() // PER_TASK))
+        few, spoken = tasks <= 8, spoken.coalesce(tasks)  # the start of a task costs more than a pass over a few documents
         langs = sorted(r["lang_code"] for r in spoken.select("lang_code").distinct().collect())
         out = cls(langs, np.zeros((len(langs), DIMS)), np.zeros((0, DIMS)))
         if not langs:
@@ -109,13 +112,13 @@ class Topics:
         def counted(v: Vectors) -> dict[int, np.ndarray]:
             return {0: np.rint((of_each(v.lang, len(langs)) @ v.logs) * ONE).astype(np.int64).ravel()}
 
-        out.means = unit(passed(spoken, langs, counted)[0].reshape(-1, DIMS).astype(float))
+        out.means = unit(passed(spoken, langs, counted, few)[0].reshape(-1, DIMS).astype(float))
         first = docs.where("length(dims) > 0").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").select("lang_code", "dims", "counts").limit(k).collect()
         v = next(rows(langs, *(pa.array([x if isinstance(x, str) else bytes(x) for x in c]) for c in zip(*first))))
         out.centres = unit(unit(v.logs) - out.means[v.lang])
         was = 0.0
         for _ in range(rounds):
-            sums = passed(spoken, langs, out.sums)
+            sums = passed(spoken, langs, out.sums, few)
             total = sums[1].reshape(-1, DIMS) / ONE
             out = cls(langs, out.means, np.where(total.any(1)[:, None], unit(total), out.centres))
             now = sums[0][0] / sums[0][1]
@@ -167,7 +170,7 @@ def of_each(group: np.ndarray, n: int, weight: np.ndarray | float = 1.0) -> np.n
     return out
 
 
-def passed(spoken: DataFrame, langs: list[str], sums: Callable[[Vectors], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+def passed(spoken: DataFrame, langs: list[str], sums: Callable[[Vectors], dict[int, np.ndarray]], few: bool) -> dict[int, np.ndarray]:
     """Sums over all rows `lang_code, dims, counts`, which go through in portions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,4 +181,4 @@ def passed(spoken: DataFrame, langs: list[str], sums: Callable[[Vectors], dict[i
                     total[k] = total[k] + x if k in total else x
         yield packed(total)
 
-    return summed(spoken.mapInArrow(run, "k int, v binary"))
+    return summed(spoken.mapInArrow(run, "k int, v binary"), few)

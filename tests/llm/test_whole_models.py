@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandweave.llm import bpe
+from strandweave.llm import bpe, topics
 from strandweave.llm.language import SPACE, words_of
 from strandweave.llm.prose import sentences
 from strandweave.llm.tallies import features, tallied
@@ -38,14 +38,14 @@ def test_topics_are_fitted_to_all_documents(texts):
     d = described(docs, tallied(docs, aliases)).cache()
     got = {r.doc_id: r for r in d.collect()}
     assert got[9001].lang_code == "en" and got[9002].lang_code == "und" and got[9002].n_tokens == 0 and got[0].lang_code == "de"
-    topics = Topics.fitted(d, k=4)
-    for k, lang in enumerate(topics.langs):
+    fit = Topics.fitted(d, k=4)
+    for k, lang in enumerate(fit.langs):
         own = [r for r in got.values() if r.lang_code == lang]
         total = np.zeros(DIMS)
         for r in own:
             total[flat(pa.array([bytes(r.dims)]), np.uint16)[1]] += np.log1p(flat(pa.array([bytes(r.counts)]), np.uint32)[1])
-        assert len(own) >= 500 and topics.means[k] == pytest.approx(total / np.linalg.norm(total), abs=1e-5)
-    named = topics.labelled(d).collect()
+        assert len(own) >= 500 and fit.means[k] == pytest.approx(total / np.linalg.norm(total), abs=1e-5)
+    named = fit.labelled(d).collect()
     assert {r.topic for r in named if r.lang_code == "und"} == {"none"} and 1 < len({r.topic for r in named if r.lang_code != "und"}) <= 4
     assert not len(Topics.fitted(d.limit(0)).centres) and Topics.fitted(d.limit(0)).labelled(d.limit(0)).count() == 0
 
@@ -54,3 +54,24 @@ def test_token_numbers_without_ids():
     enc = bpe.Encoder(bpe.read_ranks(bpe.VOCABULARY))
     odd = ["", None, "a\n\n\nb", "a  b", "some words here", "\x00 a\x00b", "x\r\ry   z", " "]
     assert enc.counts(odd).tolist() == np.diff(enc.encode(odd)[1]).tolist()
+
+
+def test_passes_over_few_documents_take_few_tasks(texts, monkeypatch):
+    _, docs, aliases = texts
+    sc = docs.sparkSession.sparkContext
+    d = described(docs, tallied(docs, aliases)).repartition(12, "doc_id").cache()
+    d.count()
+    tasks = []
+    for per_task in (topics.PER_TASK, 100):
+        monkeypatch.setattr(topics, "PER_TASK", per_task)
+        sc.setJobGroup(f"topics {per_task}", "")
+        fit = Topics.fitted(d, k=4, rounds=3)
+        stages = [sc.statusTracker().getStageInfo(k) for j in sc.statusTracker().getJobIdsForGroup(f"topics {per_task}") for k in sc.statusTracker().getJobInfo(j).stageIds]
+        tasks.append(sum(x.numTasks for x in stages if x))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < tasks[0] < tasks[1]
+    spoken = d.where("length(dims) > 0").select("lang_code", "dims", "counts")
+    a, b = topics.passed(spoken.coalesce(2), fit.langs, fit.sums, True), topics.passed(spoken, fit.langs, fit.sums, False)
+    assert a[0][1] == b[0][1] == 1501 * topics.ONE and a[0][0] == pytest.approx(b[0][0], rel=1e-5)
+    # documents as near to one centre as to another may change sides with rounding; all together they don't
+    assert a[1].reshape(4, -1).sum(0) / topics.ONE == pytest.approx(b[1].reshape(4, -1).sum(0) / topics.ONE, abs=1e-2)

@@ -6,7 +6,8 @@ are taken in ascending order of rank. Merging a pair touches its positions only,
 pairs that arise around them. Words and pieces once encoded are remembered, within a bound.
 
 Texts are cut before white space that follows other characters. No word reaches over such a place,
-so lines, and the pieces between single blanks, encode alone and once.
+so lines, and the pieces between single blanks, encode alone and once. Where white space runs on, the
+pieces that a word may reach over are joined, and these stretches encode alone and once likewise.
 """
 
 from __future__ import annotations
@@ -55,6 +56,16 @@ class Index(dict):
         return new
 
 
+def numbered(index: Index, strings: pa.Array) -> np.ndarray:
+    """The numbers of strings, of which each different one is looked up once."""
+    d = strings.dictionary_encode()
+    return np.fromiter(map(index.__getitem__, d.dictionary.to_pylist()), np.int64, len(d.dictionary))[d.indices.to_numpy()]
+
+
+def held(texts: pa.Array | list[str | None]) -> pa.Array:
+    return pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+
+
 class Rows:
     """Lists of ids of varying length in one array."""
 
@@ -82,7 +93,8 @@ class Encoder:
     """Encodes texts by a vocabulary of token bytes and ranks, where the rank is the id.
 
     A text is looked up by the pieces between its blanks and line ends; each keeps the one before
-    it. A text in which white space runs on in a way that words reach over pieces is cut whole.
+    it. Pieces that words reach over, since white space runs on, are looked up as one. A text that holds
+    the mark of first pieces is cut whole.
     """
 
     def __init__(self, ranks: dict[bytes, int], most_pieces: int = 500_000) -> None:
@@ -96,7 +108,7 @@ class Encoder:
     def forget(self) -> None:
         self.words, self.word_ids = Index(), Rows()
         self.pieces, self.piece_ids = Index(), Rows()
-        self.lead, self.trail, self.white = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.begins, self.ends = np.zeros(0, bool), np.zeros(0, bool)
 
     def rank_of(self, key: int) -> int:
         """The rank of the merge of a pair of ids, -1 if there is none."""
@@ -181,63 +193,65 @@ class Encoder:
         return ids, done[first]
 
     def learn_pieces(self, pieces: list[str]) -> None:
-        own, lead, trail, white = [], [], [], []
+        """Encode new pieces, and stretches of pieces with a blank between them; note whether white space after other white space would
+        reach into them (they are blank or begin with two of it), and whether they end with it."""
+        own, begins, ends = [], [], []
         for p in pieces:
-            w = p[1:] if p[0:1] == FIRST else p if p[0:1] == "\n" else " " + p
+            w = (p[1:] if p[0:1] == FIRST else p if p[0:1] == "\n" else " " + p).replace(" \n", "\n")
             own.append(w)
-            bare = w.strip()
-            white.append(not bare and w != "")
-            lead.append(len(w) - len(w.lstrip()))
-            trail.append(len(w) - len(w.rstrip()))
-        self.lead, self.trail, self.white = (np.concatenate([x, np.array(y, x.dtype)]) for x, y in ((self.lead, lead), (self.trail, trail), (self.white, white)))
+            bare = w.lstrip()
+            begins.append(len(w) - len(bare) > 1 or (not bare and w != ""))
+            ends.append(w[-1:].isspace())
+        self.begins, self.ends = np.concatenate([self.begins, np.array(begins, bool)]), np.concatenate([self.ends, np.array(ends, bool)])
         ids, done = self.encode_words(own)
         self.piece_ids.add(ids, np.diff(done))
 
-    def looked_up(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    def looked_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """(numbers of the pieces, where each text's begin, and the end, texts that must be cut whole)."""
         if len(self.pieces) > self.most_pieces:
             self.forget()
-        pieces: list[str] = []
-        first = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                pieces += (FIRST + t.replace("\n", " \n")).split(" ")
-            first[i + 1] = len(pieces)
-        at = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(FIRST, texts, ""), "\n", " \n"), " ")
+        pieces, first = cut.flatten(), np.asarray(cut.offsets, np.int64)
+        first = first - first[0]
+        at = numbered(self.pieces, pieces)
         if new := self.pieces.taken():
             self.learn_pieces(new)
-        # words reach over pieces where white space runs on: three in a row, or two at the end
-        lead, trail, white = self.lead[at], self.trail[at], self.white[at]
-        before = np.concatenate([[0], trail[:-1]]) if len(at) else trail
-        before[first[:-1][first[:-1] < len(at)]] = 0
-        follows = np.concatenate([lead[1:], [0]]) if len(at) else lead
-        end = np.zeros(len(at), bool)
-        end[first[1:][first[1:] > 0] - 1] = True
-        follows[end] = 0
-        odd = np.where(white, (before > 0) | (lead > 1) | (follows > 1), (before + lead > 2) & (before > 0))
-        bad = np.unique(np.searchsorted(first, np.flatnonzero(odd), side="right") - 1)
-        marked = [i for i, t in enumerate(texts) if t and FIRST in t]
-        return at, first, sorted({*bad.tolist(), *marked})
-
-    def counts(self, texts: list[str | None]) -> np.ndarray:
+        # a run of white space gives all but its last character to one word: a piece joins the one before where the run goes on beyond its first
+        joined = np.zeros(len(at), bool)
+        joined[1:] = self.ends[at[:-1]] & self.begins[at[1:]]
+        joined[first[:-1]] = False
+        if joined.any():
+            starts = np.flatnonzero(~joined)
+            size = np.diff(starts, append=len(at))
+            long = np.flatnonzero(size > 1)
+            at, first, parts = at[starts], np.searchsorted(starts, first), pieces.take(pa.array(np.flatnonzero(np.repeat(size > 1, size)))).to_pylist()
+            done = [0, *np.cumsum(size[long]).tolist()]
+            at[long] = [self.pieces[" ".join(parts[i:j])] for i, j in zip(done, done[1:])]
+            if new := self.pieces.taken():
+                self.learn_pieces(new)
+        return at, first, np.flatnonzero(pc.match_substring(texts, FIRST)).tolist()
+
+    def counts(self, texts: pa.Array | list[str | None]) -> np.ndarray:
         """The number of ids of each text."""
+        texts = held(texts)
         at, first, bad = self.looked_up(texts)
         done = np.zeros(len(at) + 1, np.int64)
         np.cumsum(self.piece_ids.size[at], out=done[1:])
         out = np.diff(done[first])
         if bad:
-            at, first = self.cut_words([texts[i] for i in bad])
+            at, first = self.cut_words([texts[i].as_py() for i in bad])
             done = np.zeros(len(at) + 1, np.int64)
             np.cumsum(self.word_ids.size[at], out=done[1:])
             out[bad] = np.diff(done[first])
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of each text); a null or empty text has none."""
+        texts = held(texts)
         at, first, bad = self.looked_up(texts)
         known = len(self.piece_ids.size)
         if bad:
-            ids, done = self.encode_words([texts[i] for i in bad])
+            ids, done = self.encode_words([texts[i].as_py() for i in bad])
             self.piece_ids.add(np.concatenate([ids, ids[:0]]), np.concatenate([np.diff(done), [0]]))
             for k, i in enumerate(bad):
                 at[first[i] : first[i + 1]] = known + len(bad)
@@ -283,7 +297,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
         enc = encoder(ranks, vocabulary)
         for b in batches:
             for i, j in portions(b.column(1)):
-                ids, offsets = enc.encode(b.column(1).slice(i, j - i).to_pylist())
+                ids, offsets = enc.encode(b.column(1).slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["key", "ids"])
 
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.bpe import Index, Rows, portions
+from strandweave.llm.bpe import Index, Rows, numbered, portions
 from strandweave.llm.labels import language_of
 from strandweave.llm.language import NONE, SPACE, words_of
 from strandweave.llm.prose import sentences
@@ -45,6 +46,11 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((mixed ^ mixed >> np.uint64(29)) * FIRST >> np.uint64(48)).astype(np.int64), size - 1
 
 
+def split(texts: pa.Array) -> pa.Array:
+    """The pieces between white space of each text, as `str.split` cuts them; of a blank text one that is empty."""
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(texts))
+
+
 class Prose:
     """Texts as numbered words; pieces between white space once cut are remembered, within a bound."""
 
@@ -58,8 +64,8 @@ class Prose:
     def learnt(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
         """Of new words, and of new pieces the numbers of their words."""
 
-    def looked_up(self, pieces: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces))
+    def looked_up(self, pieces: pa.Array) -> np.ndarray:
+        at = numbered(self.pieces, pieces)
         if new := self.pieces.taken():
             cut = [words_of(p) for p in new]
             flat = np.fromiter(map(self.words.__getitem__, [w for ws in cut for w in ws]), np.int32)
@@ -70,20 +76,22 @@ class Prose:
 
     def spoken(self, texts: list[str | None], least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text and words of each sentence of at least so many words; sentence and number of each of their pieces)."""
-        pieces: list[str] = []
-        doc, ends = [], [0]
+        said: list[str] = []
+        many = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
-            for s in sentences(t) if t else ():
-                pieces += s.split()
-                doc.append(k)
-                ends.append(len(pieces))
-        at = self.looked_up(pieces)
+            if t:
+                s = sentences(t)
+                said += s
+                many[k] = len(s)
+        cut = split(pa.array(said, pa.string()))
+        doc, ends = np.repeat(np.arange(len(texts)), many), np.asarray(cut.offsets, np.int64)
+        at = self.looked_up(cut.flatten())
         done = np.concatenate([[0], np.cumsum(self.words_of.size[at])])
         n = np.diff(done[ends])
         use = n >= least_words
         keep = np.repeat(use, np.diff(ends))
         of = np.repeat(np.cumsum(use) - 1, np.diff(ends))[keep]
-        return np.array(doc, np.int64)[use], n[use], of, at[keep]
+        return doc[use], n[use], of, at[keep]
 
 
 @dataclass
@@ -180,10 +188,18 @@ class Tally(Prose):
         self.n = np.zeros((len(self.total), 0), np.int64)
 
     def add(self, at: np.ndarray, label: np.ndarray) -> None:
+        """Pieces `at`, each of a label."""
+        k = len(self.total)
+        times = np.bincount(label * len(self.pieces) + at, minlength=k * len(self.pieces))
+        held = np.flatnonzero(times)
+        self.add_times(held % len(self.pieces), held // len(self.pieces), times[held])
+
+    def add_times(self, at: np.ndarray, label: np.ndarray, times: np.ndarray) -> None:
         flat, _ = self.words_of.joined(at)
         known, k = len(self.words), len(self.total)
         self.n = np.concatenate([self.n, np.zeros((k, known - self.n.shape[1]), np.int64)], 1)
-        self.n += np.bincount(np.repeat(label, self.words_of.size[at]) * known + flat, minlength=k * known).reshape(k, known)
+        size = self.words_of.size[at]
+        self.n += np.bincount(np.repeat(label, size) * known + flat, np.repeat(times, size), minlength=k * known).astype(np.int64).reshape(k, known)  # exact: a portion has far less than 2^53
 
     def flushed(self) -> None:
         cols, size = features(list(self.words)[: self.n.shape[1]])
@@ -206,11 +222,12 @@ def tallied(docs: DataFrame, aliases: DataFrame, least_words: int = 5) -> Tallie
                 if len(tally.pieces) > tally.most_pieces:
                     tally.flushed()
                 label = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64) - 1
-                texts = b.column(1).slice(i, j - i).to_pylist()
-                doc, _, of, at = tally.spoken(texts, least_words)
+                texts = b.column(1).slice(i, j - i)
+                doc, _, of, at = tally.spoken(texts.to_pylist(), least_words)
                 tally.add(at, label[doc[of]])
-                at = tally.looked_up([p for t in texts for p in t.split()])
-                tally.add(at, np.full(len(at), len(langs)))  # whole texts: what stands in sentences is taken off in the end
+                once = pc.value_counts(split(texts).flatten())
+                at = tally.looked_up(once.field("values"))
+                tally.add_times(at, np.full(len(at), len(langs)), once.field("counts").to_numpy())  # whole texts: what stands in sentences is taken off in the end
         tally.flushed()
         yield packed({k: v for k, v in enumerate(tally.total) if v.any()})
 

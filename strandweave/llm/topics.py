@@ -3,7 +3,8 @@
 Words are hashed into a vector of logarithmic counts; the mean of the document's language is taken off,
 so that clusters do not merely repeat the languages, and what is left is compared by its direction.
 Means and centres are those of all documents: spherical k-means whose rounds pass over the packed
-vectors of all of them, and of which only sums of fixed size come to the driver.
+vectors of all of them, and of which only sums of fixed size come to the driver. For the rounds, the
+vectors of many documents are written as one row: Spark then hands on bytes, not a row per document.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from strandweave.llm.bpe import VOCABULARY, encoder, portions, read_ranks
 from strandweave.llm.tallies import Speaker, Tallies, packed, summed
+from strandweave.runtime import scratch
 
 DIMS = 1024
 PER_TASK = 40_000  # documents of a task in a pass, at least
+PER_BLOCK = 500  # documents at once
 ONE = 2.0**30  # sums are of whole parts
 _SPEAKERS: dict[int, tuple[object, Speaker]] = {}
 
@@ -40,8 +43,8 @@ def described(docs: DataFrame, tallies: Tallies, vocabulary: str = VOCABULARY) -
         speaker, enc = _SPEAKERS[id(model)][1], encoder(ranks, vocabulary)
         for b in batches:
             for i, j in portions(b.column(2)):
-                texts = b.column(2).slice(i, j - i).to_pylist()
-                names, at, dims, counts = speaker.described(texts)
+                texts = b.column(2).slice(i, j - i)
+                names, at, dims, counts = speaker.described(texts.to_pylist())
                 pack = lambda x, size: pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(x)])  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(names, pa.string()), pa.array(enc.counts(texts)), pack(dims, 2), pack(counts, 4)],
@@ -63,19 +66,54 @@ class Vectors:
 _LOGS = np.log1p(np.arange(4096)).astype(np.float32)
 
 
-def rows(langs: list[str], lang: pa.Array, dims: pa.Array, counts: pa.Array, most: int = 500) -> Iterator[Vectors]:
-    """Portions of documents, each in the place of the one before."""
-    place = np.zeros(most * DIMS, np.float32)
+Part = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def parts(langs: list[str], lang: pa.Array, dims: pa.Array, counts: pa.Array) -> Iterator[Part]:
+    """Portions of documents: numbers of their languages, where the classes of each begin, and the end, the classes, their counts."""
     lang = np.asarray(pc.index_in(lang, pa.array(langs, lang.type)).to_numpy(zero_copy_only=False), np.int64)
-    for i in range(0, len(lang), most):
-        at, dim = flat(dims.slice(i, most), np.uint16)
-        n, count = len(at) - 1, flat(counts.slice(i, most), np.uint32)[1]
+    for i in range(0, len(lang), PER_BLOCK):
+        yield lang[i : i + PER_BLOCK], *flat(dims.slice(i, PER_BLOCK), np.uint16), flat(counts.slice(i, PER_BLOCK), np.uint32)[1]
+
+
+#: Of each array of a portion: its column in a block, how its numbers are packed; counts take 8 bits where they all fit.
+BLOCK = {"lang": np.int16, "at": np.int32, "dims": np.uint16, "counts": np.uint32}
+
+
+def blocks(spoken: DataFrame, langs: list[str]) -> DataFrame:
+    """A row for each portion of rows `lang_code, dims, counts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in parts(langs, *b.columns):
+                kinds = BLOCK | ({"counts": np.uint8} if p[3].max(initial=0) < 256 else {})
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(p, kinds.values())], names=list(BLOCK))
+
+    return spoken.mapInArrow(run, ", ".join(f"{x} binary" for x in BLOCK))
+
+
+def unpacked(blocks: pa.RecordBatch) -> Iterator[Part]:
+    for row in zip(*blocks.columns):
+        lang, at, dim, count = (x.as_buffer() for x in row)
+        yield (np.frombuffer(lang, np.int16).astype(np.int64), np.frombuffer(at, np.int32), np.frombuffer(dim, np.uint16),
+               np.frombuffer(count, np.uint8 if 2 * count.size == dim.size else np.uint32))
+
+
+def vectors(portions: Iterator[Part]) -> Iterator[Vectors]:
+    """Vectors of portions of documents, each in the place of the one before."""
+    place = np.zeros(PER_BLOCK * DIMS, np.float32)
+    for lang, at, dim, count in portions:
+        n = len(lang)
         held = np.repeat(np.arange(n) * DIMS, np.diff(at)) + dim
         place[held] = _LOGS[count] if count.max(initial=0) < len(_LOGS) else np.log1p(count)
-        yield Vectors(place[: n * DIMS].reshape(n, DIMS), lang[i : i + n])
+        yield Vectors(place[: n * DIMS].reshape(n, DIMS), lang)
         place[held] = 0
 
 
+def rows(langs: list[str], lang: pa.Array, dims: pa.Array, counts: pa.Array) -> Iterator[Vectors]:
+    return vectors(parts(langs, lang, dims, counts))
+
+
 def flat(packed: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """(where the numbers of each row begin, and the end; the numbers) of rows of packed numbers."""
     _, offsets, data = packed.buffers()
@@ -112,19 +150,21 @@ class Topics:
         def counted(v: Vectors) -> dict[int, np.ndarray]:
             return {0: np.rint((of_each(v.lang, len(langs)) @ v.logs) * ONE).astype(np.int64).ravel()}
 
-        out.means = unit(passed(spoken, langs, counted, few)[0].reshape(-1, DIMS).astype(float))
-        first = docs.where("length(dims) > 0").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").select("lang_code", "dims", "counts").limit(k).collect()
-        v = next(rows(langs, *(pa.array([x if isinstance(x, str) else bytes(x) for x in c]) for c in zip(*first))))
-        out.centres = unit(unit(v.logs) - out.means[v.lang])
-        was = 0.0
-        for _ in range(rounds):
-            sums = passed(spoken, langs, out.sums, few)
-            total = sums[1].reshape(-1, DIMS) / ONE
-            out = cls(langs, out.means, np.where(total.any(1)[:, None], unit(total), out.centres))
-            now = sums[0][0] / sums[0][1]
-            if now - was <= least_gain * now:
-                break
-            was = now
+        with scratch(blocks(spoken, langs)) as held:
+            held = held.coalesce(tasks)
+            out.means = unit(passed(held, langs, counted, few)[0].reshape(-1, DIMS).astype(float))
+            first = docs.where("length(dims) > 0").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").select("lang_code", "dims", "counts").limit(k).collect()
+            v = next(rows(langs, *(pa.array([x if isinstance(x, str) else bytes(x) for x in c]) for c in zip(*first))))
+            out.centres = unit(unit(v.logs) - out.means[v.lang])
+            was = 0.0
+            for _ in range(rounds):
+                sums = passed(held, langs, out.sums, few)
+                total = sums[1].reshape(-1, DIMS) / ONE
+                out = cls(langs, out.means, np.where(total.any(1)[:, None], unit(total), out.centres))
+                now = sums[0][0] / sums[0][1]
+                if now - was <= least_gain * now:
+                    break
+                was = now
         return out
 
     def nearest(self, v: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,12 +211,12 @@ def of_each(group: np.ndarray, n: int, weight: np.ndarray | float = 1.0) -> np.n
 
 
 def passed(spoken: DataFrame, langs: list[str], sums: Callable[[Vectors], dict[int, np.ndarray]], few: bool) -> dict[int, np.ndarray]:
-    """Sums over all rows `lang_code, dims, counts`, which go through in portions."""
+    """Sums over all rows `lang_code, dims, counts`, or blocks of them, which go through in portions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for v in rows(langs, *b.columns):
+            for v in vectors(unpacked(b)) if b.schema.names == list(BLOCK) else rows(langs, *b.columns):
                 for k, x in sums(v).items():
                     total[k] = total[k] + x if k in total else x
         yield packed(total)
